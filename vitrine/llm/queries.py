@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import mixing, quality, simhash
+from vitrine.llm import html, langid, mixing, packing, pii, quality, simhash, tokencount, tokenfile, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_top_k": topk.op1_top_k,
         "op2_quality_rules": quality.op2_quality_rules,
+        "op3_main_text": html.op3_main_text,
+        "op4_language_id": langid.op4_language_id,
+        "op5_token_counts": tokencount.op5_token_counts,
+        "op6_token_file": tokenfile.op6_token_file,
+        "op7_packing": packing.op7_packing,
         "op8_mixing": mixing.op8_mixing,
+        "op9_pii": pii.op9_pii,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op1_top_k": topk.ORACLE, "op2_quality_rules": quality.ORACLE, "op8_mixing": mixing.ORACLE}
