@@ -1,0 +1 @@
+"""Specifications of listings, and the library's queries."""
