@@ -46,7 +46,7 @@ def postings(items: DataFrame, fields: tuple[str, ...] = ("title", "content"), k
 
 
 def has_all(tokens: Column, terms: list[str]) -> Column:
-    return F.forall(F.array(*map(F.lit, terms)), lambda t: F.array_contains(tokens, t))
+    return F.size(F.array_except(F.array(*map(F.lit, terms)), tokens)) == 0
 
 
 def match_all(items: DataFrame, text: str, fields: tuple[str, ...] = ("title", "content")) -> DataFrame:
