@@ -17,7 +17,7 @@ ROUNDS = {
         ([("mente", "")], 4),
         ([(x, "") for x in ("amento", "imento", "adora", "ador", "ância", "ência", "idade", "ativo", "ativa", "ção", "ico", "ica", "ia", "ismo", "ista", "oso", "osa", "ável", "ível", "eiro", "eira")], 4),
         ([(x, "") for x in ("aram", "eram", "iram", "aro", "ando", "endo", "indo", "ado", "ada", "ido", "ida")], 4),
-        ([(x, "") for x in ("a", "e", "o", "u")], 3),
+        ([(x, "") for x in ("eu", "a", "e", "o", "u")], 3),
     ],
     "english": [([("sses", "ss"), ("ies", "y"), ("s", "")], 3), ([("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ing", ""), ("edly", ""), ("ed", ""), ("ly", ""), ("ment", ""), ("ness", "")], 3), ([("e", "")], 3)],
     "spanish": [([("es", ""), ("s", "")], 3), ([("amente", ""), ("mente", ""), ("aciones", ""), ("ación", ""), ("iendo", ""), ("ando", ""), ("ador", ""), ("idad", ""), ("ado", ""), ("ido", "")], 3), ([(x, "") for x in ("a", "e", "o")], 3)],

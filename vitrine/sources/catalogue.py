@@ -12,15 +12,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ITEM = T.StructType.fromDDL(
+_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "timestamp": T.TimestampType()}
+
+
+def _struct(ddl: str) -> T.StructType:
+    """A schema of flat types and arrays of them; needs no session, unlike Spark's own parser."""
+    fields = []
+    for field in ddl.split(", "):
+        name, kind = field.split(" ", 1)
+        fields.append(T.StructField(name, T.ArrayType(_TYPES[kind[6:-1]]) if kind.startswith("array<") else _TYPES[kind]))
+    return T.StructType(fields)
+
+
+ITEM = _struct(
     "item_id bigint, post_type string, post_status string, title string, description string, content string, author_id bigint, date_created timestamp, date_modified timestamp"
 )
-METADATA = T.StructType.fromDDL("item_id bigint, metadatum_id bigint, value_text string, value_keyword array<string>, value_ids array<bigint>, value_number double")
-TAXONOMIES = T.StructType.fromDDL("item_id bigint, slug string, terms array<string>, term_ids array<bigint>")
-LOG = T.StructType.fromDDL(
+METADATA = _struct("item_id bigint, metadatum_id bigint, value_text string, value_keyword array<string>, value_ids array<bigint>, value_number double")
+TAXONOMIES = _struct("item_id bigint, slug string, terms array<string>, term_ids array<bigint>")
+LOG = _struct(
     "id bigint, created_at timestamp, level string, channel string, message string, context string, cluster_status string, response_time_ms int, collection_id bigint, item_id bigint"
 )
-RUN = T.StructType.fromDDL("ts bigint, duration_ms bigint, built bigint, indexed bigint, failed bigint, skipped bigint, dropped bigint, queue_before bigint, queue_after bigint")
+RUN = _struct("ts bigint, duration_ms bigint, built bigint, indexed bigint, failed bigint, skipped bigint, dropped bigint, queue_before bigint, queue_after bigint")
 
 
 @dataclass(frozen=True)

@@ -28,8 +28,8 @@ def wanted(feed: DataFrame) -> DataFrame:
 
 
 def queued(feed: DataFrame) -> DataFrame:
-    """Each item once within the watermark."""
-    return wanted(feed).withWatermark("at", WATERMARK).dropDuplicatesWithinWatermark(["item_id"])
+    """Each change once, though the feed may deliver it again. Several changes of an item meet in the batch writer, where the last one counts."""
+    return wanted(feed).withWatermark("at", WATERMARK).dropDuplicatesWithinWatermark(["item_id", "action", "at"])
 
 
 def with_referrers(feed: DataFrame, references: DataFrame) -> DataFrame:
