@@ -262,3 +262,29 @@ def acronym_rules(spark, sf):
 def thesaurus_groups(spark, sf):
     groups = spark.createDataFrame([(1, "Apache License"), (1, "GNU"), (2, "zzzqqq palavra")], "grp int, term string")
     return mining.present_groups(groups, mining.corpus(c.table(spark, sf, "documents")))
+
+
+@query("known_errors", "SELECT * FROM (VALUES ('lisense, lisenze => license')) t(line)")
+def known_errors(spark, sf):
+    pairs = spark.createDataFrame([("license", "lisense"), ("license", "lisenze"), ("license", "licénse"), ("zzzqqq", "zzzqq")], "good string, bad string")
+    return mining.known_errors(pairs, mining.corpus(c.table(spark, sf, "documents")))
+
+
+@query("state_rules", "SELECT * FROM (VALUES ('rj', 'rio de janeiro', true), ('se', 'sergipe', false), ('sp', 'são paulo', true)) t(acronym, name, active)")
+def state_rules(spark, sf):
+    return mining.state_rules(spark).where("acronym IN ('rj', 'se', 'sp')")
+
+
+@query("rendered_list", "SELECT * FROM (VALUES ('# Variants (2)'), ('tesouro, thesouro'), ('foto, photo')) t(value)")
+def rendered_list(spark, sf):
+    return mining.rendered(spark.createDataFrame([("foto, photo", 2), ("tesouro, thesouro", 9)], "line string, hits bigint"), "Variants")
+
+
+@query(
+    "variant_groups",
+    "SELECT * FROM (VALUES ('farmacia', 'word', 'pharmacia|pharmacias', 5::BIGINT), ('melo', 'name', 'mello', 3)) t(modern, kind, archaic, hits)",
+)
+def variant_groups(spark, sf):
+    rows = [("pharmacia", "farmacia", "word", 3), ("pharmacias", "farmacias", "word", 2), ("mello", "melo", "name", 3), ("villa", "vila", "review", 9)]
+    groups = mining.variant_groups(spark.createDataFrame(rows, "archaic string, modern string, kind string, df bigint"))
+    return groups.withColumn("archaic", F.array_join("archaic", "|"))
