@@ -75,7 +75,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with a column for each of MEASURES, named with a prefix that no input column has."""
     p, c = PREFIX, F.coalesce(F.col(text), F.lit(""))
     full = F.filter(F.split(c, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.withColumns({f"{p}w": words(text), f"{p}l": full})
+    # a generator of one row: no filter above can pull the words' expression into what is done for each word
+    df = docs.select("*", F.inline(F.array(F.struct(words(text).alias(f"{p}w"), full.alias(f"{p}l")))))
     w, lines = F.col(f"{p}w"), F.col(f"{p}l")
     return df.withColumns(
         {
