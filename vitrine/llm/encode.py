@@ -1,52 +1,87 @@
-"""Ids of whole texts by the tokenizers library, word by word.
-
-In the vocabularies used here white space only separates: a text's ids are those of its words one after another.
-So a worker encodes each new word once, by the library, and keeps its ids as little-endian bytes in a bounded
-table; a text is then a join of byte strings.
+"""Ids of whole texts by the tokenizers library, piece by piece.
+
+The library cuts a text into pieces (letters, a digit, signs) and encodes each by itself. For texts of ASCII and
+Latin letters the same cut is made here, in lower case as the library has it; for all others the pieces are the
+words between white space. A worker encodes each new piece once, by the library, and keeps its ids as little-endian
+bytes; a text is then a join of byte strings. New pieces of the first sort go to the library many in one text: its
+ids that end a piece tell where each one ends. What is kept is bounded: pieces not met since the table last filled up
+are forgotten.
 """
 
 from __future__ import annotations
 
 import os
+import re
+
+import numpy as np
 
 END = (1).to_bytes(4, "little")
-CACHE_WORDS = 300_000
-_encoders: dict[str, WordEncoder] = {}
+CACHE_PIECES = 400_000
+_LATIN = r"À-ÖØ-öø-įı-ſ"
+#: Texts that are cut here: no other letters, marks or white space than the library's patterns are known to treat alike.
+SIMPLE = re.compile(rf"[\x00-\x7f{_LATIN}]*").fullmatch
+#: The vocabulary's classes of pieces, for such texts.
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z{_LATIN}]+|[0-9]|[^\t-\r A-Za-z{_LATIN}0-9]+").findall
+_encoders: dict[str, PieceEncoder] = {}
 
 
-class WordEncoder:
+class PieceEncoder:
     """Payloads (ids as unsigned 32-bit little-endian integers) of texts given as UTF-8."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_words, self.known = cache_words, {}
-
-    def learn(self, new: list[bytes]) -> None:
-        import numpy as np
-
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.cache_pieces, self.known, self.before = cache_pieces, {}, {}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: set[str], single: bool) -> None:
+        """Take from what was met before, else from the library. single: each is one piece for it."""
+        known, before = self.known, self.before
+        rest = []
+        for p in new:
+            if (ids := before.get(p)) is None:
+                rest.append(p)
+            else:
+                known[p] = ids
+        for at in range(0, len(rest), 8192):
+            some = rest[at : at + 8192]
+            if single:
+                ids = self.ids([" ".join(some)])[0]
+                ends = np.flatnonzero(self.ends[ids])
+                if len(ends) == len(some):
+                    data, start = ids.tobytes(), 0
+                    for p, end in zip(some, (4 * ends + 4).tolist(), strict=True):
+                        known[p] = data[start:end]
+                        start = end
+                    continue
+            for p, ids in zip(some, self.ids(some), strict=True):
+                known[p] = ids.tobytes()
 
     def payload(self, text: bytes | None) -> bytes:
-        w = (text or b"").split()
-        try:
-            return b"".join(map(self.known.__getitem__, w))
-        except KeyError:
-            if len(self.known) > self.cache_words:
-                self.known.clear()
-            self.learn([x for x in set(w) if x not in self.known])
-            return b"".join(map(self.known.__getitem__, w))
-
-
-def encoder(path: str) -> WordEncoder:
+        t = (text or b"").decode("utf-8", "replace")
+        single = bool(SIMPLE(t)) and "<|" not in t
+        pieces = PIECES(t.lower()) if single else [w.decode() for w in t.encode().split()]
+        parts = list(map(self.known.get, pieces))
+        if None in parts:
+            if len(self.known) > self.cache_pieces:
+                self.known, self.before = {}, self.known
+                self.learn(set(pieces), single)
+            else:
+                self.learn({p for p, x in zip(pieces, parts, strict=True) if x is None}, single)
+            parts = list(map(self.known.__getitem__, pieces))
+        return b"".join(parts)
+
+
+def encoder(path: str) -> PieceEncoder:
     """One a worker and vocabulary."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = PieceEncoder(path)
     return _encoders[path]
 
 
