@@ -2,11 +2,11 @@
 
 A shard file (all integers little-endian):
 
-    magic "VTOK1\\0\\0\\0", documents, ids, levels (unsigned 64-bit each)
+    magic "VTOK1\\0\\0\\0", then documents, ids, levels, distinct keys, bytes an id (unsigned 64-bit each)
     of each level of the hash: its number of bits (64-bit), then the bits, padded to 8 bytes
     of each hash value: fingerprint (32-bit), then document number (32-bit)
     of each document in file order: key (signed 64-bit), then first id (64-bit, with one more at the end)
-    the ids (unsigned 32-bit)
+    the ids (unsigned, of 2 bytes where the vocabulary fits in 16 bits, else of 4)
 
 The hash: at each level the keys left are hashed into a bit field; a key alone on its bit has found its value, the
 rank of the bit over all levels, and the others go on to the next level. A lookup tests one bit a level, about one
@@ -93,9 +93,9 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys, 977) >> np.uint64(32)).astype(np.uint32)
 
 
-def shard_bytes(keys: np.ndarray, payloads: list[bytes]) -> list[bytes]:
-    """The parts of a shard file."""
-    firsts = np.concatenate([[0], np.cumsum([len(p) // 4 for p in payloads], dtype=np.int64)]).astype("<i8")
+def shard_bytes(keys: np.ndarray, payloads: list[bytes], width: int = 4) -> list[bytes]:
+    """The parts of a shard file, from ids of so many bytes."""
+    firsts = np.concatenate([[0], np.cumsum([len(p) // width for p in payloads], dtype=np.int64)]).astype("<i8")
     distinct, at = np.unique(keys, return_index=True)
     mph = PerfectHash.build(distinct)
     place, value = np.zeros(len(distinct), "<u4"), mph(distinct)
@@ -103,7 +103,7 @@ def shard_bytes(keys: np.ndarray, payloads: list[bytes]) -> list[bytes]:
     prints = np.zeros(len(distinct), "<u4")
     prints[value] = fingerprints(distinct)
     levels = b"".join(np.array([len(f)], "<u8").tobytes() + np.packbits(f, bitorder="little").tobytes() for f in mph.fields)
-    head = MAGIC + np.array([len(keys), firsts[-1], len(mph.fields), len(distinct)], "<u8").tobytes()
+    head = MAGIC + np.array([len(keys), firsts[-1], len(mph.fields), len(distinct), width], "<u8").tobytes()
     return [head, levels, prints.tobytes(), place.tobytes(), keys.astype("<i8").tobytes(), firsts.tobytes(), *payloads]
 
 
@@ -114,8 +114,8 @@ class Shard:
         data = memoryview(data)
         if bytes(data[:8]) != MAGIC:
             raise ValueError("not a shard file")
-        self.n, self.n_ids, levels, distinct = (int(x) for x in np.frombuffer(data, "<u8", 4, 8))
-        at, fields = 40, []
+        self.n, self.n_ids, levels, distinct, self.width = (int(x) for x in np.frombuffer(data, "<u8", 5, 8))
+        at, fields = 48, []
         for _ in range(levels):
             bits = int(np.frombuffer(data, "<u8", 1, at)[0])
             fields.append(np.unpackbits(np.frombuffer(data, np.uint8, bits // 8, at + 8), bitorder="little").astype(bool))
@@ -139,15 +139,17 @@ class Shard:
         ok[ok] = self.keys[number[ok]] == keys[ok]
         return np.where(ok, number, -1)
 
-    def payload(self, number: int) -> memoryview:
-        return self.ids[4 * int(self.firsts[number]) : 4 * int(self.firsts[number + 1])]
+    def payload(self, number: int) -> bytes:
+        """A document's ids as unsigned 32-bit integers."""
+        first, end = int(self.firsts[number]), int(self.firsts[number + 1])
+        return np.frombuffer(self.ids, f"<u{self.width}", end - first, self.width * first).astype("<u4").tobytes()
 
 
 def _place(uri: str):
     from pyarrow import fs
 
-    if ":/" not in uri:
-        return fs.LocalFileSystem(), uri
+    if uri.startswith("/") or uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri)
 
 
@@ -161,9 +163,10 @@ def write_shards(docs: DataFrame, folder: str | None = None, tokenizer: str | No
         from pyspark import TaskContext
 
         enc, keys, payloads = encoder(path), [], []
+        width = 2 if len(enc.ends) <= 1 << 16 else 4
         for b in batches:
             keys += [NULL_KEY if k is None else k for k in b.column(0).to_pylist()]
-            payloads += [enc.payload(t.as_py()) + END for t in b.column(1)]
+            payloads += [np.frombuffer(enc.payload(t.as_py()) + END, "<u4").astype(f"<u{width}").tobytes() for t in b.column(1)]
         if not keys:
             return
         shard = TaskContext.get().partitionId()
@@ -172,10 +175,10 @@ def write_shards(docs: DataFrame, folder: str | None = None, tokenizer: str | No
         store.create_dir(top, recursive=True)
         own, name = f"{top}/.{shard:06d}-{uuid.uuid4().hex}", f"{top}/{shard:06d}.vtok"
         with store.open_output_stream(own) as f:
-            for part in shard_bytes(k, payloads):
+            for part in shard_bytes(k, payloads, width):
                 f.write(part)
         store.move(own, name)
-        row = [f"{folder.rstrip('/')}/{shard:06d}.vtok", shard, len(keys), sum(map(len, payloads)) // 4, int(k[0]), int(k[-1])]
+        row = [f"{folder.rstrip('/')}/{shard:06d}.vtok", shard, len(keys), sum(map(len, payloads)) // width, int(k[0]), int(k[-1])]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["file", "shard", "n_docs", "n_ids", "first_key", "last_key"])
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("binary").alias("t"))
@@ -209,7 +212,7 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     data = [shard.payload(i) for i in n]
                     keys = [None if k == NULL_KEY else k for k in shard.keys[n].tolist()]
                     columns = [pa.array(keys, pa.int64()), pa.array(shard.firsts[n] + start), pa.array(np.diff(shard.firsts)[n]), pa.array([zlib.crc32(p) for p in data], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns + [pa.array([bytes(p) for p in data], pa.binary())] * with_ids, names=names)
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array(data, pa.binary())] * with_ids, names=names)
 
     files = manifest.select("file", "start").repartition(max(1, manifest.count()))
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
