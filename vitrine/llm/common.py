@@ -34,14 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the application ends."""
+    """A fresh path in the shared folder, with its file system's scheme; deleted when the application ends."""
     path = f"{shared_dir(spark)}/vitrine-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(p.getParent())
     fs.deleteOnExit(p.getParent())
-    return path
+    return fs.makeQualified(p).toString()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
