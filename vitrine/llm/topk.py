@@ -7,10 +7,11 @@ annuli of at most ``annulus_rows`` vectors, each one row of packed numbers with
 
 Search: an annulus' own queries score it first, which bounds the distance of their k-th neighbour. By the
 triangle inequality an annulus of radii [lo, hi] round a pivot at distance d holds nothing nearer than
-max(lo - d, d - hi), so a block of queries meets only the annuli within its bounds; inside an annulus each
-query reads outwards from its own distance and stops where the bound is passed. A block of queries and an
-annulus meet in a task of bounded size; of each query and annulus at most k candidates leave it, and the
-last step ranks those. Bounds are widened by a relative margin, so rounding loses nothing; scores are integers.
+max(lo - d, d - hi), so a block of queries meets only the annuli within its bounds. A task takes a block's annuli
+from the nearest outwards; what is found narrows the bounds, and each query reads an annulus between its own bounds
+only, or not at all. A block and an annulus are of bounded size; a task sends at most k candidates of a query on,
+and the last step ranks those. Bounds are widened by a relative margin, so rounding loses nothing; scores are
+integers.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, neither as
 queries nor as candidates, nor do rows with a null id; of rows with a repeated id the one of the least vector counts;
@@ -82,24 +83,34 @@ def _scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x.astype(np.int64) @ y.astype(np.int64).T
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each row, by score, then smaller id; a score of the least long is none."""
-    if scores.shape[1] > 4 * k:
-        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-        out = []
-        for row, bound in zip(scores, kth, strict=True):
-            at = np.nonzero(row >= bound)[0]
-            out.append(at[np.lexsort((ids[at], -row[at]))][:k])
-        return np.array(out)
-    return np.array([np.lexsort((ids, -row))[:k] for row in scores])
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the k best of each row, by score, then smaller id; filled up with NONE."""
+    n = scores.shape[1]
+    if n <= k:
+        pad = ((0, 0), (0, k - n))
+        return np.pad(scores, pad, constant_values=NONE), np.pad(np.broadcast_to(ids, scores.shape), pad)
+    at = np.argpartition(scores, n - k, axis=1)[:, n - k :]
+    kth = np.take_along_axis(scores, at, 1).min(1)
+    for row in np.nonzero((scores >= kth[:, None]).sum(1) > k)[0]:  # ties at the end: the smaller ids
+        some = np.nonzero(scores[row] >= kth[row])[0]
+        at[row] = some[np.lexsort((ids[some], -scores[row, some]))[:k]]
+    return np.take_along_axis(scores, at, 1), ids[at]
 
 
 NONE = np.iinfo(np.int64).min + 1
-_ANNULUS = "annulus long, pivot int, lo double, hi double, n long, ids binary, vectors binary, n_queries long, queries binary, bounds binary"
+BLOCK_QUERIES = 2048
+_ANNULUS = "annulus long, pivot int, lo double, hi double, n long, ids binary, vectors binary, n_queries long, query_ids binary, query_vectors binary, bounds binary"
+_BLOCK = "own long, query_ids binary, query_vectors binary, bounds binary"
 
 
-def index(found: DataFrame, k: int, every: int, pivots: np.ndarray, most: float, dim: int, annulus_rows: int = ANNULUS_ROWS) -> DataFrame:
-    """The annuli. Rows whose id is divisible by ``every`` are also queries: their places, and what is known of their k-th best score."""
+def _row(schema: str, values: list) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[k]) for v, (_, k) in zip(values, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def index(found: DataFrame, k: int, every: int, pivots: np.ndarray, most: float, dim: int, kind: str, annulus_rows: int = ANNULUS_ROWS) -> DataFrame:
+    """The annuli. Rows whose id is divisible by ``every`` are also queries; their k-th best score in the annulus is their first bound."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,12 +133,10 @@ def index(found: DataFrame, k: int, every: int, pivots: np.ndarray, most: float,
                 s = _scores(x[at], x)
                 s[np.arange(len(at)), at] = NONE
                 bounds = np.partition(s, s.shape[1] - k, axis=1)[:, -k]
-            row = [(part << 32) | no, int(rows["pivot"][0].as_py()), float(d[0]), float(d[-1]), len(ids), ids.tobytes(), x.astype("<i8").tobytes(), len(at), at.astype("<i8").tobytes(), bounds.astype("<i8").tobytes()]
             no += 1
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
+            values = [(part << 32) | no, int(rows["pivot"][0].as_py()), float(d[0]), float(d[-1]), len(ids), ids.tobytes(), x.astype(kind).tobytes()]
+            return _row(_ANNULUS, [*values, len(at), ids[at].tobytes(), x[at].astype(kind).tobytes(), bounds.astype("<i8").tobytes()])
 
-        kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-        names = [x.split()[0] for x in _ANNULUS.split(", ")]
         waiting: pa.Table | None = None
         for b in batches:
             some = pa.Table.from_batches([b])
@@ -148,19 +157,42 @@ def index(found: DataFrame, k: int, every: int, pivots: np.ndarray, most: float,
     return near.repartitionByRange(n, "pivot", "d", "vec_id").sortWithinPartitions("pivot", "d", "vec_id").mapInArrow(cut, _ANNULUS)
 
 
-def _reaches(annuli: DataFrame, pivots: np.ndarray, most: float, dim: int) -> DataFrame:
-    """block, pivot, from, to: between which radii round each pivot a block of queries (those of one annulus) can have neighbours."""
+def query_blocks(annuli: DataFrame, dim: int, kind: str, size: int = BLOCK_QUERIES) -> DataFrame:
+    """The queries of the annuli, neighbours in the index together, in blocks of at most ``size``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, no, width = TaskContext.get().partitionId(), 0, dim * np.dtype(kind).itemsize
+        held = [b"", b"", b""]
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held = [x + y for x, y in zip(held, row, strict=True)]
+                while len(held[0]) >= 8 * size:
+                    no += 1
+                    yield _row(_BLOCK, [(part << 32) | no, held[0][: 8 * size], held[1][: width * size], held[2][: 8 * size]])
+                    held = [held[0][8 * size :], held[1][width * size :], held[2][8 * size :]]
+        if held[0]:
+            yield _row(_BLOCK, [(part << 32) | (no + 1), *held])
+
+    n = annuli.agg(F.sum("n_queries")).first()[0] or 0
+    some = annuli.where("n_queries > 0").select("query_ids", "query_vectors", "bounds")
+    return some.coalesce(max(1, -(-n // (4 * size)))).mapInArrow(run, _BLOCK)
+
+
+def _reaches(blocks: DataFrame, pivots: np.ndarray, most: float, dim: int, kind: str) -> DataFrame:
+    """own, p, near, far, mid: between which radii round each pivot a block's queries can have neighbours, and round which they look first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["own", "p", "near", "far", "mid"]
         for b in batches:
-            out: list[tuple[int, int, float, float]] = []
-            for block, x, at, bounds in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                q = np.frombuffer(x, "<i8").reshape(-1, dim)[np.frombuffer(at, "<i8")].astype(np.float64)
-                d, r = _distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), pivots), _radii(q, np.frombuffer(bounds, "<i8"), most)
-                out += [(block, j, float((d[:, j] - r).min()), float((d[:, j] + r).max())) for j in range(len(pivots))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["block", "p", "near", "far"])
+            for own, x, bounds in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                q = np.frombuffer(x, kind).reshape(-1, dim).astype(np.float64)
+                d, r = _distances(np.pad(q, ((0, 0), (0, 1))), pivots), _radii(q, np.frombuffer(bounds, "<i8"), most)[:, None]
+                columns = [np.full(len(pivots), own), np.arange(len(pivots), dtype=np.int32), (d - r).min(0), (d + r).max(0), d.mean(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return annuli.where("n_queries > 0").select("annulus", "vectors", "queries", "bounds").mapInArrow(run, "block long, p int, near double, far double")
+    return blocks.select("own", "query_vectors", "bounds").mapInArrow(run, "own long, p int, near double, far double, mid double")
 
 
 def _radii(q: np.ndarray, bounds: np.ndarray, most: float) -> np.ndarray:
@@ -170,43 +202,65 @@ def _radii(q: np.ndarray, bounds: np.ndarray, most: float) -> np.ndarray:
     return np.sqrt(np.maximum(0, square)) + MARGIN * np.sqrt(whole) + np.sqrt(1e-12 * whole)
 
 
-def search(annuli: DataFrame, k: int, pivots: np.ndarray, most: float, dim: int) -> DataFrame:
+class _Search:
+    """A block of queries: what is found so far, and how far each query still looks."""
+
+    def __init__(self, ids: bytes, vectors: bytes, bounds: bytes, k: int, dim: int, kind: str):
+        self.ids, self.k = np.frombuffer(ids, "<i8"), k
+        self.q = np.frombuffer(vectors, kind).reshape(-1, dim).astype(np.float64)
+        self.bounds = np.frombuffer(bounds, "<i8").copy()
+        self.scores, self.found = np.full((len(self.ids), k), NONE), np.zeros((len(self.ids), k), np.int64)
+
+    def meet(self, x: np.ndarray, ids: np.ndarray, centre: np.ndarray, most: float) -> None:
+        """Look into an annulus, its vectors in order of their distance to the pivot: each query at those between its bounds."""
+        radii = _distances(_lifted(x, most), centre)[:, 0]
+        d, r = _distances(np.pad(self.q, ((0, 0), (0, 1))), centre)[:, 0], _radii(self.q, self.bounds, most)
+        slack = 1e-6 * (1 + radii.max())  # the order was made from the same distances, up to rounding
+        low = np.searchsorted(np.minimum.accumulate(radii[::-1])[::-1], d - r - slack)
+        high = np.searchsorted(np.maximum.accumulate(radii), d + r + slack, side="right")
+        use = np.nonzero(high > low)[0]
+        for at in range(0, len(use), 512):
+            some = use[at : at + 512]
+            s, e = int(low[some].min()), int(high[some].max())
+            score = _scores(self.q[some], x[s:e])
+            _, row, column = np.intersect1d(self.ids[some], ids[s:e], return_indices=True)
+            score[row, column] = NONE  # the query itself
+            new, who = _best(score, ids[s:e], self.k)
+            new, who = np.concatenate([self.scores[some], new], 1), np.concatenate([self.found[some], who], 1)
+            order = np.lexsort((who, -new), axis=1)[:, : self.k]
+            self.scores[some], self.found[some] = np.take_along_axis(new, order, 1), np.take_along_axis(who, order, 1)
+            self.bounds[some] = np.maximum(self.bounds[some], self.scores[some, -1])
+
+    def rows(self) -> pa.RecordBatch:
+        keep = self.scores > NONE
+        columns = [np.broadcast_to(self.ids[:, None], keep.shape)[keep], self.found[keep], self.scores[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+
+def search(annuli: DataFrame, k: int, pivots: np.ndarray, most: float, dim: int, kind: str) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of each query."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, block = None, None
         for b in batches:
-            for own, q_ids, q_all, at, bounds, pivot, c_ids, c_all, annulus in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at, bounds = np.frombuffer(at, "<i8"), np.frombuffer(bounds, "<i8")
-                q = np.frombuffer(q_all, "<i8").reshape(-1, dim)[at].astype(np.float64)
-                q_ids, ids = np.frombuffer(q_ids, "<i8")[at], np.frombuffer(c_ids, "<i8")
-                x = np.frombuffer(c_all, "<i8").reshape(-1, dim).astype(np.float64)
-                centre = pivots[pivot][None]
-                radii = _distances(_lifted(x, most), centre)[:, 0]  # ascending but for rounding
-                d, r = _distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), centre)[:, 0], _radii(q, bounds, most)
-                slack = 1e-6 * (1 + radii[-1])
-                low, high = np.searchsorted(np.minimum.accumulate(radii[::-1])[::-1], d - r - slack), np.searchsorted(np.maximum.accumulate(radii), d + r + slack, side="right")
-                use = np.nonzero(high > low)[0]
-                columns: list[list] = [[], [], []]
-                for some in np.array_split(use, max(1, -(-len(use) // 512))):
-                    if not len(some):
-                        continue
-                    s, e = int(low[some].min()), int(high[some].max())
-                    score = _scores(q[some], x[s:e])
-                    if own == annulus:
-                        score[q_ids[some][:, None] == ids[s:e]] = NONE
-                    for i, places in zip(some, _best(score, ids[s:e], k), strict=True):
-                        got = score[np.searchsorted(some, i), places]
-                        keep = got >= max(bounds[i], NONE + 1)
-                        columns[0] += [int(q_ids[i])] * int(keep.sum())
-                        columns[1] += ids[s:e][places[keep]].tolist()
-                        columns[2] += got[keep].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    blocks = annuli.where("n_queries > 0").select(F.col("annulus").alias("own"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_all"), "queries", "bounds")
+            for i in range(b.num_rows):
+                own, q_ids, q_vectors, bounds, pivot, ids, vectors = (c[i].as_py() for c in b.columns[:7])
+                if own != current:
+                    if block is not None:
+                        yield block.rows()
+                    current, block = own, _Search(q_ids, q_vectors, bounds, k, dim, kind)
+                block.meet(np.frombuffer(vectors, kind).reshape(-1, dim).astype(np.float64), np.frombuffer(ids, "<i8"), pivots[pivot][None], most)
+        if block is not None:
+            yield block.rows()
+
+    blocks = written(query_blocks(annuli, dim, kind), "queries")
     rings = annuli.select("annulus", F.col("pivot").alias("p"), "lo", "hi")
-    pairs = _reaches(annuli, pivots, most, dim).join(rings, "p").where("near <= hi AND far >= lo").select(F.col("block").alias("own"), "annulus")
-    pairs = pairs.join(blocks, "own").join(annuli.select("annulus", "pivot", "ids", "vectors"), "annulus")
-    met = pairs.select("own", "q_ids", "q_all", "queries", "bounds", "pivot", "ids", "vectors", "annulus").mapInArrow(meet, "query_id long, vec_id long, score long")
+    gap = F.greatest(F.col("lo") - F.col("mid"), F.col("mid") - F.col("hi"), F.lit(0.0))
+    pairs = _reaches(blocks, pivots, most, dim, kind).join(rings, "p").where("near <= hi AND far >= lo").select("own", "annulus", gap.alias("gap"))
+    pairs = pairs.join(annuli.select("annulus", "pivot", "ids", "vectors"), "annulus").join(blocks, "own")
+    # in a task the annuli of a block come from the nearest outwards
+    near = pairs.sortWithinPartitions("own", "gap").select("own", "query_ids", "query_vectors", "bounds", "pivot", "ids", "vectors")
+    met = near.mapInArrow(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -215,15 +269,16 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, pi
     """For each row whose id is divisible by ``every``: the k other rows of largest inner product."""
     found = written(vectors(rows, scale, key, vector), "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
-    facts = found.agg(F.max(square).alias("most"), F.max(F.size("v")).alias("dim")).first()
-    dim, most = facts["dim"] or 1, facts["most"] or 0.0
+    facts = found.agg(F.max(square).alias("most"), F.max(F.size("v")).alias("dim"), F.max(F.array_max(F.transform("v", F.abs))).alias("top")).first()
+    dim, most, top = facts["dim"] or 1, facts["most"] or 0.0, facts["top"] or 0
+    kind = next((t for t in ("<i2", "<i4") if top <= np.iinfo(t).max), "<i8")  # of the components as they are packed
     sample = found.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(SAMPLE_ROWS).collect()
     x = np.zeros((len(sample), dim))
     for i, r in enumerate(sample):
         x[i, : len(r["v"])] = r["v"]
     centres = fit_pivots(_lifted(x, most), pivots) if len(sample) else np.zeros((1, dim + 1))
-    annuli = written(index(found, k, every, centres, most, dim, annulus_rows), "annuli")
-    return search(annuli, k, centres, most, dim)
+    annuli = written(index(found, k, every, centres, most, dim, kind, annulus_rows), "annuli")
+    return search(annuli, k, centres, most, dim, kind)
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
