@@ -81,7 +81,8 @@ _VERIFY = """bit_count(a_fp ^ b_fp) <= 2 AND CASE
 def links(nodes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """u, v (reps, u > v) of a set of links under which the classes of nodes (fp, rep; distinct fp) are those of all links."""
     keyed = _keyed(nodes)
-    shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # dealt anew, so that the join below is of two plain exchanges and a key of very many fingerprints can be split
+    shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").hint("rebalance")
     met = written(keyed.join(shared, "k"), "simhash-met")
     few = met.where(F.col("c") <= max_bucket)
     side = lambda s: few.select("k", *[F.col(c).alias(f"{s}_{c}") for c in (("fp", "rep", "p") if s == "a" else ("fp", "rep"))])
@@ -94,7 +95,7 @@ def links(nodes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     two = many.where("p % 32 = 0").select("p", "fp", "rep", other.alias("o"), F.explode(F.sequence(F.lit(0), F.lit(1023))).alias("j")).where("j div 32 < j % 32")
     two = two.select(F.expr("shiftrightunsigned(fp, 32 * (p div 32)) & 4294967295 | shiftleft(CAST(p AS BIGINT), 33)").alias("x"), (F.col("j") + 32).alias("y"), F.expr("o & ~(shiftleft(1L, j div 32) | shiftleft(1L, j % 32))").alias("z"), "rep")
     stars = one.unionByName(two)
-    least = stars.groupBy("x", "y", "z").agg(F.min("rep").alias("v"))
+    least = stars.groupBy("x", "y", "z").agg(F.min("rep").alias("v")).hint("rebalance")
     starred = stars.join(least, ["x", "y", "z"]).where("rep > v").select(F.col("rep").alias("u"), "v")
     return pairs.unionByName(starred).distinct()
 
@@ -108,10 +109,10 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     for _ in range(max_rounds):
         e = spark.read.schema("u long, v long").parquet(path)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         # each node's larger neighbours are given to the least of its neighbourhood, then its smaller ones
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
         after = new_path(spark, "components")
         small.write.parquet(after)
@@ -130,7 +131,8 @@ def classes(prints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     found = components(links(nodes.where("rep IS NOT NULL"), max_bucket))
     of = nodes.join(found.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select(F.col("fp").alias("f"), F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(of, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    # a table of its own: both sides are then plain exchanges, and a fingerprint of very many copies can be split
+    return prints.join(written(of, "simhash-classes"), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -139,7 +141,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest doc_id; of rows with the same doc_id, the one of least text hash."""
+    """One document of each class, that with the smallest doc_id; of rows with the same doc_id, the one of least text hash. Rows without a doc_id are not kept."""
     ids = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__vt_id")).distinct()
     kept = docs.join(ids, F.col("doc_id") == F.col("__vt_id"), "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
