@@ -57,7 +57,3 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-
-def path_of(df: DataFrame) -> str:
-    """Of a table made by written()."""
-    return df.inputFiles()[0].rpartition("/")[0] if df.inputFiles() else ""

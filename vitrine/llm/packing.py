@@ -156,7 +156,7 @@ def bin_completion(counts: np.ndarray, capacity: int, node_limit: int = NODE_LIM
     nodes = 0
     left = counts.astype(np.int64).copy()
     made: list[tuple[Pattern, list[dict[int, int]], int]] = []  # a pattern, the fillings not yet tried in its place, its largest length
-    sequences = waste = 0
+    sequences = 0
     while incumbent > need and nodes < node_limit:
         some = np.nonzero(left)[0]
         if not len(some):
@@ -176,12 +176,12 @@ def bin_completion(counts: np.ndarray, capacity: int, node_limit: int = NODE_LIM
                 pattern[top] = pattern.get(top, 0) + 1
                 times = min(int(left[x]) // n for x, n in pattern.items())
                 spare = capacity - sum(x * n for x, n in pattern.items())
-                # as many sequences more, and what is left packed without waste: is that fewer than the incumbent?
+                # the waste bound: with what is left packed without any waste, are there fewer sequences than the incumbent has?
                 if times and sequences + times + -(-int((left * lengths).sum() - times * (capacity - spare)) // capacity) < incumbent:
                     for x, n in pattern.items():
                         left[x] -= n * times
                     made.append(((tuple(sorted(pattern.items(), reverse=True)), times), options, top))
-                    sequences, waste = sequences + times, waste + spare * times
+                    sequences += times
                     break
                 continue
             if not made or incumbent == need or nodes >= node_limit:
