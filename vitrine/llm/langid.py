@@ -159,8 +159,11 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, key: str = "doc_id", text:
     if not known:
         return fit([])
     each = max(1, max_rows // len(known))
+    # of a language of n rows, those in the lowest share of the hash that should hold twice as many as are taken: what is ranked is bounded too
+    share = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], min(1.0, 2 * each / r["n"] + 64 / r["n"]))])
+    low = rows.select("lang", "h", "k").where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * float(1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))
-    some = rows.select("lang", "h", "k").where(F.col("lang").isin([r["lang"] for r in known])).withColumn("rank", rank).where(F.col("rank") <= each)
+    some = low.withColumn("rank", rank).where(F.col("rank") <= each)
     chosen = some.select(F.col("k").alias("chosen")).limit(max_rows)
     counted = rows.join(F.broadcast(chosen), F.col("k") == F.col("chosen"), "left_semi").select("lang", "h", "t").mapInArrow(_counted, "lang string, h long, at binary, n binary")
     found = counted.orderBy("h", "lang", "at", "n").limit(max_rows).collect()
