@@ -111,6 +111,13 @@ def fold_word(spark, sf):
     return w.select("w", tx.fold_word("w").alias("folded"))
 
 
+@query("fold_word_all", "SELECT DISTINCT w, regexp_replace(" + FOLD.format("w") + ", '[^a-z0-9]', '', 'g') AS folded FROM (SELECT unnest(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+')) AS w FROM documents) WHERE w <> ''")
+def fold_word_all(spark, sf):
+    """Every word of every text, of any length, on either side of any white space."""
+    w = c.table(spark, sf, "documents").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''").distinct()
+    return w.select("w", tx.fold_word("w").alias("folded"))
+
+
 WORDS = "list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda w: length(w) >= 2)"
 VOCAB = f"""w AS (SELECT doc_id, unnest({WORDS}) AS w FROM documents),
 k AS (SELECT doc_id, w, lower(w) AS form, {FOLD.format("w")} AS key FROM w),
