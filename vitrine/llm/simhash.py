@@ -5,7 +5,7 @@ segments. So each distinct fingerprint is indexed under 64 keys, one for every s
 wiped out; an equality join on the key finds every candidate and the exact distance verifies it. A pair that
 meets under several keys counts under its first one only.
 
-Copies never meet: fingerprints are made distinct first, each with its smallest doc_id. A key under which more than
+Copies never meet: fingerprints are made distinct first. A key under which more than
 ``MAX_BUCKET`` fingerprints stand is not joined with itself; its members are keyed once more, with one bit of the
 other segment wiped out too (and for equal segments with every two bits), so that all that share such a key
 differ in two bits at most and are linked to their smallest member: rows in proportion to the members, no pairs,
@@ -14,8 +14,9 @@ nothing lost.
 Components come from alternating large-star and small-star rounds over the links; each round is a written table.
 
 Defined results: a null or blank text has fingerprint zero, linked like any other; texts of one or two words are
-one shingle; equal rows and repeated doc_ids share their class; a null doc_id is a member of its class that names
-it only where all its ids are null; an empty table gives no rows; further columns are not read.
+one shingle; equal texts share their class, and a repeated doc_id is in the class of each of its texts; a null
+doc_id is a member of its class like any other, links included, and names it only where all its ids are null; an
+empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -126,17 +127,25 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def roots(prints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """Of each distinct fp of fingerprints(), a written table: f, the smallest fp that can be reached over links (root), and the smallest doc_id of all those."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    # fingerprints are the nodes: those without a doc_id link others too, and a doc_id of several texts links none
+    found = components(links(nodes.select("fp", F.col("fp").alias("rep")), max_bucket))
+    of = nodes.join(found.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root"), "rep")
+    of = written(of, "simhash-roots")
+    least = of.groupBy("root").agg(F.min("rep").alias("component_id")).hint("rebalance")
+    return written(of.join(least, "root").select("f", "root", "component_id"), "simhash-classes")
+
+
 def classes(prints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """doc_id, fp, component_id of each row of fingerprints(), which should be a written table."""
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = components(links(nodes.where("rep IS NOT NULL"), max_bucket))
-    of = nodes.join(found.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select(F.col("fp").alias("f"), F.coalesce("root", "rep").alias("component_id"))
-    # a table of its own: both sides are then plain exchanges, and a fingerprint of very many copies can be split
-    return prints.join(written(of, "simhash-classes"), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    # roots are a table of their own: both sides are then plain exchanges, and a fingerprint of very many copies can be split
+    return prints.join(roots(prints, max_bucket), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that can be reached over links, of each row."""
+    """doc_id, fp and component_id, the smallest doc_id that can be reached over links, of each row; null where none can."""
     return classes(written(fingerprints(docs, key, text), "simhash-fp"), max_bucket)
 
 
