@@ -27,7 +27,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import drop_path, new_path, table, written
@@ -57,12 +57,14 @@ def fingerprint(text: bytes | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())], names=["doc_id", "fp"])
+        found = pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), found, *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp (signed long) of each row."""
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and fp (signed long) of each row, and further columns of longs."""
+    schema = ", ".join(["doc_id long, fp long", *(f"`{c}` long" for c in more)])
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"), *more).mapInArrow(_fingerprints, schema)
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
@@ -149,12 +151,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
     return classes(written(fingerprints(docs, key, text), "simhash-fp"), max_bucket)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest doc_id; of rows with the same doc_id, the one of least text hash. Rows without a doc_id are not kept."""
-    ids = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__vt_id")).distinct()
-    kept = docs.join(ids, F.col("doc_id") == F.col("__vt_id"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("__vt_n", F.row_number().over(first)).where("__vt_n = 1").select(*docs.columns)
+def keep_one(docs: DataFrame, unnamed: bool = False) -> DataFrame:
+    """One row of each class: of those with the smallest doc_id, that of least text hash, or the first of equal ones. Of a class without any doc_id a row is kept only where ``unnamed``."""
+    # written with a number for each row, so that rows are told apart whatever ids and texts they share
+    rows = written(docs.withColumn("__vt_row", F.monotonically_increasing_id()), "simhash-rows")
+    prints = written(fingerprints(rows.withColumn("__vt_hash", F.xxhash64("text")), more=("__vt_hash", "__vt_row")), "simhash-fp")
+    # the best row of each fingerprint first: partial minima, so that a class of very many copies is not brought to one task
+    best = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__vt_hash", "__vt_row")).alias("best"))
+    best = best.join(roots(prints), F.col("fp") == F.col("f")).groupBy("root").agg(F.min("best").alias("best"))
+    if not unnamed:
+        best = best.where("NOT best.none")
+    return rows.join(best.select("best.__vt_row"), "__vt_row", "left_semi").select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
