@@ -4,9 +4,11 @@ A page is cut into blocks at block-level tags and double line breaks; each block
 characters, and the elements it stands in. First pass, block by block: blocks in menus, headers, footers, sidebars,
 notices, adverts, forms and comments are bad; blocks that are mostly links are bad; then stop-word density, length
 and link density tell good blocks, bad ones, and ambiguous short or nearly good ones. Second pass: an ambiguous
-block takes the label of its nearest decided neighbours, the better one first if it is nearly good. On a page whose
-author marks an article, blocks outside of it are bad and a block inside is decided by its links alone, for prose
-there may have no stop words.
+block takes the label of its nearest decided neighbours, the better one first if it is nearly good. An article that
+the author marks shifts the thresholds, for prose there may have no stop words: what would be bad or ambiguous inside
+of it is ambiguous and leans to good unless its links are many, and what is ambiguous outside of it is good between
+good neighbours only. The mark counts nothing where more good text stands outside than text with few links inside,
+as on a page whose related items are marked as articles.
 
 Defined results: a null, blank or plain-menu page has the empty text; blocks of a page where no block is decided are all kept; unclosed and stray tags are borne; equal rows
 have equal texts; an empty table gives no rows; further columns are not read. Time is in proportion to the page.
@@ -174,49 +176,69 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
-GOOD, BAD, SHORT, NEAR = "good", "bad", "short", "near"
+GOOD, BAD, SHORT, NEAR, INSIDE, OUTSIDE = "good", "bad", "short", "near", "inside", "outside"
 
 
-def _first(block: Block, text: str, marked: bool) -> str:
+def _stops(text: str) -> float:
+    found = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in found) / max(1, len(found))
+
+
+def _plain(block: Block, text: str) -> str:
+    """The label of a block on a page without marks."""
     size = len(text)
-    density = block.linked / size
-    if block.region or (marked and not block.article):
-        return BAD
-    if marked:
-        return BAD if density > LINKS_MOST_IN_ARTICLE else GOOD
-    if density > LINKS_MOST:
+    if block.region or block.linked / size > LINKS_MOST:
         return BAD
     if size < LENGTH_LOW:
         return BAD if block.linked else SHORT
-    found = _WORD.findall(text.lower())
-    stop = sum(w in STOP_WORDS for w in found) / max(1, len(found))
+    stop = _stops(text)
     if stop >= STOP_HIGH:
         return GOOD if size > LENGTH_HIGH else NEAR
     return NEAR if stop >= STOP_LOW else BAD
 
 
-def _second(labels: list[str]) -> list[str]:
-    """Each ambiguous block by the nearest decided labels before and after it."""
-    n, before, after = len(labels), [], []
-    last = BAD
-    for x in labels:
-        before.append(last)
-        last = x if x in (GOOD, BAD) else last
-    last = BAD
-    for x in reversed(labels):
-        after.append(last)
-        last = x if x in (GOOD, BAD) else last
-    after.reverse()
-    decided = any(x in (GOOD, BAD) for x in labels)
-    if not decided:  # nothing speaks against any block
-        return [GOOD] * n
+def _first(some: list[tuple[Block, str]]) -> list[str]:
+    labels = [_plain(b, t) for b, t in some]
+    inside = sum(len(t) for b, t in some if b.article and not b.region and b.linked / len(t) <= LINKS_MOST)
+    if not inside or inside < sum(len(t) for (b, t), x in zip(some, labels, strict=True) if x == GOOD and not b.article):
+        return labels
+    for i, (b, t) in enumerate(some):
+        if b.region or labels[i] == GOOD:
+            continue
+        if not b.article:
+            labels[i] = BAD if labels[i] == BAD else OUTSIDE
+        else:
+            density, wordy = b.linked / len(t), len(t) < LENGTH_LOW or _stops(t) >= STOP_LOW
+            labels[i] = BAD if density > (LINKS_MOST_IN_ARTICLE if wordy else LINKS_MOST) else INSIDE
+    return labels
+
+
+def _around(labels: list[str]) -> list[set[str]]:
+    """The nearest decided labels before and after each block."""
+    before, after = [], []
+    for out, order in ((before, labels), (after, labels[::-1])):
+        last = BAD
+        for x in order:
+            out.append(last)
+            last = x if x in (GOOD, BAD) else last
+    return [{x, y} for x, y in zip(before, reversed(after), strict=True)]
+
+
+def _second(labels: list[str], articles: list[bool]) -> list[str]:
+    """Each ambiguous block by the nearest decided labels before and after it; those inside of articles first."""
+    if INSIDE in labels:
+        some = any(x == GOOD and a for x, a in zip(labels, articles, strict=True))
+        labels = [(GOOD if GOOD in n or not some else BAD) if x == INSIDE else x for x, n in zip(labels, _around(labels), strict=True)]
+    if not any(x in (GOOD, BAD) for x in labels):  # nothing speaks against any block
+        return [GOOD] * len(labels)
     out = []
-    for i in range(n):
-        x, around = labels[i], {before[i], after[i]}
+    for i, (x, around) in enumerate(zip(labels, _around(labels), strict=True)):
         if x == NEAR:
             x = GOOD if GOOD in around or GOOD not in labels else BAD
         elif x == SHORT:
             x = GOOD if around == {GOOD} or (GOOD in around and (NEAR in labels[max(0, i - 1) : i + 2])) else BAD
+        elif x == OUTSIDE:
+            x = GOOD if around == {GOOD} else BAD
         out.append(x)
     return out
 
@@ -225,8 +247,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     some = [(b, t) for b in blocks(html) if (t := " ".join("".join(b.parts).split()))]
-    marked = any(b.article and not b.region for b, _ in some)
-    labels = _second([_first(b, t, marked) for b, t in some])
+    labels = _second(_first(some), [b.article for b, _ in some])
     return "\n".join(t for (_, t), x in zip(some, labels, strict=True) if x == GOOD)
 
 
