@@ -10,7 +10,8 @@ of it is ambiguous and leans to good unless its links are many, and what is ambi
 good neighbours only. The mark counts nothing where more good text stands outside than text with few links inside,
 as on a page whose related items are marked as articles.
 
-Defined results: a null, blank or plain-menu page has the empty text; blocks of a page where no block is decided are all kept; unclosed and stray tags are borne; equal rows
+Defined results: a null, blank or plain-menu page has the empty text; blocks of a page where no block is decided are all kept; unclosed and stray tags are borne, an
+unclosed head ends at the first text or tag that may not stand in it; equal rows
 have equal texts; an empty table gives no rows; further columns are not read. Time is in proportion to the page.
 """
 
@@ -36,6 +37,7 @@ STOP_WORDS = frozenset(
 )
 #: Element names by what they do.
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select option button datalist".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())  # any other start tag ends an open head
 REGIONS = frozenset("nav header footer aside form dialog menu".split())
 ARTICLES = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -95,6 +97,8 @@ def blocks(html: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal current, breaks
+        if stack and stack[-1][0] == "head" and text and not text.isspace():
+            pop(len(stack) - 1)
         silent, region, article, _ = stack[-1][1:] if stack else (False, False, False, False)
         if silent or not text:
             return
@@ -133,6 +137,11 @@ def blocks(html: str) -> list[Block]:
         if not m[2]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
+        if not closing and stack and (tag == "body" or (stack[-1][0] == "head" and tag not in IN_HEAD and tag not in ("head", "html"))):
+            for k, x in enumerate(stack):
+                if x[0] == "head":
+                    pop(k)
+                    break
         if tag in ("script", "style", "textarea", "title") and not closing:  # raw text up to the end tag
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, pos)
             pos = end.end() if end else size
