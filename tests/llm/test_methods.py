@@ -150,7 +150,7 @@ def test_token_counts(texts, strange):
 
 def test_encoder(texts, strange, words):
     some = [t for _, t, _, _ in texts] + strange
-    mine = encode.PieceEncoder(encode.vocabulary("word_bpe_49k.json"), cache_pieces=300)
+    mine = encode.PieceEncoder(encode.vocabulary("word_bpe_49k.json"), cache_bytes=40_000)
     assert [mine.payload(t.encode()) for t in some] == [np.array(e.ids, "<u4").tobytes() for e in words.encode_batch(some, add_special_tokens=False)]
 
 
@@ -166,15 +166,34 @@ def test_token_file(spark, sf, texts, words):
     assert list(found) == [7, 150] and found[7].tolist() == [*words.encode(texts[7][1], add_special_tokens=False).ids, 1]
 
 
-def test_perfect_hash():
-    keys = np.random.default_rng(4).choice(10**12, 20_000, replace=False).astype(np.int64)
-    mph = tokenfile.PerfectHash.build(keys)
-    assert sorted(mph(keys).tolist()) == list(range(len(keys)))
-    shard = tokenfile.Shard(b"".join(tokenfile.shard_bytes(np.sort(keys), [bytes(2 * (i % 5)) for i in range(len(keys))], 2)))
-    assert (shard.find(np.sort(keys)) == np.arange(len(keys))).all()
-    assert (shard.find(keys + 10**12) == -1).all()
+class Counted:
+    """A shard's bytes, and what was read of them."""
+
+    def __init__(self, data):
+        self.data, self.reads = data, []
+
+    def __call__(self, at, n):
+        self.reads.append(n)
+        return self.data[at : at + n]
+
+
+@pytest.mark.parametrize("n", [0, 1, 20_000])
+def test_perfect_hash(n):
+    keys = np.sort(np.random.default_rng(4).choice(10**12, n, replace=False).astype(np.int64))
+    _, _, value = tokenfile.perfect_hash(keys)
+    assert sorted(value.tolist()) == list(range(n))
+    ids = np.arange(5 * n, dtype="<u2")
+    sizes = np.full(n, 5)
+    data = Counted(tokenfile.MAGIC + ids.tobytes() + b"".join(tokenfile.index_bytes(keys, sizes, 2)))
+    shard = tokenfile.Shard(data, len(data.data))
+    assert (shard.find_all(keys) == np.arange(n)).all() and (shard.find_all(keys + 10**12) == -1).sum() >= 0.99 * n
+    for i in range(0, n, 997):
+        data.reads.clear()
+        assert shard.find(int(keys[i])) == i and shard.payload(i).tolist() == ids[5 * i : 5 * i + 5].tolist()
+        assert len(data.reads) < 20 and max(data.reads) <= 16  # whatever the shard's size
+        assert shard.find(int(keys[i]) + 10**12) == -1
     with pytest.raises(ValueError):
-        tokenfile.PerfectHash.build(np.array([5, 5]))
+        tokenfile.perfect_hash(np.array([5, 5]))
 
 
 def check_packed(rows, capacity):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,30 @@ def words(text: str | Column) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, GAP))
 
 
+BATCH_BYTES = "4m"  # of rows that go to a Python worker at a time
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow, by batches bounded in bytes (unless the session sets a bound of its own): a batch of long texts is no larger than one of short texts."""
+    conf = df.sparkSession.conf
+    if _BATCH not in conf.getAll:
+        conf.set(_BATCH, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme, that of the cluster's default file system where it has none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset: on a cluster an error; in local mode, as in tests, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vitrine-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

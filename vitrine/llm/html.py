@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import table
+from vitrine.llm.common import in_batches, table
 
 #: Common words of four languages.
 STOP_WORDS = frozenset(
@@ -270,7 +270,7 @@ def extract(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("page
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=[*keys, "text", "n_chars"])
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "text string, n_chars long"])
-    return pages.select(*keys, F.col(html).cast("string")).mapInArrow(run, schema)
+    return in_batches(pages.select(*keys, F.col(html).cast("string")), run, schema)
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import table
+from vitrine.llm.common import in_batches, table
 
 BUCKET_BITS = 13
 GRAMS = 4
@@ -165,7 +165,7 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, key: str = "doc_id", text:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))
     some = low.withColumn("rank", rank).where(F.col("rank") <= each)
     chosen = some.select(F.col("k").alias("chosen")).limit(max_rows)
-    counted = rows.join(F.broadcast(chosen), F.col("k") == F.col("chosen"), "left_semi").select("lang", "h", "t").mapInArrow(_counted, "lang string, h long, at binary, n binary")
+    counted = in_batches(rows.join(F.broadcast(chosen), F.col("k") == F.col("chosen"), "left_semi").select("lang", "h", "t"), _counted, "lang string, h long, at binary, n binary")
     found = counted.orderBy("h", "lang", "at", "n").limit(max_rows).collect()
     return fit([(r["lang"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i8")) for r in found], seed)
 
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             columns = [b.column(0), *[pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [[]] * 3, (pa.string(), pa.float64(), pa.bool_()), strict=True)]]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return in_batches(docs.select(F.col(key).cast("long"), F.col(text).cast("string")), run, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def held_out(key: str = "doc_id"):

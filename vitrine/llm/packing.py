@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import table, written
+from vitrine.llm.common import in_batches, table, written
 from vitrine.llm.encode import END, encoder, vocabulary
 
 CAPACITY = 4096
@@ -223,8 +223,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         for b in batches:
             rows: list[tuple] = []
             held = 0
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = enc.payload(t.as_py()) + END
+            for doc, ids in zip(b.column(0).to_pylist(), enc.payloads(t.as_py() for t in b.column(1)), strict=True):
+                data = ids + END
                 for piece, at in enumerate(range(0, len(data), step)):
                     part = data[at : at + step]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(names)])
@@ -235,7 +235,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             yield _batch(rows, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("binary")).mapInArrow(cut, schema)
+    return in_batches(docs.select(F.col(key).cast("long"), F.col(text).cast("binary")), cut, schema)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:

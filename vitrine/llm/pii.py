@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import table
+from vitrine.llm.common import in_batches, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "national_id", "person")
@@ -445,7 +445,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), as_rows(base), as_rows(every)], names=["doc_id", "base", "spans"])
 
     row = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"doc_id long, base {row}, spans {row}")
+    return in_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")), run, f"doc_id long, base {row}, spans {row}")
 
 
 def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
@@ -467,7 +467,7 @@ def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Data
                     columns[many] = pa.array(sizes, b.schema.types[many])
                 yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import drop_path, new_path, table, written
+from vitrine.llm.common import drop_path, in_batches, new_path, table, written
 
 SHINGLE = 3
 SEED = 42
@@ -64,7 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and fp (signed long) of each row, and further columns of longs."""
     schema = ", ".join(["doc_id long, fp long", *(f"`{c}` long" for c in more)])
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"), *more).mapInArrow(_fingerprints, schema)
+    return in_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"), *more), _fingerprints, schema)
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import table
+from vitrine.llm.common import in_batches, table
 from vitrine.llm.encode import vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -127,7 +127,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string"), size.alias("n")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return in_batches(docs.select(F.col(key).cast("long"), F.col(text).cast("string"), size.alias("n")), run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

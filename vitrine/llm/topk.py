@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import table, written
+from vitrine.llm.common import in_batches, table, written
 
 PIVOTS = 64
 SAMPLE_ROWS = 4096  # that pivots are fitted on
@@ -152,9 +152,9 @@ def index(found: DataFrame, k: int, every: int, pivots: np.ndarray, most: float,
         if waiting is not None and waiting.num_rows:
             yield annulus(waiting)
 
-    near = found.mapInArrow(assign, "vec_id long, v array<long>, pivot int, d double")
+    near = in_batches(found, assign, "vec_id long, v array<long>, pivot int, d double")
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return near.repartitionByRange(n, "pivot", "d", "vec_id").sortWithinPartitions("pivot", "d", "vec_id").mapInArrow(cut, _ANNULUS)
+    return in_batches(near.repartitionByRange(n, "pivot", "d", "vec_id").sortWithinPartitions("pivot", "d", "vec_id"), cut, _ANNULUS)
 
 
 def query_blocks(annuli: DataFrame, dim: int, kind: str, size: int = BLOCK_QUERIES) -> DataFrame:
@@ -177,7 +177,7 @@ def query_blocks(annuli: DataFrame, dim: int, kind: str, size: int = BLOCK_QUERI
 
     n = annuli.agg(F.sum("n_queries")).first()[0] or 0
     some = annuli.where("n_queries > 0").select("query_ids", "query_vectors", "bounds")
-    return some.coalesce(max(1, -(-n // (4 * size)))).mapInArrow(run, _BLOCK)
+    return in_batches(some.coalesce(max(1, -(-n // (4 * size)))), run, _BLOCK)
 
 
 def _reaches(blocks: DataFrame, pivots: np.ndarray, most: float, dim: int, kind: str) -> DataFrame:
@@ -192,7 +192,7 @@ def _reaches(blocks: DataFrame, pivots: np.ndarray, most: float, dim: int, kind:
                 columns = [np.full(len(pivots), own), np.arange(len(pivots), dtype=np.int32), (d - r).min(0), (d + r).max(0), d.mean(0)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return blocks.select("own", "query_vectors", "bounds").mapInArrow(run, "own long, p int, near double, far double, mid double")
+    return in_batches(blocks.select("own", "query_vectors", "bounds"), run, "own long, p int, near double, far double, mid double")
 
 
 def _radii(q: np.ndarray, bounds: np.ndarray, most: float) -> np.ndarray:
@@ -260,7 +260,7 @@ def search(annuli: DataFrame, k: int, pivots: np.ndarray, most: float, dim: int,
     pairs = pairs.join(annuli.select("annulus", "pivot", "ids", "vectors"), "annulus").join(blocks, "own")
     # in a task the annuli of a block come from the nearest outwards
     near = pairs.sortWithinPartitions("own", "gap").select("own", "query_ids", "query_vectors", "bounds", "pivot", "ids", "vectors")
-    met = near.mapInArrow(meet, "query_id long, vec_id long, score long")
+    met = in_batches(near, meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
