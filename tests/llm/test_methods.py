@@ -219,26 +219,62 @@ def test_packing(spark, sf, texts, words):
     assert check_packed(rows, 4096) == -(-sum(r["length"] for r in rows) // 4096)
 
 
-@pytest.mark.parametrize("seed", range(6))
+def fewest(left, bins, capacity, most):
+    """Fewest bins by trying every place of every piece."""
+    if not left:
+        return len(bins)
+    for k in range(len(bins)):
+        if bins[k] + left[0] <= capacity and bins[k] not in bins[:k]:
+            most = min(most, fewest(left[1:], [*bins[:k], bins[k] + left[0], *bins[k + 1 :]], capacity, most))
+    return min(most, fewest(left[1:], [*bins, left[0]], capacity, most)) if len(bins) < most else most
+
+
+@pytest.mark.parametrize("seed", range(60))
 def test_bin_completion(seed):
     rng = np.random.default_rng(seed)
-    capacity = 60
-    lengths = rng.integers(1 if seed % 2 else 15, 45, 9)
+    capacity = int(rng.integers(20, 61))
+    low = (1, capacity // 5, capacity // 4)[seed % 3]
+    lengths = rng.integers(low, capacity * 3 // 4, 10)
     counts = np.bincount(lengths, minlength=capacity + 1)
-
-    def best(left, bins):  # fewest bins by trying every place
-        if not left:
-            return len(bins)
-        out = len(lengths)
-        for k in range(len(bins)):
-            if bins[k] + left[0] <= capacity and bins[k] not in bins[:k]:
-                out = min(out, best(left[1:], [*bins[:k], bins[k] + left[0], *bins[k + 1 :]]))
-        return min(out, best(left[1:], [*bins, left[0]])) if len(bins) < out else out
-
     found = packing.bin_completion(counts, capacity)
-    assert sum(n for _, n in found) == best(sorted(lengths.tolist(), reverse=True), [])
+    assert sum(n for _, n in found) == fewest(sorted(lengths.tolist(), reverse=True), [], capacity, 10)
     assert all(sum(x * k for x, k in p) <= capacity for p, _ in found)
-    assert sum(n for _, n in found) <= sum(n for _, n in packing.best_fit(counts, capacity))
+    assert packing.lower_bound(counts, capacity) <= sum(n for _, n in found) <= sum(n for _, n in packing.best_fit(counts, capacity))
+
+
+def test_fewer_than_best_fit():
+    counts = np.bincount([20, 17, 17, 8, 8, 5, 5, 4, 3, 3], minlength=31)
+    assert sum(n for _, n in packing.bin_completion(counts, 30)) == 3
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_triplets(seed):
+    """Pieces made by cutting full sequences in three, each of more than a quarter: best-fit wastes some."""
+    rng, lengths = np.random.default_rng(seed), []
+    for _ in range(14):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(251, 1000 - a - 250))
+        lengths += [a, b, 1000 - a - b]
+    counts = np.bincount(lengths, minlength=1001)
+    assert sum(n for _, n in packing.bin_completion(counts, 1000)) == 14
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_undominated_fillings(seed):
+    """Against all sets of pieces, and the definition: each piece of one can be put into the pieces of another."""
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 16, 7).tolist()
+    gap, counts = 15, np.bincount(lengths, minlength=17)
+    sets = {tuple(sorted((x for i, x in enumerate(lengths) if m >> i & 1), reverse=True)) for m in range(128)}
+    sets = {s for s in sets if sum(s) <= gap}
+
+    def into(small, room):
+        return not small or any(r >= small[0] and into(small[1:], (*room[:i], r - small[0], *room[i + 1 :])) for i, r in enumerate(room))
+
+    wanted = {s for s in sets if not any(o != s and into(s, o) for o in sets)}
+    got = [tuple(sorted((x for x, k in f.items() for _ in range(k)), reverse=True)) for f in packing.fillings(counts, gap, packing._Work(10**6, 10**6))]
+    assert set(got) == wanted and len(got) == len(wanted)
+    assert [sum(x) for x in got] == sorted(map(sum, got), reverse=True)
 
 
 def test_mixing_targets(spark):

@@ -2,9 +2,12 @@
 
 A length is at most the capacity, so the whole input's lengths are a table of at most ``capacity`` counts: that
 is all the driver gets. There bin completion runs over counts instead of pieces: around the largest length left
-it enumerates undominated fillings of the gap, takes each as often as the counts allow, and backs up while the
-waste so far still allows fewer sequences than the incumbent, first the best-fit-decreasing solution. It ends at
-the lower bound or after ``node_limit`` fillings.
+it enumerates the undominated fillings of the gap, those of least waste first. A filling is dominated where pieces of
+it (or none) can be exchanged for one larger piece that is left and still fits. Each is taken as often as the counts
+allow, then fewer times, and the search backs up where what is left needs too many sequences to beat the incumbent,
+first the best-fit-decreasing solution. It ends at the lower bound, when nothing is left to try (the packing is then
+of fewest sequences), or after ``node_limit`` fillings taken or ``step_limit`` steps of enumeration, whichever comes
+first; these limits bound the driver's seconds, and drop no piece.
 
 The solution is a list of patterns, each with the number of sequences made alike. The pieces of a length are
 numbered across the cluster (a hash bucket within the length at a time, so no task holds a length) and the n-th
@@ -32,6 +35,7 @@ from vitrine.llm.encode import END, encoder, vocabulary
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
 NODE_LIMIT = 20_000
+STEP_LIMIT = 2_000_000
 ROWS_PER_BUCKET = 500
 BROADCAST_ROWS = 200_000  # of places; about 10 MB
 BATCH_BYTES = 32 << 20
@@ -44,19 +48,16 @@ Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, how many), ...),
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """Sequences that are needed at least: by the sum, and by what fits beside pieces of more than half the capacity."""
-    lengths = np.arange(len(counts))
-    total = int((counts * lengths).sum())
-    best = -(-total // capacity)
-    large = counts[capacity // 2 + 1 :]
-    at_least = int(large.sum())
-    for small in range(1, capacity // 2 + 1):
-        if counts[small]:
-            alone = int(counts[capacity - small + 1 :].sum())
-            mid = int(counts[capacity // 2 + 1 : capacity - small + 1].sum())
-            room = int((counts[capacity // 2 + 1 : capacity - small + 1] * (capacity - lengths[capacity // 2 + 1 : capacity - small + 1])).sum())
-            rest = int((counts[small : capacity // 2 + 1] * lengths[small : capacity // 2 + 1]).sum())
-            at_least = max(at_least, alone + mid + max(0, -(-(rest - room) // capacity)))
-    return max(best, at_least)
+    lengths = np.arange(capacity + 1)
+    n, sizes = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
+    half = capacity // 2
+    small = np.arange(1, half + 1)
+    alone = n[capacity + 1] - n[capacity - small + 1]  # nothing of at least ``small`` fits beside these
+    mid = n[capacity - small + 1] - n[half + 1]
+    room = capacity * mid - (sizes[capacity - small + 1] - sizes[half + 1])
+    rest = sizes[half + 1] - sizes[small]
+    more = np.maximum(0, -((room - rest) // capacity))
+    return int(max(-(-sizes[-1] // capacity), n[capacity + 1] - n[half + 1], (alone + mid + more).max(initial=0)))
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
@@ -98,99 +99,164 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return [p for group in by_gap.values() for p in group]
 
 
-def _closest(counts: np.ndarray, gap: int) -> dict[int, int]:
-    """The filling of least waste, by the set of sums that can be reached (bits of an integer)."""
-    steps, reached, mask = [], 1, (1 << (gap + 1)) - 1
-    for length in np.nonzero(counts[: gap + 1])[0][::-1].tolist():
-        n, k = min(int(counts[length]), gap // length), 1
-        while n:
-            k = min(k, n)
-            steps.append((length, k, reached))
-            reached |= (reached << (length * k)) & mask
-            n, k = n - k, 2 * k
-            if reached >> gap & 1:
-                break
-        if reached >> gap & 1:
-            break
-    at, used = reached.bit_length() - 1, defaultdict(int)
-    for length, k, before in reversed(steps):
-        if not before >> at & 1:
-            at -= length * k
-            used[length] += k
-    return dict(used)
-
-
-def fillings(counts: np.ndarray, gap: int, most: int) -> list[dict[int, int]]:
-    """Undominated fillings of a gap, the better first: one piece that fits exactly dominates all; then exact pairs and triples by their largest piece; else that of least waste."""
-    if gap <= 0 or not counts[: gap + 1].any():
-        return [{}]
-    if counts[gap]:
-        return [{gap: 1}]
-
-    def pairs(room: int, top: int) -> list[tuple[int, int]]:
-        a = np.arange(room - 1, (room - 1) // 2, -1)
-        a = a[a <= top]
-        b = room - a
-        ok = (counts[a] > 0) & (counts[b] > 0) & ((a != b) | (counts[a] > 1))
-        return list(zip(a[ok][:most].tolist(), b[ok][:most].tolist(), strict=True))
-
-    found = [{a: 1, b: 1} if a != b else {a: 2} for a, b in pairs(gap, gap)]
-    if not found:
-        for a in np.nonzero(counts[:gap])[0][::-1][:64].tolist():
-            for b, c in pairs(gap - a, a)[:1]:
-                used: dict[int, int] = defaultdict(int)
-                for x in (a, b, c):
-                    used[x] += 1
-                if all(counts[x] >= n for x, n in used.items()):
-                    found.append(dict(used))
-            if len(found) >= most:
-                break
-    return found[:most] or [_closest(counts, gap)]
+class _Enough(Exception):
+    """The search has used up its limits."""
+
+
+class _Work:
+    def __init__(self, nodes: int, steps: int):
+        self.nodes, self.steps = nodes, steps
+
+    def step(self, n: int = 1) -> None:
+        self.steps -= n
+        if self.steps < 0:
+            raise _Enough
 
 
-def bin_completion(counts: np.ndarray, capacity: int, node_limit: int = NODE_LIMIT, branches: int = 4) -> list[Pattern]:
+def _reach(xs: list[int], n: list[int], most: int) -> list[int]:
+    """For each i, the sums up to ``most`` that pieces of the lengths xs[i:] have, as bits of an integer."""
+    mask, out = (1 << (most + 1)) - 1, [1]
+    for x, left in zip(reversed(xs), reversed(n), strict=True):
+        sums, left, k = out[-1], min(left, most // x), 1
+        while left:
+            k = min(k, left)
+            sums |= (sums << (x * k)) & mask
+            left, k = left - k, 2 * k
+        out.append(sums)
+    return out[::-1]
+
+
+def _of_sum(xs: list[int], n: list[int], reach: list[int], i: int, s: int, work: _Work) -> Iterator[tuple[tuple[int, int], ...]]:
+    """All multisets of the lengths xs[i:], n[i:] of each at most, whose sum is s; the larger pieces first."""
+    if not s:
+        yield ()
+        return
+    while i < len(xs):
+        work.step()
+        x = xs[i]
+        for k in range(min(n[i], s // x), 0, -1):
+            if reach[i + 1] >> (s - k * x) & 1:
+                for rest in _of_sum(xs, n, reach, i + 1, s - k * x, work):
+                    yield ((x, k), *rest)
+        if not reach[i + 1] >> s & 1:
+            return
+        i += 1
+
+
+def _spread(bits: int, most: int) -> int:
+    """Each bit also at the next ``most`` places."""
+    done = 0
+    while done < most:
+        step = min(done + 1, most - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def dominated(filling: tuple[tuple[int, int], ...], waste: int, free: int) -> bool:
+    """Whether pieces of the filling, or none, can be exchanged for one piece of ``free`` (its lengths' bits) that is at least as long as they are and leaves the waste at zero or more."""
+    one, more = 0, 0  # sums of one piece, of several
+    for x, k in filling:
+        for _ in range(k):
+            more |= (one | more) << x
+            one |= 1 << x
+    return bool(free & (_spread(more, waste) | (_spread(one, waste - 1) << 1 if waste else 0) | ((2 << waste) - 2)))
+
+
+def fillings(counts: np.ndarray, gap: int, work: _Work) -> Iterator[dict[int, int]]:
+    """The undominated fillings of a gap, those of least waste first: a piece that fits exactly dominates all; exact pairs can't be dominated then."""
+    xs = np.nonzero(counts[: gap + 1])[0][::-1] if gap > 0 else np.zeros(0, np.int64)
+    if not len(xs):
+        yield {}
+        return
+    if xs[0] == gap:
+        yield {gap: 1}
+        return
+    a = xs[2 * xs >= gap]
+    for x in a[(counts[gap - a] > 0) & ((2 * a != gap) | (counts[a] > 1))].tolist():
+        yield {x: 1, gap - x: 1} if 2 * x != gap else {x: 2}
+    lengths, n = xs.tolist(), counts[xs].tolist()
+    work.step(len(lengths))
+    reach, free = _reach(lengths, n, gap), sum(1 << x for x in lengths)
+    for waste in range(gap + 1):
+        if not reach[0] >> (gap - waste) & 1:
+            continue
+        for filling in _of_sum(lengths, n, reach, 0, gap - waste, work):
+            if waste or sum(k for _, k in filling) > 2:
+                spent = sum(1 << x for x, k in filling if k == counts[x])
+                if not dominated(filling, waste, free & ~spent):
+                    yield dict(filling)
+
+
+class _Node:
+    """The sequences around the largest length left: the patterns to try there, each as often as can be, then fewer times."""
+
+    def __init__(self, left: np.ndarray, capacity: int, work: _Work, above: _Node | None):
+        self.top, self.left, self.times = int(np.flatnonzero(left)[-1]), left, 0
+        # a pattern that the node above has taken for the same length it has taken as often as it is to be
+        self.done = above.done | {above.pattern} if above and above.top == self.top else frozenset()
+        self.pattern: tuple[tuple[int, int], ...] = ()
+        inside = left.copy()
+        inside[self.top] -= 1
+        self.fillings = fillings(inside, capacity - self.top, work)
+
+    def next(self) -> bool:
+        if self.times > 1:
+            self.times -= 1
+            return True
+        for filling in self.fillings:
+            pattern = filling | {self.top: filling.get(self.top, 0) + 1}
+            self.pattern = tuple(sorted(pattern.items(), reverse=True))
+            if self.pattern not in self.done:
+                self.times = min(int(self.left[x]) // k for x, k in self.pattern)
+                return True
+        return False
+
+
+def bin_completion(counts: np.ndarray, capacity: int, node_limit: int = NODE_LIMIT, step_limit: int = STEP_LIMIT) -> list[Pattern]:
     """Patterns that pack all counts (counts[length], length 1 to capacity)."""
-    total, lengths = int((counts * np.arange(len(counts))).sum()), np.arange(len(counts))
-    need, best = lower_bound(counts, capacity), best_fit(counts, capacity)
-    incumbent = sum(n for _, n in best)
-    nodes = 0
     left = counts.astype(np.int64).copy()
-    made: list[tuple[Pattern, list[dict[int, int]], int]] = []  # a pattern, the fillings not yet tried in its place, its largest length
-    sequences = 0
-    while incumbent > need and nodes < node_limit:
-        some = np.nonzero(left)[0]
-        if not len(some):
-            if sequences < incumbent:
-                best, incumbent = [p for p, _, _ in made], sequences
-            options: list[dict[int, int]] = []
-        else:
-            top = int(some[-1])
-            left[top] -= 1
-            options = fillings(left, capacity - top, branches)
-            left[top] += 1
-        while True:
-            if options:
-                nodes += 1
-                filling, options = options[0], options[1:]
-                pattern = dict(filling)
-                pattern[top] = pattern.get(top, 0) + 1
-                times = min(int(left[x]) // n for x, n in pattern.items())
-                spare = capacity - sum(x * n for x, n in pattern.items())
-                # the waste bound: with what is left packed without any waste, are there fewer sequences than the incumbent has?
-                if times and sequences + times + -(-int((left * lengths).sum() - times * (capacity - spare)) // capacity) < incumbent:
-                    for x, n in pattern.items():
-                        left[x] -= n * times
-                    made.append(((tuple(sorted(pattern.items(), reverse=True)), times), options, top))
-                    sequences += times
-                    break
+    total, need, best = int((left * np.arange(len(left))).sum()), lower_bound(left, capacity), best_fit(left, capacity)
+    incumbent, sequences, rest = sum(n for _, n in best), 0, total
+    work, above = _Work(node_limit, step_limit), []
+
+    def put(node: _Node, sign: int) -> None:
+        nonlocal sequences, rest
+        for x, k in node.pattern:
+            left[x] -= sign * k * node.times
+            rest -= sign * x * k * node.times
+        sequences += sign * node.times
+
+    try:
+        node = _Node(left, capacity, work, None) if incumbent > need else None
+        while node:
+            if not node.next():
+                node = above.pop() if above else None
+                if node:
+                    put(node, -1)
+                continue
+            work.nodes -= 1
+            if work.nodes < 0:
+                break
+            put(node, 1)
+            fits = sequences + -(-rest // capacity) < incumbent
+            if not fits or sequences + lower_bound(left, capacity) >= incumbent:
+                put(node, -1)
+                if not fits and node.times == 1:  # the fillings still to come waste as much or more
+                    node = above.pop() if above else None
+                    if node:
+                        put(node, -1)
+                continue
+            if rest:
+                above.append(node)
+                node = _Node(left, capacity, work, node)
                 continue
-            if not made or incumbent == need or nodes >= node_limit:
-                nodes = node_limit
+            best, incumbent = [(x.pattern, x.times) for x in (*above, node)], sequences
+            if incumbent == need:
                 break
-            (pattern_items, times), options, top = made.pop()
-            for x, n in pattern_items:
-                left[x] += n * times
-            sequences -= times
+            put(node, -1)
+    except _Enough:
+        pass
     assert sum(n * k * x for p, n in best for x, k in p) == total
     return best
 
