@@ -25,6 +25,14 @@ def words(text: str | Column) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, GAP))
 
 
+def unused_prefix(columns: list[str], like: str = "__vt") -> str:
+    """A prefix for columns of our own that no column of the input begins with, in any case."""
+    low, n = [c.lower() for c in columns], 0
+    while any(c.startswith(f"{like}{n or ''}_") for c in low):
+        n += 1
+    return f"{like}{n or ''}_"
+
+
 BATCH_BYTES = "4m"  # of rows that go to a Python worker at a time
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 

@@ -21,36 +21,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import table, words
+from vitrine.llm.common import table, unused_prefix, words, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 ROWS_PER_BUCKET = 500
-P = "__vt_"
+P = "__vt_"  # of the columns that mix() adds, unless the input has such columns: see unused_prefix
 KEY_BITS = 36  # of the hash; leaves room for 2**27 buckets a source in a long
 
 
-def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """size, source_, and the random key of KEY_BITS bits of each row. A null source is told from '' by its rank."""
+def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", p: str = P) -> DataFrame:
+    """The rows with size, source, and the random key of KEY_BITS bits of each. A null source is told from '' by its rank."""
+    if f"{p}size" in docs.columns:
+        return docs
     return docs.withColumns(
         {
-            f"{P}size": F.size(words(text)).cast("long"),
-            f"{P}source": F.col(source),
-            f"{P}key": F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col(text))), 1, KEY_BITS // 4), 16, 10).cast("long"),
+            f"{p}size": F.size(words(text)).cast("long"),
+            f"{p}source": F.col(source),
+            f"{p}key": F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col(text))), 1, KEY_BITS // 4), 16, 10).cast("long"),
         }
     )
 
 
-def targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, key: str = "doc_id", text: str = "text", source: str = "source", p: str = P) -> DataFrame:
     """One row a source: its size, number of rows, weight and target.
 
     All sizes are shared by weight; no target passes max_epochs times the source's size. Sources are filled in
     the order of the level (cap / weight) at which they are full, so one pass of prefix sums over the sources
     finds the common level of those that never are.
     """
-    sized = _sized(docs.select(key, text, source), key, text, source)
-    sums = sized.groupBy(f"{P}source").agg(F.sum(f"{P}size").alias("size"), F.count(F.lit(1)).alias("rows"))
-    order = Window.orderBy(F.col(f"{P}source").asc_nulls_last())
+    sums = sized(docs, key, text, source, p).groupBy(f"{p}source").agg(F.sum(f"{p}size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    order = Window.orderBy(F.col(f"{p}source").asc_nulls_last())
     places = F.array(*[F.lit(float(w)) for w in weights])
     ranked = sums.withColumn("place", F.row_number().over(order) - 1).withColumn("weight", F.get(places, F.col("place") % len(weights)))
     full = ranked.withColumn("cap", (F.col("size") * max_epochs).cast("double")).withColumn("level", F.col("cap") / F.col("weight"))
@@ -62,7 +63,7 @@ def targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     # the common level if this source and all after it stay open; the first source that stays open sets it
     level = filled.withColumn("common", (F.col("total") - F.col("caps")) / F.col("open"))
     found = level.withColumn("at", F.min(F.when(F.col("common") <= F.col("level"), F.struct("level", "place", "common"))).over(every)["common"])
-    return found.select(F.col(f"{P}source"), F.col("place"), F.col("size").alias("source_size"), "rows", F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("at"), F.col("cap"))).alias("target"))
+    return found.select(F.col(f"{p}source"), F.col("place"), F.col("size").alias("source_size"), "rows", F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("at"), F.col("cap"))).alias("target"))
 
 
 def mix(
@@ -74,43 +75,50 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    p: str | None = None,
 ) -> DataFrame:
-    """The rows as they came, with __vt_size, __vt_source_size, __vt_target and __vt_taken: the words that the mix takes of each."""
-    plan = targets(docs, weights, max_epochs, key, text, source).withColumn("buckets", F.greatest(F.ceil(F.col("rows") / rows_per_bucket), F.lit(1)))
+    """The rows as they came, with __vt_size, __vt_source_size, __vt_target and __vt_taken (or of another prefix): the words that the mix takes of each.
+
+    Rows that sized() gave, with the prefix p, needn't have the text any more: their words aren't counted again."""
+    p = p or unused_prefix(docs.columns)
+    names = [c for c in docs.columns if not c.startswith(p)]
+    plan = targets(docs, weights, max_epochs, key, text, source, p).withColumn("buckets", F.greatest(F.ceil(F.col("rows") / rows_per_bucket), F.lit(1)))
     plan = plan.withColumn("budget", F.floor(F.col("target")).cast("long")).select(
-        F.col(f"{P}source").alias(f"{P}s"), F.col("source_size").alias(f"{P}source_size"), F.col("target").alias(f"{P}target"), F.col("buckets").alias(f"{P}buckets"), F.col("place").alias(f"{P}place"), F.col("budget").alias(f"{P}budget")
+        F.col(f"{p}source").alias(f"{p}s"), F.col("source_size").alias(f"{p}source_size"), F.col("target").alias(f"{p}target"), F.col("buckets").alias(f"{p}buckets"), F.col("place").alias(f"{p}place"), F.col("budget").alias(f"{p}budget")
     )
 
     def placed(rows: DataFrame) -> DataFrame:
-        joined = _sized(rows, key, text, source).join(plan, F.col(f"{P}source").eqNullSafe(F.col(f"{P}s")))
-        return joined.withColumn(f"{P}bucket", F.shiftright(F.col(f"{P}key") * F.col(f"{P}buckets"), KEY_BITS))
+        joined = sized(rows, key, text, source, p).join(plan, F.col(f"{p}source").eqNullSafe(F.col(f"{p}s")))
+        return joined.withColumn(f"{p}bucket", F.shiftright(F.col(f"{p}key") * F.col(f"{p}buckets"), KEY_BITS))
 
-    sums = placed(docs.select(key, text, source)).groupBy(f"{P}place", f"{P}bucket").agg(F.sum(f"{P}size").alias(f"{P}sum"))
-    before = Window.partitionBy(f"{P}place").orderBy(f"{P}bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col(f"{P}place").alias(f"{P}p"), F.col(f"{P}bucket").alias(f"{P}b"), F.coalesce(F.sum(f"{P}sum").over(before), F.lit(0)).alias(f"{P}start"))
+    sums = placed(docs).groupBy(f"{p}place", f"{p}bucket").agg(F.sum(f"{p}size").alias(f"{p}sum"))
+    before = Window.partitionBy(f"{p}place").orderBy(f"{p}bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col(f"{p}place").alias(f"{p}p"), F.col(f"{p}bucket").alias(f"{p}b"), F.coalesce(F.sum(f"{p}sum").over(before), F.lit(0)).alias(f"{p}start"))
     rows = placed(docs)
-    rows = rows.join(starts, (F.col(f"{P}place") == F.col(f"{P}p")) & (F.col(f"{P}bucket") == F.col(f"{P}b")))
-    inside = Window.partitionBy(f"{P}place", f"{P}bucket").orderBy(f"{P}key", F.col(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn(f"{P}end", F.col(f"{P}start") + F.sum(f"{P}size").over(inside))
-    size, full = F.col(f"{P}size"), F.col(f"{P}source_size")
-    epochs = F.when(full > 0, F.floor(F.col(f"{P}budget") / full)).otherwise(0).cast("long")
-    left = F.col(f"{P}budget") - epochs * full - (F.col(f"{P}end") - size)
+    rows = rows.join(starts, (F.col(f"{p}place") == F.col(f"{p}p")) & (F.col(f"{p}bucket") == F.col(f"{p}b")))
+    inside = Window.partitionBy(f"{p}place", f"{p}bucket").orderBy(f"{p}key", F.col(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn(f"{p}end", F.col(f"{p}start") + F.sum(f"{p}size").over(inside))
+    size, full = F.col(f"{p}size"), F.col(f"{p}source_size")
+    epochs = F.when(full > 0, F.floor(F.col(f"{p}budget") / full)).otherwise(0).cast("long")
+    left = F.col(f"{p}budget") - epochs * full - (F.col(f"{p}end") - size)
     part = F.greatest(F.lit(0), F.least(size, left))
     if whole_documents:
         part = F.when(2 * part >= size, size).otherwise(0)
-    return rows.withColumn(f"{P}taken", (epochs * size + part).cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns], f"{P}size", f"{P}source_size", f"{P}target", f"{P}taken")
+    return rows.withColumn(f"{p}taken", (epochs * size + part).cast("long")).select(*[F.col(f"`{c}`") for c in names], f"{p}size", f"{p}source_size", f"{p}target", f"{p}taken")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row for each time a document is taken, whole. Documents without words are kept once."""
-    rows = mix(docs, whole_documents=True, **options)
-    times = F.when(F.col(f"{P}size") == 0, 1).otherwise(F.col(f"{P}taken") / F.col(f"{P}size")).cast("int")
-    return rows.where(times > 0).withColumn(f"{P}copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    p = unused_prefix(docs.columns)
+    rows = mix(docs, whole_documents=True, p=p, **options)
+    times = F.when(F.col(f"{p}size") == 0, 1).otherwise(F.col(f"{p}taken") / F.col(f"{p}size")).cast("int")
+    return rows.where(times > 0).withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", F.col(f"{P}size").alias("size"), F.col(f"{P}source_size").alias("source_size"), F.col(f"{P}target").alias("target"), F.col(f"{P}taken").alias("taken"))
+    # the words are counted once; the rest works on rows of four numbers
+    docs = written(sized(table(spark, sf_dir, "documents")).select("doc_id", "source", *[f"{P}{c}" for c in ("size", "source", "key")]), "sizes")
+    return mix(docs, p=P).select("doc_id", *[F.col(f"{P}{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
 ORACLE = r"""
