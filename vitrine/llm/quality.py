@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import table, words
+from vitrine.llm.common import table, unused_prefix, words
 
 #: name of the rule -> when a document fails it, over the measurements. The place in this table is the bit.
 RULES = {
@@ -35,7 +35,6 @@ RULES = {
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_echo_words", "n_letter_words")
 BASE = ("few_words", "repeat_words")
 WINDOW = 5
-PREFIX = "__vt_"
 
 
 @dataclass(frozen=True)
@@ -71,9 +70,9 @@ def _repeat_words(w: Column) -> Column:
     return F.when(n < WINDOW, 0).when(~repeated, 0).otherwise(exact)
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with a column for each of MEASURES, named with a prefix that no input column has."""
-    p, c = PREFIX, F.coalesce(F.col(text), F.lit(""))
+def measured(docs: DataFrame, p: str, text: str = "text") -> DataFrame:
+    """The rows with a column for each of MEASURES, named with the prefix p, which no input column should have."""
+    c = F.coalesce(F.col(text), F.lit(""))
     full = F.filter(F.split(c, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     # a generator of one row: no filter above can pull the words' expression into what is done for each word
     df = docs.select("*", F.inline(F.array(F.struct(words(text).alias(f"{p}w"), full.alias(f"{p}l")))))
@@ -92,21 +91,22 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop(f"{p}w", f"{p}l")
 
 
-def fail_bits() -> Column:
+def fail_bits(p: str) -> Column:
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(RULES.values()):
         for m in sorted(MEASURES, key=len, reverse=True):
             rule = rule.replace(m, f"@{MEASURES.index(m)}@")
         for k, m in enumerate(MEASURES):
-            rule = rule.replace(f"@{k}@", f"{PREFIX}{m}")
+            rule = rule.replace(f"@{k}@", f"{p}{m}")
         bits = bits.bitwiseOR(F.when(F.expr(rule), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
     return bits
 
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, the measurements and ``fail_bits`` of every row."""
-    df = measured(docs.select(F.col(key), F.col(text)), text)
-    return df.select(key, *[F.col(PREFIX + m).alias(m) for m in MEASURES], fail_bits().alias("fail_bits"))
+    p = unused_prefix([key, text])
+    df = measured(docs.select(F.col(key), F.col(text)), p, text)
+    return df.select(key, *[F.col(p + m).alias(m) for m in MEASURES], fail_bits(p).alias("fail_bits"))
 
 
 def failed(bits: Column, rules: tuple[str, ...]) -> Column:
@@ -141,8 +141,9 @@ def _json_rules(p: Policy) -> str:
 
 def keep(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
     """The rows that a policy keeps, with the columns they came with."""
-    df = measured(docs, text).withColumn(f"{PREFIX}bits", fail_bits())
-    return df.where(~failed(F.col(f"{PREFIX}bits"), POLICIES[policy].rules)).select(*docs.columns)
+    p = unused_prefix(docs.columns)
+    df = measured(docs, p, text).withColumn(f"{p}bits", fail_bits(p))
+    return df.where(~failed(F.col(f"{p}bits"), POLICIES[policy].rules)).select(*docs.columns)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import drop_path, in_batches, new_path, table, written
+from vitrine.llm.common import drop_path, in_batches, new_path, table, unused_prefix, written
 
 SHINGLE = 3
 SEED = 42
@@ -154,14 +154,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
 def keep_one(docs: DataFrame, unnamed: bool = False) -> DataFrame:
     """One row of each class: of those with the smallest doc_id, that of least text hash, or the first of equal ones. Of a class without any doc_id a row is kept only where ``unnamed``."""
     # written with a number for each row, so that rows are told apart whatever ids and texts they share
-    rows = written(docs.withColumn("__vt_row", F.monotonically_increasing_id()), "simhash-rows")
-    prints = written(fingerprints(rows.withColumn("__vt_hash", F.xxhash64("text")), more=("__vt_hash", "__vt_row")), "simhash-fp")
+    p = unused_prefix(docs.columns)
+    row, text_hash = f"{p}row", f"{p}hash"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    prints = written(fingerprints(rows.withColumn(text_hash, F.xxhash64("text")), more=(text_hash, row)), "simhash-fp")
     # the best row of each fingerprint first: partial minima, so that a class of very many copies is not brought to one task
-    best = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__vt_hash", "__vt_row")).alias("best"))
+    best = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", text_hash, row)).alias("best"))
     best = best.join(roots(prints), F.col("fp") == F.col("f")).groupBy("root").agg(F.min("best").alias("best"))
     if not unnamed:
         best = best.where("NOT best.none")
-    return rows.join(best.select("best.__vt_row"), "__vt_row", "left_semi").select(*docs.columns)
+    return rows.join(best.select(f"best.{row}"), row, "left_semi").select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
