@@ -18,7 +18,7 @@ def docs(spark):
 
 
 #: names that operators use inside
-CLASH = ("fp", "k", "key", "size", "target", "bucket", "__vt", "n", "p", "rep", "t", "length", "start", "score", "h", "w", "spans", "c", "l", "taken")
+CLASH = ("fp", "k", "key", "size", "target", "bucket", "__vt", "__vt_w", "__vt_bits", "__vt_size", "__VT_source", "__vt_taken", "__vt_row", "__vt_hash", "n", "p", "rep", "t", "length", "start", "score", "h", "w", "spans", "c", "l", "taken")
 
 
 @pytest.fixture(scope="module")
@@ -60,9 +60,14 @@ def test_edges(name, docs, clashing, none):
     assert len(more.collect()) == len(rows)
 
 
-@pytest.mark.parametrize("at", range(4))
+@pytest.mark.parametrize("at", range(5))
 def test_stages(at, spark, docs, clashing, none, sf):
     stage = corpus_pipeline.STAGES[at][1]
+    if at == 4:  # pieces and their places, of every row
+        got = stage(spark, docs, sf)
+        assert got.columns == stage(spark, none, sf).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        assert stage(spark, none, sf).count() == 0 and got.where("start = 0").count() == docs.count() and stage(spark, clashing, sf).count() == got.count()
+        return
     assert stage(spark, none, sf).columns == none.columns and stage(spark, none, sf).count() == 0
     assert stage(spark, docs, sf).columns == docs.columns
     assert stage(spark, clashing, sf).columns == clashing.columns
@@ -83,7 +88,7 @@ def test_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df).collect())
     one = 64 * 64
-    assert got == [(0, 1, 6, one + one // 4), (0, 2, 1, one), (0, 3, 7, 0), (0, 4, 20, 0), (20, 1, 0, 0), (20, 2, 1, 0), (20, 3, 6, 0), (20, 4, 7, 0)]
+    assert got == [(0, 1, 6, one + one // 4), (0, 2, 6, one + one // 4), (0, 3, 1, one), (0, 4, 7, 0), (0, 5, 20, 0), (20, 1, 0, 0), (20, 2, 1, 0), (20, 3, 6, 0), (20, 4, 6, 0), (20, 5, 7, 0)]
     assert topk.top_k(df.where("vec_id = 99")).collect() == []
 
 
@@ -99,3 +104,11 @@ def test_defined_results(docs):
     assert p[1]["lang_pred"] == p[3]["lang_pred"] == "und" and p[4]["lang_pred"] in ("en", "es")
     red = {r["doc_id"]: r for r in pii.redact(docs).collect()}
     assert red[1]["text"] is None and red[6]["text"].endswith("mail me: [EMAIL]") and red[6]["n_chars"] == len(red[6]["text"])
+
+
+def test_vectors_of_one_id(spark):
+    """Every row is a candidate but the query's own; each row of an id is a query."""
+    rows = [(20, [1.0, 0.0]), (3, [2.0, 0.0]), (3, [1.5, 0.0]), (3, [2.0, 0.0]), (40, [0.0, 1.0]), (40, [0.0, 2.0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).collect())
+    one = 64 * 64
+    assert got == sorted([(20, 1, 3, 2 * one), (20, 2, 3, 2 * one), (20, 3, 3, one + one // 2), *[(40, 1, 40, 2 * one), (40, 2, 3, 0), (40, 3, 3, 0)] * 2])

@@ -14,8 +14,8 @@ and the last step ranks those. Bounds are widened by a relative margin, so round
 integers.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, neither as
-queries nor as candidates, nor do rows with a null id; of rows with a repeated id the one of the least vector counts;
-shorter vectors count as followed by zeros; ties go to the smaller id; fewer than k candidates are all
+queries nor as candidates, nor do rows with a null id; rows with a repeated id are each a candidate of every other
+row, and each a query with k results of its own under that id; shorter vectors count as followed by zeros; ties go to the smaller id; fewer than k candidates are all
 returned; an empty table gives no rows; further columns are not read. Scores must fit in a long.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import in_batches, table, written
 
-PIVOTS = 64
+PIVOTS, MOST_PIVOTS = 64, 512  # as many as a quarter of the root of the rows, between these
 SAMPLE_ROWS = 4096  # that pivots are fitted on
 ANNULUS_ROWS = 4096
 MARGIN = 1e-9
@@ -38,11 +38,11 @@ SEED = 3
 
 
 def vectors(rows: DataFrame, scale: float | None = 64.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id and v: the components as longs, floor(scale * x), of each id's vector."""
+    """vec_id and v: the components as longs, floor(scale * x), of each row that takes part."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     ok = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     v = F.transform(x, lambda c: F.floor(c * F.lit(scale)).cast("long"))
-    return rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(ok).groupBy(F.col(key).cast("long").alias("vec_id")).agg(F.min(v).alias("v"))
+    return rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(ok).select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -99,8 +99,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 NONE = np.iinfo(np.int64).min + 1
 BLOCK_QUERIES = 2048
-_ANNULUS = "annulus long, pivot int, lo double, hi double, n long, ids binary, vectors binary, n_queries long, query_ids binary, query_vectors binary, bounds binary"
-_BLOCK = "own long, query_ids binary, query_vectors binary, bounds binary"
+_ANNULUS = "annulus long, pivot int, lo double, hi double, n long, rows binary, ids binary, vectors binary, n_queries long, query_rows binary, query_ids binary, query_vectors binary, bounds binary"
+_BLOCK = "own long, query_rows binary, query_ids binary, query_vectors binary, bounds binary"
 
 
 def _row(schema: str, values: list) -> pa.RecordBatch:
@@ -114,9 +114,9 @@ def index(found: DataFrame, k: int, every: int, pivots: np.ndarray, most: float,
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = _distances(_lifted(_matrix(b.column(1), dim), most), pivots)
+            d = _distances(_lifted(_matrix(b.column(2), dim), most), pivots)
             near = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(near)), near])], names=["vec_id", "v", "pivot", "d"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(near)), near])], names=["row", "vec_id", "v", "pivot", "d"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -126,7 +126,7 @@ def index(found: DataFrame, k: int, every: int, pivots: np.ndarray, most: float,
         def annulus(rows: pa.Table) -> pa.RecordBatch:
             nonlocal no
             rows = rows.combine_chunks()
-            ids, x, d = rows["vec_id"].to_numpy(), _matrix(rows["v"].chunk(0), dim), rows["d"].to_numpy()
+            no_of, ids, x, d = rows["row"].to_numpy(), rows["vec_id"].to_numpy(), _matrix(rows["v"].chunk(0), dim), rows["d"].to_numpy()
             at = np.nonzero(ids % every == 0)[0]
             bounds = np.full(len(at), NONE)
             if len(ids) > k and len(at):
@@ -134,8 +134,8 @@ def index(found: DataFrame, k: int, every: int, pivots: np.ndarray, most: float,
                 s[np.arange(len(at)), at] = NONE
                 bounds = np.partition(s, s.shape[1] - k, axis=1)[:, -k]
             no += 1
-            values = [(part << 32) | no, int(rows["pivot"][0].as_py()), float(d[0]), float(d[-1]), len(ids), ids.tobytes(), x.astype(kind).tobytes()]
-            return _row(_ANNULUS, [*values, len(at), ids[at].tobytes(), x[at].astype(kind).tobytes(), bounds.astype("<i8").tobytes()])
+            values = [(part << 32) | no, int(rows["pivot"][0].as_py()), float(d[0]), float(d[-1]), len(ids), no_of.tobytes(), ids.tobytes(), x.astype(kind).tobytes()]
+            return _row(_ANNULUS, [*values, len(at), no_of[at].tobytes(), ids[at].tobytes(), x[at].astype(kind).tobytes(), bounds.astype("<i8").tobytes()])
 
         waiting: pa.Table | None = None
         for b in batches:
@@ -152,7 +152,7 @@ def index(found: DataFrame, k: int, every: int, pivots: np.ndarray, most: float,
         if waiting is not None and waiting.num_rows:
             yield annulus(waiting)
 
-    near = in_batches(found, assign, "vec_id long, v array<long>, pivot int, d double")
+    near = in_batches(found, assign, "row long, vec_id long, v array<long>, pivot int, d double")
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return in_batches(near.repartitionByRange(n, "pivot", "d", "vec_id").sortWithinPartitions("pivot", "d", "vec_id"), cut, _ANNULUS)
 
@@ -164,19 +164,19 @@ def query_blocks(annuli: DataFrame, dim: int, kind: str, size: int = BLOCK_QUERI
         from pyspark import TaskContext
 
         part, no, width = TaskContext.get().partitionId(), 0, dim * np.dtype(kind).itemsize
-        held = [b"", b"", b""]
+        held = [b"", b"", b"", b""]
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held = [x + y for x, y in zip(held, row, strict=True)]
                 while len(held[0]) >= 8 * size:
                     no += 1
-                    yield _row(_BLOCK, [(part << 32) | no, held[0][: 8 * size], held[1][: width * size], held[2][: 8 * size]])
-                    held = [held[0][8 * size :], held[1][width * size :], held[2][8 * size :]]
+                    yield _row(_BLOCK, [(part << 32) | no, *(h[: w * size] for h, w in zip(held, (8, 8, width, 8), strict=True))])
+                    held = [h[w * size :] for h, w in zip(held, (8, 8, width, 8), strict=True)]
         if held[0]:
             yield _row(_BLOCK, [(part << 32) | (no + 1), *held])
 
     n = annuli.agg(F.sum("n_queries")).first()[0] or 0
-    some = annuli.where("n_queries > 0").select("query_ids", "query_vectors", "bounds")
+    some = annuli.where("n_queries > 0").select("query_rows", "query_ids", "query_vectors", "bounds")
     return in_batches(some.coalesce(max(1, -(-n // (4 * size)))), run, _BLOCK)
 
 
@@ -205,13 +205,13 @@ def _radii(q: np.ndarray, bounds: np.ndarray, most: float) -> np.ndarray:
 class _Search:
     """A block of queries: what is found so far, and how far each query still looks."""
 
-    def __init__(self, ids: bytes, vectors: bytes, bounds: bytes, k: int, dim: int, kind: str):
-        self.ids, self.k = np.frombuffer(ids, "<i8"), k
+    def __init__(self, rows: bytes, ids: bytes, vectors: bytes, bounds: bytes, k: int, dim: int, kind: str):
+        self.own, self.ids, self.k = np.frombuffer(rows, "<i8"), np.frombuffer(ids, "<i8"), k
         self.q = np.frombuffer(vectors, kind).reshape(-1, dim).astype(np.float64)
         self.bounds = np.frombuffer(bounds, "<i8").copy()
         self.scores, self.found = np.full((len(self.ids), k), NONE), np.zeros((len(self.ids), k), np.int64)
 
-    def meet(self, x: np.ndarray, ids: np.ndarray, centre: np.ndarray, most: float) -> None:
+    def meet(self, x: np.ndarray, rows: np.ndarray, ids: np.ndarray, centre: np.ndarray, most: float) -> None:
         """Look into an annulus, its vectors in order of their distance to the pivot: each query at those between its bounds."""
         radii = _distances(_lifted(x, most), centre)[:, 0]
         d, r = _distances(np.pad(self.q, ((0, 0), (0, 1))), centre)[:, 0], _radii(self.q, self.bounds, most)
@@ -223,7 +223,7 @@ class _Search:
             some = use[at : at + 512]
             s, e = int(low[some].min()), int(high[some].max())
             score = _scores(self.q[some], x[s:e])
-            _, row, column = np.intersect1d(self.ids[some], ids[s:e], return_indices=True)
+            _, row, column = np.intersect1d(self.own[some], rows[s:e], assume_unique=True, return_indices=True)
             score[row, column] = NONE  # the query itself
             new, who = _best(score, ids[s:e], self.k)
             new, who = np.concatenate([self.scores[some], new], 1), np.concatenate([self.found[some], who], 1)
@@ -233,8 +233,9 @@ class _Search:
 
     def rows(self) -> pa.RecordBatch:
         keep = self.scores > NONE
-        columns = [np.broadcast_to(self.ids[:, None], keep.shape)[keep], self.found[keep], self.scores[keep]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+        each = lambda x: np.broadcast_to(x[:, None], keep.shape)[keep]
+        columns = [each(self.own), each(self.ids), self.found[keep], self.scores[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_row", "query_id", "vec_id", "score"])
 
 
 def search(annuli: DataFrame, k: int, pivots: np.ndarray, most: float, dim: int, kind: str) -> DataFrame:
@@ -244,12 +245,12 @@ def search(annuli: DataFrame, k: int, pivots: np.ndarray, most: float, dim: int,
         current, block = None, None
         for b in batches:
             for i in range(b.num_rows):
-                own, q_ids, q_vectors, bounds, pivot, ids, vectors = (c[i].as_py() for c in b.columns[:7])
+                own, q_rows, q_ids, q_vectors, bounds, pivot, rows, ids, vectors = (c[i].as_py() for c in b.columns[:9])
                 if own != current:
                     if block is not None:
                         yield block.rows()
-                    current, block = own, _Search(q_ids, q_vectors, bounds, k, dim, kind)
-                block.meet(np.frombuffer(vectors, kind).reshape(-1, dim).astype(np.float64), np.frombuffer(ids, "<i8"), pivots[pivot][None], most)
+                    current, block = own, _Search(q_rows, q_ids, q_vectors, bounds, k, dim, kind)
+                block.meet(np.frombuffer(vectors, kind).reshape(-1, dim).astype(np.float64), np.frombuffer(rows, "<i8"), np.frombuffer(ids, "<i8"), pivots[pivot][None], most)
         if block is not None:
             yield block.rows()
 
@@ -257,22 +258,24 @@ def search(annuli: DataFrame, k: int, pivots: np.ndarray, most: float, dim: int,
     rings = annuli.select("annulus", F.col("pivot").alias("p"), "lo", "hi")
     gap = F.greatest(F.col("lo") - F.col("mid"), F.col("mid") - F.col("hi"), F.lit(0.0))
     pairs = _reaches(blocks, pivots, most, dim, kind).join(rings, "p").where("near <= hi AND far >= lo").select("own", "annulus", gap.alias("gap"))
-    pairs = pairs.join(annuli.select("annulus", "pivot", "ids", "vectors"), "annulus").join(blocks, "own")
+    pairs = pairs.join(annuli.select("annulus", "pivot", "rows", "ids", "vectors"), "annulus").join(blocks, "own")
     # in a task the annuli of a block come from the nearest outwards
-    near = pairs.sortWithinPartitions("own", "gap").select("own", "query_ids", "query_vectors", "bounds", "pivot", "ids", "vectors")
-    met = in_batches(near, meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = pairs.sortWithinPartitions("own", "gap").select("own", "query_rows", "query_ids", "query_vectors", "bounds", "pivot", "rows", "ids", "vectors")
+    met = in_batches(near, meet, "query_row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def top_k(rows: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, pivots: int = PIVOTS, annulus_rows: int = ANNULUS_ROWS, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top_k(rows: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, pivots: int | None = None, annulus_rows: int = ANNULUS_ROWS, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each row whose id is divisible by ``every``: the k other rows of largest inner product."""
-    found = written(vectors(rows, scale, key, vector), "vectors")
+    # written with a number for each row, so that a query is told from other rows of its id
+    found = written(vectors(rows, scale, key, vector).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
-    facts = found.agg(F.max(square).alias("most"), F.max(F.size("v")).alias("dim"), F.max(F.array_max(F.transform("v", F.abs))).alias("top")).first()
+    facts = found.agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("most"), F.max(F.size("v")).alias("dim"), F.max(F.array_max(F.transform("v", F.abs))).alias("top")).first()
     dim, most, top = facts["dim"] or 1, facts["most"] or 0.0, facts["top"] or 0
     kind = next((t for t in ("<i2", "<i4") if top <= np.iinfo(t).max), "<i8")  # of the components as they are packed
-    sample = found.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(SAMPLE_ROWS).collect()
+    pivots = pivots or min(MOST_PIVOTS, max(PIVOTS, int(facts["n"] ** 0.5) // 4))
+    sample = found.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id", "v").limit(SAMPLE_ROWS).collect()
     x = np.zeros((len(sample), dim))
     for i, r in enumerate(sample):
         x[i, : len(r["v"])] = r["v"]
@@ -287,13 +290,14 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH e AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.r, q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM e q, e c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  FROM e q, e c WHERE q.vec_id % 20 = 0 AND c.r <> q.r),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
