@@ -324,32 +324,144 @@ def test_pii_base(texts):
         assert pii.base_spans(t) == plain_spans(t)
 
 
+#: of other templates than the field learned from
+HELD_OUT = """
+for help dial [phone:(999) 999-9999] today
+ring her cell phone [phone:999-999-9999] at noon
+Telefon [phone:0999 999999] ab acht Uhr
+the ssn [national_id:999-99-9999] was stolen
+her passport [national_id:{k9}] , and a bag
+hello , my name is [person:@ @] and this is a letter
+With [person:Dr. @ @] in the room
+I live at [address:999 @ Street] with two cats
+her address is [address:99 @ Road]
+the child was born on [birth_date:99/99/9999] there
+DOB [birth_date:99.99.9999] , female
+set password=[secret:{p12}] and go
+use token: [secret:{m40}] for now
+key [secret:AKIA{k16}] from the bucket
+export SECRET_KEY="[secret:{m30}]"
+paid into IBAN [iban:XX99 9999 9999 9999 9999 99] last week
+it cost 999 or 9,999 in 9999
+under the Apache License, Version 9.9 , and so on
+the name of the street was lost in the year 9999
+chapter 99 , verse 9 , page 999
+"""
+
+
 def test_pii_field(spark, texts):
     field = pii.trained()
     some = {
-        "Call (614) 555-8001 now": [("phone", 5, 19)],
-        "ssn 123-45-6789.": [("national_id", 4, 15)],
-        "I met Dr. Anna Weber yesterday": [("person", 6, 20)],
-        "pay DE89 3704 0044 0532 0130 00 now": [("iban", 4, 31)],
-        "+1 (614) 555-8001 here": [("phone", 0, 17)],
+        "Call (614) 555-8001 now": ["(614) 555-8001"],
+        "ssn 123-45-6789.": ["123-45-6789"],
+        "I met Dr. Anna Weber yesterday": ["Dr. Anna Weber"],
+        "pay DE89 3704 0044 0532 0130 00 now": ["DE89 3704 0044 0532 0130 00"],
+        "My name is John Smith and I live at 12 Oak Street": ["12 Oak Street", "John Smith"],
+        "phone 0171 2345678 please": ["0171 2345678"],
+        "tel: 555 0134": ["555 0134"],
+        "SSN 123 45 6789": ["123 45 6789"],
+        "passport C01X00T47": ["C01X00T47"],
+        "api_key=9f8a7b6c5d4e3f2a1b0c": ["9f8a7b6c5d4e3f2a1b0c"],
+        "born on 12/05/1980": ["12/05/1980"],
         "version 3.0, in 1999, at 10:30, for $5,000.00, no 1234567890123456": [],
     }
-    assert pii.spans_of(list(some), field)[1] == list(some.values())
-    held = pii.labelled(copies=2, seed=77)
-    right = [list(y) == g for (_, _, g), y in zip(held, field.viterbi([field.scores(s, g) for s, g, _ in held]), strict=True)]
-    assert sum(right) >= 0.97 * len(right)
-    base, every = pii.spans_of([t for _, t, _, _ in texts], field)
-    assert base == every  # no such data in the clean documents
+    assert [[t[s:e] for _, s, e in x] for t, x in zip(some, pii.spans_of(list(some), field)[1], strict=True)] == list(some.values())
+    assert pii.spans_of(["+1 (614) 555-8001 here"], field)[1] == [[("phone", 0, 17)]]
+    for lines, least in ((pii.LABELLED, 0.98), (HELD_OUT, 0.85)):
+        held = pii.labelled(4, 77, lines)
+        right = [list(y) == g for (_, _, g), y in zip(held, field.viterbi([field.scores(s, g) for s, g, _ in held]), strict=True)]
+        assert sum(right) >= least * len(right)
     assert pii.redacted("mail a@b.co, 1.2.3.4", [("email", 5, 11), ("ip", 13, 20)]) == "mail [EMAIL], [IP]"
 
 
+def test_planted(spark):
+    """Documents that hold an address, a key and the like are found, others are left alone."""
+    field = pii.trained()
+    rows = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    mark = re.compile(r'@|AKIA|token = "|password=|\+\d|\d+\.\d+\.\d+\.\d+')  # other numbers of 16 digits are no cards
+    found = list(zip([bool(mark.search(t) or plain_spans(t)) for t in rows], map(bool, pii.spans_of(rows, field)[1]), strict=True))
+    assert found.count((True, True)) >= 0.98 * sum(m for m, _ in found) and found.count((False, True)) == 0
+
+
+def test_gradients():
+    """Of the likelihood, against differences."""
+    ids, x, y, mask = pii.encoded(pii.labelled(1, 5)[:12])
+    rng = np.random.default_rng(0)
+    k = len(pii.LABELS)
+    params = [rng.normal(size=(len(ids) + 1, k)) * 0.3, rng.normal(size=(k, k)) * 0.3, rng.normal(size=k) * 0.3]
+    gradients = pii.likelihood(*params, x, y, mask)[1:]
+    for p, g in zip(params, gradients, strict=True):
+        for at in rng.integers(1, p.size, 12):
+            old, h = p.flat[at], 1e-5
+            p.flat[at] = old + h
+            up = pii.likelihood(*params, x, y, mask)[0]
+            p.flat[at] = old - h
+            down = pii.likelihood(*params, x, y, mask)[0]
+            p.flat[at] = old
+            assert g.flat[at] == pytest.approx((up - down) / (2 * h), abs=1e-4)
+
+
+def test_stretches_are_enough(texts):
+    """The stretches give what whole texts give."""
+    field, rng = pii.trained(), random.Random(8)
+    signs = [*"aeT .,;:()-/=_'\"~", "name ", "phone ", "St ", "Straße ", "Hauptstraße ", " the of and to ", " The Of Anna ", "99 ", "12/05/1980", " key", "AKIA", "QWERTYUIOPASDFGH", "漢", "É", "\x1c", " born on ", " live at ", "sk_live_", "a1B2" * 6, " x" * 25, " Xx" * 9]
+    made = ["".join(rng.choice(signs) for _ in range(rng.randrange(120))) for _ in range(1500)]
+    some = [t for _, t, _, _ in texts] + made
+    assert pii.field_spans(some, field) == pii.field_spans(some, field, whole=True)
+
+
+def test_dull_tokens_hold_no_span():
+    """The bound behind MARGIN, from the weights: over all windows of dull tokens, what a label gains over none."""
+    field, dull = pii.trained(), [*pii.DULL, "<>"]
+    n, k = len(dull), len(pii.LABELS)
+    row = lambda f: field.w[field.ids.get(f, 0)] - field.w[field.ids.get(f, 0)][0]
+    most = np.full(k, -np.inf)
+    for g in "_.":
+        for m in "_.":
+            one = np.array([row(f"0{c}") + row(f"1{g}{c}{m}") + row(f"8-|{c}") + row(f"9-|{c}|{g}") + row("B") for c in dull])
+            left = np.array([[row(f"2{b}{g}{c}") + row(f"A-|{b}|{c}") for c in dull] for b in dull])
+            right = np.array([[row(f"3{c}{m}{d}") for d in dull] for c in dull])
+            near = np.array([[[row(f"4{b}{g}{c}{m}{d}") for d in dull] for c in dull] for b in dull]) + left[:, :, None] + right[None] + one[None, :, None]
+            before = np.array([[[row(f"5{a}|{b}{g}{c}") for c in dull] for b in dull] for a in dull])
+            after = np.array([[[row(f"6{c}{m}{d}|{e}") for e in dull] for d in dull] for c in dull])
+            for a in range(n):
+                total = (near + before[a][:, :, None])[:, :, :, None] + after[None]
+                for key, i in field.ids.items():
+                    if key[0] == "7" and (x := key[1:].split("|"))[0] == dull[a] and all(y in dull for y in x) and len(x) == 5:
+                        total[tuple(dull.index(y) for y in x[1:])] += field.w[i] - field.w[i][0]
+                if a < n - 1:
+                    total[-1] = -np.inf  # no text has a token before its first
+                total[:, -1] = total[:, :, -1, :-1] = -np.inf
+                most = np.maximum(most, total.max((0, 1, 2, 3)))
+    pair = field.pair
+    slots = [[i for f, i in field.ids.items() if f[0] == s] for s in "0123456789A"]
+    for b in range(1, k, 2):
+        i = b + 1
+        cost = -(most[i] + pair[i, i] - pair[0, 0])
+        assert cost > 0.5, (pii.LABELS[i], cost)  # each dull token inside a span
+        enter = (pair[:, b] - pair[:, 0])[[j for j in range(k) if pair[j, b] > -1e3]].max()
+        leave = lambda x: (pair[x] - pair[0])[[j for j in range(k) if pair[0, j] > -1e3]].max()  # noqa: B023, E731
+        assert most[b] + enter + leave(b) < 0 and most[b] + enter + pair[b, i] - pair[0, 0] + most[i] + leave(i) < 0  # no span of dull tokens only
+        tail = abs(leave(b) - leave(i)) + abs(pair[i, i] - pair[b, i])
+        head = sum(max(0.0, (field.w[s, i] - field.w[s, b]).max()) for s in slots) + abs(pair[i, i]) + abs(enter) + tail
+        assert head / cost < pii.MARGIN, (pii.LABELS[b], head, cost)
+
+
+def test_long_stretch_in_windows(monkeypatch):
+    field = pii.trained()
+    text = "11 " * 3000 + "password=b7db7aa4a5fcc78305 " + "12 x " * 2000 + "ssn 123-45-6789 " + "7 " * 300
+    whole = pii.field_spans([text], field)
+    monkeypatch.setattr(pii, "WINDOW", 300)
+    assert pii.field_spans([text], field) == whole == pii.field_spans([text], field, whole=True) and len(whole[0]) == 2
+
+
 def test_viterbi_is_best():
     field = pii.trained()
     rng = np.random.default_rng(0)
-    e = rng.normal(size=(4, len(pii.LABELS)))
+    e = rng.normal(size=(3, len(pii.LABELS)))
     got = field.viterbi([e])[0]
-    score = lambda y: field.first[y[0]] + e[range(4), y].sum() + sum(field.pair[a, b] for a, b in zip(y, y[1:], strict=False))
-    paths = np.array(np.meshgrid(*[range(len(pii.LABELS))] * 4)).reshape(4, -1).T
+    score = lambda y: field.first[y[0]] + e[range(3), y].sum() + sum(field.pair[a, b] for a, b in zip(y, y[1:], strict=False))
+    paths = np.array(np.meshgrid(*[range(len(pii.LABELS))] * 3)).reshape(3, -1).T
     assert score(list(got)) == pytest.approx(max(score(list(p)) for p in paths))
 
 
@@ -432,8 +544,11 @@ def test_pipeline_against_plain_stages(spark, sf, texts, words):
         if at == 2:
             old = {r["doc_id"]: r["text"] for r in before}
             assert len(rows) == len(before)
+            added = dict(zip(old, pii.field_spans(list(old.values()), pii.trained(), whole=True), strict=True))
             for r in rows:
-                assert r["text"] == pii.redacted(old[r["doc_id"]], plain_spans(old[r["doc_id"]])) and r["n_chars"] == len(r["text"])
+                base = plain_spans(old[r["doc_id"]])
+                more = [x for x in added[r["doc_id"]] if not any(x[1] < e and s < x[2] for _, s, e in base)]
+                assert r["text"] == pii.redacted(old[r["doc_id"]], base + more) and r["n_chars"] == len(r["text"])
         if at == 3:
             size = collections.Counter()
             for r in before:
