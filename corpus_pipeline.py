@@ -3,6 +3,12 @@
 Each stage reads what the one before wrote. A document that the quality rules reject goes; of each class of
 near-duplicates one document stays; personal data is replaced by its kind; sources are taken as often as their
 targets ask, a row for each time; what is left is packed into sequences.
+
+Defined results, of every stage: a null or blank text has no words, so the first stage rejects it; where a later stage is
+given one, it is a document like any other, null texts stay null, and the last stage packs the end id alone. Null ids and
+repeated ids are borne: rows are told apart by themselves, never by their ids; of a class of near-duplicates without any
+id one row stays too. A null source is a source of its own. Repeated rows are near-duplicates of each other; an empty
+table gives no rows; further columns, whatever their names, are kept by all stages but the last, which reads none.
 """
 
 from __future__ import annotations
