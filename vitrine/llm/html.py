@@ -3,8 +3,11 @@
 A page is cut into blocks at block-level tags and double line breaks; each block carries its words, its linked
 characters, and the elements it stands in. First pass, block by block: blocks in menus, headers, footers, sidebars,
 notices, adverts, forms and comments are bad; blocks that are mostly links are bad; then stop-word density, length
-and link density tell good blocks, bad ones, and ambiguous short or nearly good ones. Second pass: an ambiguous
-block takes the label of its nearest decided neighbours, the better one first if it is nearly good. An article that
+and link density tell good blocks, bad ones, and ambiguous short or nearly good ones. How dense stop words must be
+depends on the page: where they are few in all of its longer texts, as in a language whose words aren't listed, the
+bounds are lower in proportion, so that length and links decide. Second pass: an ambiguous block takes the label of its
+nearest decided neighbours, the better one first if it is nearly good; a heading goes with what follows it, and a short
+block that has a good one right beside it in the same element and of the same kind goes with that. An article that
 the author marks shifts the thresholds, for prose there may have no stop words: what would be bad or ambiguous inside
 of it is ambiguous and leans to good unless its links are many, and what is ambiguous outside of it is good between
 good neighbours only. The mark counts nothing where more good text stands outside than text with few links inside,
@@ -40,6 +43,7 @@ SILENT = frozenset("script style noscript template svg math iframe object canvas
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())  # any other start tag ends an open head
 REGIONS = frozenset("nav header footer aside form dialog menu".split())
 ARTICLES = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -63,11 +67,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("article", "linked", "parts", "region")
+    __slots__ = ("article", "home", "linked", "parts", "region")
 
-    def __init__(self, region: bool, article: bool):
+    def __init__(self, region: bool, article: bool, home: tuple[str, int]):
         self.parts: list[str] = []
         self.linked, self.region, self.article = 0, region, article
+        self.home = home  # its element's name, and which element that stands in
 
 
 def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
@@ -91,15 +96,21 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
 def blocks(html: str) -> list[Block]:
     """In page order, with their raw text."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # element, silent, region, article, comments, each with those around it
+    stack: list[tuple[str, bool, bool, bool, bool, int]] = []  # element, silent, region, article, comments, each with those around it, and its number
     current: Block | None = None
-    links = breaks = pos = 0
+    links = breaks = pos = number = 0
+
+    def home() -> tuple[str, int]:
+        at = len(stack) - 1
+        while at >= 0 and stack[at][0] not in BLOCKS:
+            at -= 1
+        return (stack[at][0] if at >= 0 else "", stack[at - 1][5] if at > 0 else 0)
 
     def add(text: str) -> None:
         nonlocal current, breaks
         if stack and stack[-1][0] == "head" and text and not text.isspace():
             pop(len(stack) - 1)
-        silent, region, article, _ = stack[-1][1:] if stack else (False, False, False, False)
+        silent, region, article, *_ = stack[-1][1:] if stack else (False, False, False)
         if silent or not text:
             return
         if text.isspace():
@@ -107,7 +118,7 @@ def blocks(html: str) -> list[Block]:
                 current.parts.append(" ")
             return
         if current is None:
-            current = Block(region, article)
+            current = Block(region, article, home())
             found.append(current)
         text = unescape(text) if "&" in text else text
         current.parts.append(text)
@@ -175,12 +186,12 @@ def blocks(html: str) -> list[Block]:
                 if stack[k][0] in BLOCKS:
                     break
         silent, region, comments = _marks(tag, m[3])
-        around = stack[-1] if stack else ("", False, False, False, False)
+        around, number = stack[-1] if stack else ("", False, False, False, False, 0), number + 1
         if tag in ARTICLES and not around[4] and not comments:
             # an article inside a menu or header that was never closed
-            stack.append((tag, around[1] or silent, silent, True, False))
+            stack.append((tag, around[1] or silent, silent, True, False, number))
         else:
-            stack.append((tag, around[1] or silent, around[2] or region, around[3], around[4] or comments))
+            stack.append((tag, around[1] or silent, around[2] or region, around[3], around[4] or comments, number))
         links += tag == "a"
     return found
 
@@ -188,26 +199,36 @@ def blocks(html: str) -> list[Block]:
 GOOD, BAD, SHORT, NEAR, INSIDE, OUTSIDE = "good", "bad", "short", "near", "inside", "outside"
 
 
-def _stops(text: str) -> float:
+def _stops(text: str) -> tuple[int, int]:
+    """How many stop words a text has, of how many words."""
     found = _WORD.findall(text.lower())
-    return sum(w in STOP_WORDS for w in found) / max(1, len(found))
-
-
-def _plain(block: Block, text: str) -> str:
-    """The label of a block on a page without marks."""
-    size = len(text)
-    if block.region or block.linked / size > LINKS_MOST:
-        return BAD
-    if size < LENGTH_LOW:
-        return BAD if block.linked else SHORT
-    stop = _stops(text)
-    if stop >= STOP_HIGH:
-        return GOOD if size > LENGTH_HIGH else NEAR
-    return NEAR if stop >= STOP_LOW else BAD
+    return sum(w in STOP_WORDS for w in found), len(found)
+
+
+def _labels(some: list[tuple[Block, str]]) -> tuple[list[str], list[bool]]:
+    """The labels on a page without marks, and whether a block is short or has about as many stop words as prose on this page."""
+    plain = [not b.region and b.linked / len(t) <= LINKS_MOST for b, t in some]
+    stops = [_stops(t) if len(t) >= LENGTH_LOW and not b.region else (0, 0) for b, t in some]
+    n, of = (sum(x) for x in zip(*(x for x, ok in zip(stops, plain, strict=True) if ok), strict=True)) if any(plain) else (0, 0)
+    page = n / max(1, of)
+    low, high = min(STOP_LOW, 0.5 * page), min(STOP_HIGH, 0.75 * page)
+    labels, wordy = [], []
+    for (b, t), ok, (n, of) in zip(some, plain, stops, strict=True):
+        size, density = len(t), n / max(1, of)
+        wordy.append(size < LENGTH_LOW or density >= low)
+        if not ok:
+            labels.append(BAD)
+        elif size < LENGTH_LOW:
+            labels.append(BAD if b.linked else SHORT)
+        elif density >= high:
+            labels.append(GOOD if size > LENGTH_HIGH else NEAR)
+        else:
+            labels.append(NEAR if density >= low else BAD)
+    return labels, wordy
 
 
 def _first(some: list[tuple[Block, str]]) -> list[str]:
-    labels = [_plain(b, t) for b, t in some]
+    labels, wordy = _labels(some)
     inside = sum(len(t) for b, t in some if b.article and not b.region and b.linked / len(t) <= LINKS_MOST)
     if not inside or inside < sum(len(t) for (b, t), x in zip(some, labels, strict=True) if x == GOOD and not b.article):
         return labels
@@ -217,8 +238,7 @@ def _first(some: list[tuple[Block, str]]) -> list[str]:
         if not b.article:
             labels[i] = BAD if labels[i] == BAD else OUTSIDE
         else:
-            density, wordy = b.linked / len(t), len(t) < LENGTH_LOW or _stops(t) >= STOP_LOW
-            labels[i] = BAD if density > (LINKS_MOST_IN_ARTICLE if wordy else LINKS_MOST) else INSIDE
+            labels[i] = BAD if b.linked / len(t) > (LINKS_MOST_IN_ARTICLE if wordy[i] else LINKS_MOST) else INSIDE
     return labels
 
 
@@ -233,30 +253,33 @@ def _around(labels: list[str]) -> list[set[str]]:
     return [{x, y} for x, y in zip(before, reversed(after), strict=True)]
 
 
-def _second(labels: list[str], articles: list[bool]) -> list[str]:
-    """Each ambiguous block by the nearest decided labels before and after it; those inside of articles first."""
+def _second(labels: list[str], some: list[Block]) -> list[str]:
+    """Each ambiguous block by the nearest decided labels before and after it; those inside of articles first, then headings."""
     if INSIDE in labels:
-        some = any(x == GOOD and a for x, a in zip(labels, articles, strict=True))
-        labels = [(GOOD if GOOD in n or not some else BAD) if x == INSIDE else x for x, n in zip(labels, _around(labels), strict=True)]
+        good = any(x == GOOD and b.article for x, b in zip(labels, some, strict=True))
+        labels = [(GOOD if GOOD in n or not good else BAD) if x == INSIDE else x for x, n in zip(labels, _around(labels), strict=True)]
     if not any(x in (GOOD, BAD) for x in labels):  # nothing speaks against any block
         return [GOOD] * len(labels)
-    out = []
-    for i, (x, around) in enumerate(zip(labels, _around(labels), strict=True)):
-        if x == NEAR:
-            x = GOOD if GOOD in around or GOOD not in labels else BAD
-        elif x == SHORT:
-            x = GOOD if around == {GOOD} or (GOOD in around and (NEAR in labels[max(0, i - 1) : i + 2])) else BAD
-        elif x == OUTSIDE:
-            x = GOOD if around == {GOOD} else BAD
-        out.append(x)
-    return out
+    labels = [(GOOD if GOOD in n or GOOD not in labels else BAD) if x == NEAR else x for x, n in zip(labels, _around(labels), strict=True)]
+    after = BAD
+    for i in range(len(labels) - 1, -1, -1):
+        if labels[i] == SHORT and after == GOOD and some[i].home[0] in HEADINGS:
+            labels[i] = GOOD
+        if labels[i] in (GOOD, BAD):
+            after = labels[i]
+    for order in (range(1, len(labels)), range(len(labels) - 2, -1, -1)):
+        for i in order:
+            beside = i - 1 if order.step > 0 else i + 1
+            if labels[i] == SHORT and labels[beside] == GOOD and some[i].home == some[beside].home:
+                labels[i] = GOOD
+    return [(GOOD if n == {GOOD} else BAD) if x in (SHORT, OUTSIDE) else x for x, n in zip(labels, _around(labels), strict=True)]
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     some = [(b, t) for b in blocks(html) if (t := " ".join("".join(b.parts).split()))]
-    labels = _second(_first(some), [b.article for b, _ in some])
+    labels = _second(_first(some), [b for b, _ in some])
     return "\n".join(t for (_, t), x in zip(some, labels, strict=True) if x == GOOD)
 
 
