@@ -247,6 +247,14 @@ def test_fewer_than_best_fit():
     assert sum(n for _, n in packing.bin_completion(counts, 30)) == 3
 
 
+def test_enumerations_started_anew(monkeypatch):
+    rng = np.random.default_rng(1)
+    some = [np.bincount(rng.integers(8, 30, 14), minlength=41) for _ in range(20)]
+    whole = [packing.bin_completion(c, 40) for c in some]
+    monkeypatch.setattr(packing, "OPEN", 1)
+    assert [packing.bin_completion(c, 40) for c in some] == whole
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_triplets(seed):
     """Pieces made by cutting full sequences in three, each of more than a quarter: best-fit wastes some."""

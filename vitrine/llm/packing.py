@@ -7,7 +7,9 @@ it (or none) can be exchanged for one larger piece that is left and still fits.
 allow, then fewer times, and the search backs up where what is left needs too many sequences to beat the incumbent,
 first the best-fit-decreasing solution. It ends at the lower bound, when nothing is left to try (the packing is then
 of fewest sequences), or after ``node_limit`` fillings taken or ``step_limit`` steps of enumeration, whichever comes
-first; these limits bound the driver's seconds, and drop no piece.
+first; these limits bound the driver's seconds, and drop no piece. Only the last ``OPEN`` lengths that the search stands
+at hold their enumeration; one further back is started anew when the search backs up to it, so the driver's memory is
+bounded too.
 
 The solution is a list of patterns, each with the number of sequences made alike. The pieces of a length are
 numbered across the cluster (a hash bucket within the length at a time, so no task holds a length) and the n-th
@@ -23,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,8 @@ from vitrine.llm.encode import END, encoder, vocabulary
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
 NODE_LIMIT = 20_000
-STEP_LIMIT = 2_000_000
+STEP_LIMIT = 10_000_000
+OPEN = 16
 ROWS_PER_BUCKET = 500
 BROADCAST_ROWS = 200_000  # of places; about 10 MB
 BATCH_BYTES = 32 << 20
@@ -192,19 +196,23 @@ class _Node:
     """The sequences around the largest length left: the patterns to try there, each as often as can be, then fewer times."""
 
     def __init__(self, left: np.ndarray, capacity: int, work: _Work, above: _Node | None):
-        self.top, self.left, self.times = int(np.flatnonzero(left)[-1]), left, 0
+        self.top, self.left, self.work, self.times = int(np.flatnonzero(left)[-1]), left, work, 0
+        self.gap = capacity - self.top
         # a pattern that the node above has taken for the same length it has taken as often as it is to be
         self.done = above.done | {above.pattern} if above and above.top == self.top else frozenset()
         self.pattern: tuple[tuple[int, int], ...] = ()
-        inside = left.copy()
-        inside[self.top] -= 1
-        self.fillings = fillings(inside, capacity - self.top, work)
+        self.tried, self.fillings = 0, None
 
     def next(self) -> bool:
         if self.times > 1:
             self.times -= 1
             return True
+        if self.fillings is None:
+            inside = self.left.copy()
+            inside[self.top] -= 1
+            self.fillings = islice(fillings(inside, self.gap, self.work), self.tried, None)
         for filling in self.fillings:
+            self.tried += 1
             pattern = filling | {self.top: filling.get(self.top, 0) + 1}
             self.pattern = tuple(sorted(pattern.items(), reverse=True))
             if self.pattern not in self.done:
@@ -249,6 +257,8 @@ def bin_completion(counts: np.ndarray, capacity: int, node_limit: int = NODE_LIM
                 continue
             if rest:
                 above.append(node)
+                if len(above) > OPEN:
+                    above[-OPEN - 1].fillings = None
                 node = _Node(left, capacity, work, node)
                 continue
             best, incumbent = [(x.pattern, x.times) for x in (*above, node)], sequences
