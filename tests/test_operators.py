@@ -128,6 +128,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "l.csv").write_text('excessão,exceção,"a ""b"""\n,,\n')
     cells = files.read_delimited(spark, str(tmp_path / "l.csv"))
     assert [r["cells"] for r in cells.collect()] == [["excessão", "exceção", 'a "b"']]
+    (tmp_path / "r.csv").write_bytes(b'a;b\nc;d;e;f\n"g\nh" ; \n;;\n\xe9;i')
+    assert [(r["line"], r["cells"]) for r in files.read_delimited(spark, str(tmp_path / "r.csv")).collect()] == [(1, ["a", "b"]), (2, ["c", "d", "e", "f"]), (3, ["g\nh"]), (6, ["é", "i"])]
     assert files.cells_to_lines(cells, "corrections").first()[0] == 'excessão => exceção, a "b"'
     assert files.cells_to_lines(cells, "stopwords").count() == 3
     files.export_json(cells, str(tmp_path / "o"))
@@ -150,8 +152,9 @@ def test_vocabulary(spark):
 
 
 def test_acronyms(spark):
-    assert mining.acronym_expansion("a sede da Companhia Estadual de Energia ", "CEE") == "Companhia Estadual de Energia"
-    assert mining.acronym_expansion("uma companhia Estadual ", "CE") is None
+    rows = [("a sede da Companhia Estadual de Energia (CEE)",), ("uma companhia Estadual (CE)",), ("Museu d'Arte Moderna (MAM)",), ("Museu de Arte Moderna (MAM)",), ("o Instituto Ágora (IA) e a Área Livre (ZL)",), ("(ABC) Só (SO)",)]
+    got = mining.acronyms(spark.createDataFrame(rows, "text string")).collect()
+    assert {(r["acronym"], r["expansion"]) for r in got} == {("CEE", "Companhia Estadual de Energia"), ("MAM", "Museu d'Arte Moderna"), ("MAM", "Museu de Arte Moderna"), ("IA", "Instituto Ágora")}
     df = spark.createDataFrame([("A Ordem dos Advogados do Brasil (OAB) e (X). Ordem dos Advogados do Brasil ( OAB )",), (None,)], "text string")
     assert [tuple(r) for r in mining.acronyms(df).collect()] == [("OAB", "Ordem dos Advogados do Brasil", 2)]
 
@@ -204,3 +207,11 @@ def test_save_and_load(cat, spark, tmp_path):
     assert again.items.count() == 5 and again.metadata.where("metadatum_id = 8").count() == 2
     plan = again.metadata.where("metadatum_id = 8")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(metadatum_id" in plan
+
+
+def test_expand():
+    rules = [(["photo", "foto"], []), (["litho", "lito"], [])]
+    assert sorted(search.expand(["photo", "litho"], rules)) == sorted([["photo", "litho"], ["photo", "lito"], ["foto", "litho"], ["foto", "lito"]])
+    assert search.expand(["gravura", "a"], [(["gravura"], ["estampa"])]) == [["estampa", "a"]]
+    assert search.expand(["errado"], [(["errado"], ["errado", "certo"])]) == [["errado"], ["certo"]]
+    assert sorted(search.expand(["rio", "de", "janeiro"], [(["rio de janeiro", "rj"], []), (["rio"], ["rios"])])) == sorted([["rio", "de", "janeiro"], ["rj"], ["rios", "de", "janeiro"]])

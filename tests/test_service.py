@@ -43,6 +43,8 @@ def test_store(spark, tmp_path):
     assert s.create("t", row(1).schema) and not s.create("t", row(1).schema)
     bad = s.bulk("t", row(1, 2, 3), check=F.when(F.col("item_id") == 2, "no"))
     assert [tuple(r) for r in bad.collect()] == [(2, "no")] and s.stats("t")["rows"] == 2
+    again = s.bulk("t", row(4, 6), check=F.lit("no"))  # every refused row comes back, and an earlier result stays as it was
+    assert sorted(r["item_id"] for r in again.collect()) == [4, 6] and s.stats("t")["rows"] == 2
     (tmp_path / "t" / "v99").mkdir()  # a version that was never finished
     assert s.read("t").count() == 2
     s.remove("t", row(1, 7))
@@ -96,3 +98,22 @@ def test_service(spark, tmp_path):
     s.reset_metrics()
     s.clear_alerts()
     assert s.state()["state"] == "idle" and s.delete_index()
+
+
+def test_health_is_measured(spark, tmp_path, monkeypatch):
+    rows = [(i, "col_a", "publish", f"Quadro {i}", None, "tela", None, None, None) for i in range(1, 4)]
+    s = Service(spark, str(tmp_path), lambda: spark.createDataFrame(rows, ITEM))
+    assert not s.probe()["index"] and s.snapshot().first()["index_status"] is None
+    s.create_index()
+    first = s.snapshot().first()
+    assert first["reachable"] and first["index_status"] == "green" and first["error"] == "" and first["ping_ms"] >= 0
+    read = s.store.read
+
+    def broken(name, schema=None):
+        if name == "index":
+            raise OSError("the disk is gone")
+        return read(name, schema)
+
+    monkeypatch.setattr(s.store, "read", broken)
+    now = s.snapshot().first()
+    assert not now["reachable"] and now["cluster_status"] == "red" and "gone" in now["error"]

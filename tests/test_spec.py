@@ -113,3 +113,15 @@ def test_route():
     for args in ({"post_type": "any"}, {}, {"post_type": ["col_a", "page"]}, {"post_type": "col_a", "p": 7}, {"post_type": "col_a", "fields": "id=>parent"}, {"post_type": "col_a", "suppress_filters": True}):
         assert spec.route(args, known) == "exact"
     assert spec.route({"post_type": "col_a"}, known, searching=False) == "exact"
+
+
+@pytest.mark.parametrize("key", ["1.5", "nan", "inf", "x"])
+def test_keys_that_are_no_ids(key):
+    with pytest.raises(Unsupported):
+        spec.build({"meta_query": [{"key": key, "value": 1}]}, TYPES)
+
+
+@pytest.mark.parametrize("route", ["indexed", "exact"])
+def test_filters_that_nothing_applies(route):
+    with pytest.raises(Unsupported):
+        spec.build({"date_query": [{"year": 2020}]}, TYPES, route=route)

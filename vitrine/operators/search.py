@@ -153,16 +153,23 @@ def match_fuzzy(items: DataFrame, text: str, fields: tuple[str, ...] = ("title",
 
 
 def expand(words: list[str], rules: list[tuple[list[str], list[str]]]) -> list[list[str]]:
-    """A query's alternatives under rules (left terms, right terms; no right: all left ones are equal). Each is a list of words."""
-    found = [words]
-    for left, right in rules:
-        to = right or left
-        for term in left:
-            t = term.split()
-            for i in range(len(words) - len(t) + 1):
-                if words[i : i + len(t)] == t:
-                    found += [words[:i] + r.split() + words[i + len(t) :] for r in to]
-    return [list(x) for x in dict.fromkeys(map(tuple, found))]
+    """A query's alternatives under rules (left terms, right terms; no right: all left ones are equal). Each is a list of words.
+
+    The ways through the query are a graph over its positions: from each, its own word or any form of a term that begins
+    there, so rules meet in every combination. A term of a one-way rule gives way to the rule's right side."""
+    steps: list[list[tuple[int, list[str]]]] = []
+    for i in range(len(words)):
+        equal, oneway = [], []
+        for left, right in rules:
+            for term in map(str.split, left):
+                if term and words[i : i + len(term)] == term:
+                    (oneway if right else equal).extend((len(term), r.split()) for r in right or left)
+        steps.append([*equal, *oneway] + [(1, [words[i]])] * (not oneway))
+    ways: list[list[list[str]]] = [[] for _ in words] + [[[]]]
+    for i in range(len(words) - 1, -1, -1):
+        ways[i] = [list(x) for x in dict.fromkeys(tuple(form + rest) for n, form in steps[i] for rest in ways[i + n])]
+    # the query as it was typed stands first, if it is one of them
+    return sorted(ways[0], key=lambda w: w != words)
 
 
 def match_synonyms(items: DataFrame, text: str, rules: list[tuple[list[str], list[str]]], fields: tuple[str, ...] = ("title", "content")) -> DataFrame:

@@ -64,10 +64,9 @@ class Service:
 
     def test_connection(self) -> dict:
         """Whether the folder answers, and what would be used to sign in."""
-        began = self.clock()
-        self.store.versions("index")
+        found = self.probe()
         method, user, _ = st.auth(self.settings())
-        return {"ok": True, "ms": int(1000 * (self.clock() - began)), "auth": method, "user": user, "url": st.inline_credentials(self.settings()["es_url"])[0]}
+        return {"ok": found["reachable"], "ms": found["ping_ms"], "error": found["error"], "auth": method, "user": user, "url": st.inline_credentials(self.settings()["es_url"])[0]}
 
     # ------------------------------------------------ index and queue
 
@@ -150,7 +149,7 @@ class Service:
         try:
             bad = self.store.bulk("index", docs, check=check)
         except Exception as e:  # the sink as a whole: the queue stays as it is
-            self._set_state("running", backoff_until=self.clock() + BACKOFF_S)
+            self._set_state("running", backoff_until=self.clock() + BACKOFF_S, fallback_at=self.clock())
             self.log("error", "indexer", "bulk write failed", {"error": str(e)[:500]})
             return {"ok": False, "processed": 0, "remaining": before}
         taken = batch.count()
@@ -201,13 +200,29 @@ class Service:
         make = lambda: monitor.coverage(self._live(), self.store.read("index", ITEM), "post_type", self.settings()["divergence_threshold_pct"]).orderBy("post_type").collect()
         return self.cached("collections", make, refresh)  # type: ignore[return-value]
 
+    def probe(self) -> dict:
+        """What the index answers now: whether it can be read, how long that takes, its rows; yellow while refused rows wait for another try, red where it can't be read."""
+        out = {"reachable": True, "index": False, "docs": 0, "status": None, "error": "", "nodes": self.spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size()}
+        began = time.perf_counter()
+        try:
+            out["index"] = self.store.exists("index")
+            out["ping_ms"] = int(1000 * (time.perf_counter() - began))
+            if out["index"]:
+                out["docs"] = self.store.read("index", ITEM).count()
+                waiting = self.store.read("failures", FAILURES).join(self.store.read("queue", QUEUE), "item_id", "left_semi")
+                out["status"] = "yellow" if waiting.take(1) else "green"
+        except Exception as e:  # whatever the storage raises is what there is to report
+            out |= {"reachable": False, "status": "red", "error": str(e)[:500], "ping_ms": int(1000 * (time.perf_counter() - began))}
+        return out
+
     def snapshot(self) -> DataFrame:
         """The facts that health, alerts, diagnosis and light are told from."""
-        s, state, index = self.settings(), self.state(), self.store.exists("index")
-        source, docs = self._live().count(), self.store.read("index", ITEM).count()
+        s, state, probe = self.settings(), self.state(), self.probe()
+        index, docs, source = probe["index"], probe["docs"], self._live().count()
         gap = max(0.0, round(100 - 100 * docs / source, 2)) if source and index else None
         k = self.metrics().first()
-        row = (1, True, True, index, True, s["engine"] != "sql", bool(s["auto_indexing_enabled"]), state["state"] == "paused", self.vocabulary_pending(), "green" if index else None, "green", 1, gap, float(s["divergence_threshold_pct"]), docs, source, state["queue"], k["success_pct"], 0, "", None)
+        failed = self._get("state").get("fallback_at")
+        row = (1, bool(self.store.folder), probe["reachable"], index, probe["nodes"] <= 1, s["engine"] != "sql", bool(s["auto_indexing_enabled"]), state["state"] == "paused", self.vocabulary_pending(), probe["status"], probe["status"] or "green", probe["ping_ms"], gap, float(s["divergence_threshold_pct"]), docs, source, state["queue"], k["success_pct"], 0 if probe["reachable"] else 503, probe["error"], None if failed is None else int(self.clock() - failed))
         names = "id bigint, configured boolean, reachable boolean, index_exists boolean, single_node boolean, routing boolean, auto_indexing boolean, paused boolean, vocabulary_pending boolean, index_status string, cluster_status string, ping_ms bigint, divergence_pct double, threshold_pct double, index_docs bigint, source_docs bigint, queue_size bigint, success_pct double, http_code bigint, error string, fallback_age_s bigint"
         return self.spark.createDataFrame([row], names)
 

@@ -298,10 +298,16 @@ def parse_credentials(spark, sf):
     return u.select("page_id", tx.url_user("u").alias("usr"), tx.url_password("u").alias("pw"), tx.url_bare("u").alias("bare"))
 
 
-@query("sniffed_cells", "SELECT * FROM (VALUES ('a, b'), ('c => d, e')) t(text)")
+@query(
+    "sniffed_cells",
+    """WITH n AS (SELECT r_name, list(n_name ORDER BY n_name) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)
+    SELECT r_name || ', ' || array_to_string(n, ', ') AS text FROM n UNION ALL SELECT r_name || ' => ' || array_to_string(n, ', ') FROM n UNION ALL SELECT unnest(list_prepend(r_name, n)) FROM n""",
+)
 def sniffed_cells(spark, sf):
-    lists = files.cells_to_lines(spark.createDataFrame([(["a", "b"],)], "cells array<string>"), "synonyms")
-    return lists.unionByName(files.cells_to_lines(spark.createDataFrame([(["c", "d", "e"],)], "cells array<string>"), "corrections"))
+    """Cells as read_delimited() gives them, a region and its nations each, as lines of the three kinds of list."""
+    n = c.table(spark, sf, "nation").join(c.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("n"))
+    cells = n.select(F.concat(F.array("r_name"), "n").alias("cells"))
+    return files.cells_to_lines(cells, "synonyms").unionByName(files.cells_to_lines(cells, "corrections")).unionByName(files.cells_to_lines(cells, "stopwords"))
 
 
 @query("json_export", """SELECT event_id AS id, '{"id":' || event_id || ',"channel":"' || event_type || '"}' AS line FROM events""")

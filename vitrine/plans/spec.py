@@ -1,11 +1,13 @@
 """What a listing asks for, checked on the driver: arguments in, a specification or Unsupported out.
 
 Two routes answer a specification. ``indexed`` takes only what a search index reproduces exactly and raises
-Unsupported for the rest; ``exact`` answers the rest natively.
+Unsupported for the rest; ``exact`` has no result window and pages without end. Arguments that nothing here applies are
+Unsupported on both.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 #: Statuses that the index holds.
@@ -162,12 +164,13 @@ def _meta(c: dict) -> Meta | None:
         return None
     made = Meta(c["key"], c.get("value"), str(c.get("compare", "=")).strip().upper())
     check_meta(made)
-    return Meta(int(made.key), made.value, made.compare)
+    return Meta(int(numeric(made.key)), made.value, made.compare)
 
 
 def check_meta(c: Meta) -> None:
     """What the index can't answer of a metadata clause."""
-    if numeric(c.key) is None:
+    number = numeric(c.key)
+    if number is None or not math.isfinite(number) or number != int(number):
         raise Unsupported("raw key")
     values = c.value if isinstance(c.value, (list, tuple)) else [c.value]
     if c.compare in ("=", "IN", "!=", "NOT IN"):
@@ -247,8 +250,7 @@ def build(args: dict, post_types: tuple[str, ...], viewer: Viewer = ANONYMOUS, s
         for k, v in args.items():
             if k not in HANDLED and k not in IGNORABLE and not _unset(v):
                 raise Unsupported(k)
-    if route == "indexed":
-        check_unmodelled(args)
+    check_unmodelled(args)  # on either route: an argument that nothing applies would widen the result
     text = str(args.get("s") or "").strip()
     offset, size = resolve_window(args, route)
     author = numeric(args.get("author"))

@@ -78,6 +78,22 @@ def text_synonym(spark, sf):
     return _ids(search.match_synonyms(_docs(spark, sf), "apache license", [(["apache", "gnu general"], [])], ("content",)))
 
 
+@query(
+    "text_synonym_graph",
+    f"""WITH w AS (SELECT doc_id, {TOKENS} AS w FROM documents), q AS (SELECT unnest([['apache', 'license'], ['apache', 'version'], ['gnu', 'general', 'license'], ['gnu', 'general', 'version']]) AS q)
+    SELECT DISTINCT doc_id AS item_id FROM w, q WHERE list_has_all(w, q)""",
+)
+def text_synonym_graph(spark, sf):
+    """Two rules meet in one query."""
+    return _ids(search.match_synonyms(_docs(spark, sf), "apache license", [(["apache", "gnu general"], []), (["license", "version"], [])], ("content",)))
+
+
+@query("text_synonym_one_way", f"SELECT doc_id AS item_id FROM documents WHERE list_has_all({TOKENS}, ['mit', 'license'])")
+def text_synonym_one_way(spark, sf):
+    """The left side of a one-way rule is replaced."""
+    return _ids(search.match_synonyms(_docs(spark, sf), "apache license", [(["apache"], ["mit"])], ("content",)))
+
+
 @query(
     "text_bm25",
     f"""WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents),
@@ -105,14 +121,8 @@ def analyze_groups(spark, sf):
     return search.group_tokens(spark.createDataFrame([(0, "foto"), (1, "artes"), (1, "arte"), (1, "arte"), (2, "rio")], "pos int, token string"))
 
 
-@query("fold_word", "SELECT DISTINCT w, regexp_replace(" + FOLD.format("w") + ", '[^a-z0-9]', '', 'g') AS folded FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) <= 40 AND NOT contains(w, chr(10))")
+@query("fold_word", "SELECT DISTINCT w, regexp_replace(" + FOLD.format("w") + ", '[^a-z0-9]', '', 'g') AS folded FROM (SELECT unnest(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+')) AS w FROM documents) WHERE w <> ''")
 def fold_word(spark, sf):
-    w = c.table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("w")).where((F.char_length("w") <= 40) & ~F.contains("w", F.lit("\n"))).distinct()
-    return w.select("w", tx.fold_word("w").alias("folded"))
-
-
-@query("fold_word_all", "SELECT DISTINCT w, regexp_replace(" + FOLD.format("w") + ", '[^a-z0-9]', '', 'g') AS folded FROM (SELECT unnest(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+')) AS w FROM documents) WHERE w <> ''")
-def fold_word_all(spark, sf):
     """Every word of every text, of any length, on either side of any white space."""
     w = c.table(spark, sf, "documents").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''").distinct()
     return w.select("w", tx.fold_word("w").alias("folded"))
@@ -143,9 +153,23 @@ def technical_stopwords(spark, sf):
     return mining.technical_stopwords(mining.corpus(docs), docs.count(), 0.001)
 
 
-@query("acronyms")
+_NAMES = "string_split(p_name, ' ')"
+
+
+@query(
+    "acronyms",
+    f"""WITH p AS (SELECT p_partkey, upper({_NAMES}[1][1]) || substr({_NAMES}[1], 2) AS a, upper({_NAMES}[2][1]) || substr({_NAMES}[2], 2) AS b FROM part)
+    SELECT a[1] || b[1] AS acronym, a || CASE WHEN p_partkey % 4 = 1 THEN ' of the ' WHEN p_partkey % 4 = 2 THEN ' d' || chr(39) ELSE ' ' END || b AS expansion, count(*) AS n
+    FROM p WHERE p_partkey % 4 < 3 GROUP BY 1, 2""",
+)
 def acronyms(spark, sf):
-    return mining.acronyms(c.table(spark, sf, "documents"))
+    """Over all documents, which define none, and a text for each part that defines one, a fourth of them wrongly."""
+    a, b = (F.initcap(F.get(F.split("p_name", " "), F.lit(i))) for i in (0, 1))
+    between = F.when(F.col("p_partkey") % 4 == 1, " of the ").when(F.col("p_partkey") % 4 == 2, " d'").otherwise(" ")
+    initials = F.concat(F.substring(a, 1, 1), F.substring(b, 1, 1))
+    named = F.concat(F.lit("it is the "), a, between, b, F.lit(" ("), F.when(F.col("p_partkey") % 4 == 3, F.concat(initials, initials)).otherwise(initials), F.lit(") of them (now)"))
+    parts = c.table(spark, sf, "part").select(named.alias("text"))
+    return mining.acronyms(c.table(spark, sf, "documents").select("text").unionByName(parts))
 
 
 @query(

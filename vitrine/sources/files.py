@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import scrub_map
 
+#: Fixed value: the size up to which a list is read where a caller wants that limit.
 MAX_BYTES = 2 << 20
 
 
@@ -18,10 +24,11 @@ def decode(data: bytes) -> str:
         return data.decode("cp1252", "replace")
 
 
-def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file, with their numbers; line ends made alike, a byte-order mark dropped, cut at 2 MiB."""
+def read_list(spark: SparkSession, path: str, cut: int | None = None) -> DataFrame:
+    """Lines of a text file, with their numbers; line ends made alike, a byte-order mark dropped. cut: only the first so many bytes of each file."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.coalesce(F.try_validate_utf8(F.substring(F.col("content"), 1, MAX_BYTES).cast("string")), F.decode(F.substring(F.col("content"), 1, MAX_BYTES), "windows-1252"))
+    content = F.substring(F.col("content"), 1, cut) if cut else F.col("content")
+    text = F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "windows-1252"))
     plain = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
     return files.select("path", F.posexplode(F.split(plain, "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
@@ -32,11 +39,25 @@ def sniff(first_line: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of a quoted file as arrays, trimmed, empty ones dropped."""
-    head = spark.read.text(path).limit(1).collect()
-    sep = sniff(head[0][0]) if head else ";"
-    df = spark.read.csv(path, sep=sep, quote='"', escape='"', multiLine=True)
-    return df.select(F.filter(F.array(*[F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in df.columns]), lambda x: x != "").alias("cells")).where(F.size("cells") > 0)
+    """path, line (of the row's first line) and cells of each row of quoted files, trimmed, empty ones dropped; rows of any width, each file by its own delimiter and encoding.
+
+    A file is one row of the source: these are lists that people write, and quoted cells may hold line ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = decode(data.as_py()).removeprefix("\ufeff")
+                reader = csv.reader(io.StringIO(text, newline=""), delimiter=sniff(text.split("\n", 1)[0]))
+                rows, at = [], 1
+                for row in reader:
+                    if cells := [x for x in (cell.strip() for cell in row) if x]:
+                        rows.append((at, cells))
+                    at = reader.line_num + 1
+                for k in range(0, len(rows), 10_000):
+                    some = rows[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array([n for n, _ in some], pa.int32()), pa.array([x for _, x in some], pa.list_(pa.string()))], names=["path", "line", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, line int, cells array<string>")
 
 
 def cells_to_lines(cells: DataFrame, kind: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from vitrine.sources.catalogue import delete, upsert
 
 KEPT = 3  # versions
+MOST_FILES, FILE_BYTES = 200, 64 << 20
 
 
 class Store:
@@ -70,7 +71,16 @@ class Store:
         self.create(name, schema)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.write(name, self.read(name, rows.schema).unionByName(rows))
+        """Add files to the newest version; when it has very many small ones, it is written anew as few."""
+        versions = self.versions(name)
+        if not versions:
+            self.write(name, rows)
+            return
+        rows.select(*self.read(name).columns).write.mode("append").parquet(f"{self.folder}/{name}/v{versions[-1]}")
+        top = self._path(name, f"v{versions[-1]}")
+        size = self._fs(top).getContentSummary(top)
+        if size.getFileCount() > MOST_FILES and size.getLength() < MOST_FILES * FILE_BYTES:
+            self.write(name, self.read(name).coalesce(1 + size.getLength() // FILE_BYTES))
 
     def bulk(self, name: str, rows: DataFrame, key: str = "item_id", check=None) -> DataFrame:
         """Upsert the rows that a check (a Column: null or the reason) lets pass; the others with their reason."""
@@ -79,9 +89,10 @@ class Store:
         good = judged.where("reason IS NULL").drop("reason")
         if good.take(1):  # nothing to write: no new version
             self.write(name, upsert(self.read(name, rows.schema), good, key))
-        bad = self.spark.createDataFrame(judged.where("reason IS NOT NULL").select(key, "reason").limit(100_000).collect(), f"{key} bigint, reason string")
+        # a table of its own: as many rows as were refused, and it stays as it is when the input changes
+        self.write(f"{name}_refused", judged.where("reason IS NOT NULL").select(F.col(key).cast("bigint"), "reason"))
         judged.unpersist()
-        return bad
+        return self.read(f"{name}_refused")
 
     def remove(self, name: str, keys: DataFrame, key: str = "item_id") -> None:
         self.write(name, delete(self.read(name), keys, key))
