@@ -83,7 +83,8 @@ _VERIFY = """bit_count(a_fp ^ b_fp) <= 2 AND CASE
 
 def links(nodes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """u, v (reps, u > v) of a set of links under which the classes of nodes (fp, rep; distinct fp) are those of all links."""
-    keyed = _keyed(nodes)
+    # few bytes, but 64 rows of each: dealt to as many tasks as other shuffles, not merged by size
+    keyed = _keyed(nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp")))
     # dealt anew, so that the join below is of two plain exchanges and a key of very many fingerprints can be split
     shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").hint("rebalance")
     met = written(keyed.join(shared, "k"), "simhash-met")
