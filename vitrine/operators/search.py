@@ -1,12 +1,14 @@
 """Full text: words of a query against the words of a field or entry, by scan or by postings.
 
-A scan compares arrays of words row by row and shuffles nothing. Where postings are kept as a table, ordered by
-token, a query reads the rows of its own words only.
+A scan compares arrays of words row by row and shuffles nothing. A ``TextIndex`` keeps postings as a table ordered by
+token, so that a query reads the rows of its own words only, with the vocabulary and the lengths of fields beside it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -178,6 +180,78 @@ def match_synonyms(items: DataFrame, text: str, rules: list[tuple[list[str], lis
     return items.where(reduce(Column.__or__, hit))
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    """postings (item_id, field, pos, token), ordered by token; vocabulary (field, token, df); lengths (item_id, field, n)."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    lengths: DataFrame
+
+    @staticmethod
+    def build(items: DataFrame, keep: Callable[[str, Callable[[], DataFrame]], DataFrame], fields: tuple[str, ...] = ("title", "content")) -> TextIndex:
+        """keep(name, make): the table of this name, kept (made if need be)."""
+        rows = keep("postings", lambda: postings(items, fields).repartitionByRange("token").sortWithinPartitions("token", "item_id", "field", "pos"))
+        words = keep("vocabulary", lambda: rows.groupBy("field", "token").agg(F.count_distinct("item_id").alias("df")))
+        return TextIndex(rows, words, keep("lengths", lambda: rows.groupBy("item_id", "field").agg(F.count(F.lit(1)).alias("n"))))
+
+    def _rows(self, fields: tuple[str, ...]) -> DataFrame:
+        return self.postings.where(F.col("field").isin(*fields))
+
+    def _words(self, fields: tuple[str, ...]) -> DataFrame:
+        return self.vocabulary.where(F.col("field").isin(*fields)).select("token").distinct()
+
+    def all(self, text: str, fields: tuple[str, ...]) -> DataFrame:
+        """Ids of items with every word of the query in one field."""
+        return match_postings(self._rows(fields), [[t] for t in dict.fromkeys(t for _, t in analyze(text))])
+
+    def phrase(self, text: str, fields: tuple[str, ...]) -> DataFrame:
+        return phrase_postings(self._rows(fields), text)
+
+    def wants_prefix(self, text: str, fields: tuple[str, ...]) -> bool:
+        """As wants_prefix(), by two probes of the whole index, whatever else a listing filters by."""
+        parts = text.split()
+        last = tx.fold_word_str(parts[-1]) if parts else ""
+        none = lambda t: not self.all(t, fields).take(1)
+        return len(last) >= 3 and (none(last) or (len(parts) > 1 and none(text)))
+
+    def prefix(self, text: str, fields: tuple[str, ...], most: int = MAX_EXPANSIONS) -> DataFrame:
+        """All words but the last as usual, in one field, and in any field one that begins as the last does."""
+        parts = text.split()
+        words = completions(self._words(fields), tx.fold_word_str(parts[-1]), most)
+        found = match_postings(self._rows(fields), [words] if words else [])
+        rest = [[t] for t in dict.fromkeys(t for _, t in analyze(" ".join(parts[:-1])))]
+        return found.join(match_postings(self._rows(fields), rest), "item_id", "left_semi") if rest else found
+
+    def fuzzy(self, text: str, fields: tuple[str, ...]) -> DataFrame:
+        """Ids of items with a near word for each word of the query, all in one field."""
+        words = [t for _, t in analyze(text)]
+        near = near_words(self._words(fields), words)
+        hit = self._rows(fields).join(near, "token").groupBy("item_id", "field").agg(F.count_distinct("term").alias("n"))
+        return hit.where(F.col("n") == len(words)).select("item_id").distinct()
+
+    def synonyms(self, text: str, rules: list[tuple[list[str], list[str]]], fields: tuple[str, ...]) -> DataFrame:
+        """Ids of items with all words of one of the query's alternatives in one field."""
+        ways = [list(dict.fromkeys(w)) for w in expand([t for _, t in analyze(text)], rules)]
+        table = [(i, t, len(w)) for i, w in enumerate(ways) for t in w]
+        wanted = F.broadcast(self.postings.sparkSession.createDataFrame(table, "way int, token string, size int"))
+        hit = self._rows(fields).where(F.col("token").isin(sorted({t for _, t, _ in table}))).join(wanted, "token")
+        return hit.groupBy("item_id", "field", "way", "size").agg(F.count_distinct("token").alias("n")).where("n = size").select("item_id").distinct()
+
+    def bm25(self, text: str, boosts: dict[str, float], items: int) -> DataFrame:
+        """item_id and score of items with any word of the query: the best of its fields' scores, each times its boost. items: how many there are, those without words too."""
+        terms = sorted({t for _, t in analyze(text)})
+        fields = F.col("field").isin(*boosts)
+        boost = F.try_element_at(F.create_map(*[F.lit(x) for p in boosts.items() for x in p]), F.col("field"))
+        mean = self.lengths.where(fields).groupBy("field").agg((F.sum("n") / F.lit(items)).alias("mean"))
+        df = self.vocabulary.where(fields & F.col("token").isin(*terms))
+        idf = df.select("field", "token", F.log(1 + (F.lit(items) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        tf = self.postings.where(fields & F.col("token").isin(*terms)).groupBy("item_id", "field", "token").agg(F.count(F.lit(1)).alias("tf"))
+        rows = tf.join(F.broadcast(idf), ["field", "token"]).join(F.broadcast(mean), "field").join(self.lengths, ["item_id", "field"])
+        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
+        return rows.groupBy("item_id", "field").agg(F.sum(part).alias("part")).groupBy("item_id").agg(F.max(F.col("part") * boost).alias("score"))
+
+
 def bm25(items: DataFrame, text: str, field: str = "content") -> DataFrame:
     """item_id and score of items with any word of the query. One aggregate gives the number of items, lengths and document frequencies."""
     terms = list(dict.fromkeys(t for _, t in analyze(text)))

@@ -9,6 +9,7 @@ from vitrine.functions import text as tx
 from vitrine.operators import mining, search, vocabulary
 from vitrine.plans.registry import query
 from vitrine.sources import catalogue as c
+from vitrine.sources.artefacts import kept
 
 FOLD = "replace(strip_accents(lower({})), 'ß', 'ss')"
 TOKENS = "regexp_extract_all(" + FOLD.format("text") + ", '[\\p{L}\\p{N}]+')"
@@ -22,24 +23,43 @@ def _ids(df):
     return df.select("item_id")
 
 
+def _index(spark, sf, *parts):
+    """The text index of the documents, or of other items, made once."""
+    items = _titled(spark, sf) if parts else _docs(spark, sf)
+    return search.TextIndex.build(items, lambda name, make: kept(name, "/".join([sf, *parts]), spark, make), ("title", "content") if parts else ("content",))
+
+
+def _titled(spark, sf):
+    """Documents with their first three words as title."""
+    docs = _docs(spark, sf)
+    return docs.withColumn("title", F.array_join(F.slice(tx.folded_tokens("content"), 1, 3), " "))
+
+
+def _corpus(spark, sf):
+    """The corpus' vocabulary, made once."""
+    return kept("corpus", sf, spark, lambda: mining.corpus(c.table(spark, sf, "documents")))
+
+
 @query("text_and_match", f"SELECT doc_id AS item_id FROM documents WHERE list_has_all({TOKENS}, ['the', 'thing', 'onand'])")
 def text_and_match(spark, sf):
-    return _ids(search.match_all(_docs(spark, sf), "Onand the THING", ("content",)))
+    return _index(spark, sf).all("Onand the THING", ("content",))
 
 
-@query("text_and_match_postings", f"SELECT doc_id AS item_id FROM documents WHERE list_has_all({TOKENS}, ['licensed', 'apache'])")
-def text_and_match_postings(spark, sf):
-    return search.match_postings(search.postings(_docs(spark, sf), ("content",)), [["licensed"], ["apache"]])
+@query("text_and_match_scan", f"SELECT doc_id AS item_id FROM documents WHERE list_has_all({TOKENS}, ['licensed', 'apache'])")
+def text_and_match_scan(spark, sf):
+    """Without an index, by one scan of the texts."""
+    return _ids(search.match_all(_docs(spark, sf), "licensed apache", ("content",)))
 
 
 @query("text_phrase", f"SELECT doc_id AS item_id FROM documents WHERE contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' under the apache license ')")
 def text_phrase(spark, sf):
-    return _ids(_docs(spark, sf).where(search.phrase("content", "under the Apache License")))
+    return _index(spark, sf).phrase("under the Apache License", ("content",))
 
 
-@query("text_phrase_postings", f"SELECT doc_id AS item_id FROM documents WHERE contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' in the ')")
-def text_phrase_postings(spark, sf):
-    return search.phrase_postings(search.postings(_docs(spark, sf), ("content",)), "in the")
+@query("text_phrase_scan", f"SELECT doc_id AS item_id FROM documents WHERE contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' in the ')")
+def text_phrase_scan(spark, sf):
+    """Without an index, by one scan of the texts."""
+    return _ids(_docs(spark, sf).where(search.phrase("content", "in the")))
 
 
 @query(
@@ -49,7 +69,7 @@ def text_phrase_postings(spark, sf):
     SELECT doc_id AS item_id FROM t WHERE list_contains(w, 'the') AND list_has_any(w, (SELECT list(token) FROM v))""",
 )
 def text_prefix(spark, sf):
-    return _ids(search.match_prefix(_docs(spark, sf), "the licen", ("content",)))
+    return _index(spark, sf).prefix("the licen", ("content",))
 
 
 @query(
@@ -58,8 +78,8 @@ def text_prefix(spark, sf):
     SELECT q AS fragment, NOT bool_or(list_contains(w, q)) AS expands FROM t, (SELECT unnest(['apach', 'apache', 'zzzq']) AS q) GROUP BY q""",
 )
 def text_prefix_decision(spark, sf):
-    docs = _docs(spark, sf)
-    return spark.createDataFrame([(w, search.wants_prefix(docs, w, ("content",))) for w in ("apach", "apache", "zzzq")], "fragment string, expands boolean")
+    index = _index(spark, sf)
+    return spark.createDataFrame([(w, index.wants_prefix(w, ("content",))) for w in ("apach", "apache", "zzzq")], "fragment string, expands boolean")
 
 
 @query(
@@ -70,12 +90,12 @@ def text_prefix_decision(spark, sf):
     SELECT doc_id AS item_id FROM t JOIN n USING (w) GROUP BY doc_id HAVING count(DISTINCT q) = 2""",
 )
 def text_fuzzy(spark, sf):
-    return _ids(search.match_fuzzy(_docs(spark, sf), "licnesed apahce", ("content",)))
+    return _index(spark, sf).fuzzy("licnesed apahce", ("content",))
 
 
 @query("text_synonym", f"SELECT doc_id AS item_id FROM documents WHERE list_has_all({TOKENS}, ['license', 'apache']) OR list_has_all({TOKENS}, ['license', 'gnu', 'general'])")
 def text_synonym(spark, sf):
-    return _ids(search.match_synonyms(_docs(spark, sf), "apache license", [(["apache", "gnu general"], [])], ("content",)))
+    return _index(spark, sf).synonyms("apache license", [(["apache", "gnu general"], [])], ("content",))
 
 
 @query(
@@ -85,13 +105,13 @@ def text_synonym(spark, sf):
 )
 def text_synonym_graph(spark, sf):
     """Two rules meet in one query."""
-    return _ids(search.match_synonyms(_docs(spark, sf), "apache license", [(["apache", "gnu general"], []), (["license", "version"], [])], ("content",)))
+    return _index(spark, sf).synonyms("apache license", [(["apache", "gnu general"], []), (["license", "version"], [])], ("content",))
 
 
 @query("text_synonym_one_way", f"SELECT doc_id AS item_id FROM documents WHERE list_has_all({TOKENS}, ['mit', 'license'])")
 def text_synonym_one_way(spark, sf):
     """The left side of a one-way rule is replaced."""
-    return _ids(search.match_synonyms(_docs(spark, sf), "apache license", [(["apache"], ["mit"])], ("content",)))
+    return _index(spark, sf).synonyms("apache license", [(["apache"], ["mit"])], ("content",))
 
 
 @query(
@@ -103,7 +123,25 @@ def text_synonym_one_way(spark, sf):
         + ln(1 + (items - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM n, s WHERE a + b > 0""",
 )
 def text_bm25(spark, sf):
-    return search.bm25(_docs(spark, sf), "apache version").select("item_id", F.round("score", 6).alias("score"))
+    return _index(spark, sf).bm25("apache version", {"content": 1.0}, _docs(spark, sf).count()).select("item_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "text_bm25_boosted",
+    f"""WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents),
+    n AS (SELECT doc_id, 'content' AS field, 1.0::DOUBLE AS boost, w FROM t UNION ALL SELECT doc_id, 'title', 3.0, w[1:3] FROM t),
+    l AS (SELECT field, sum(len(w)) / (SELECT count(*) FROM t) AS mean FROM n GROUP BY field),
+    q AS (SELECT unnest(['the', 'apache']) AS q),
+    f AS (SELECT n.*, q, len(list_filter(w, lambda x: x = q)) AS tf FROM n, q),
+    d AS (SELECT field, q, count(*) AS df FROM f WHERE tf > 0 GROUP BY ALL),
+    p AS (SELECT doc_id, f.field, boost, sum(ln(1 + ((SELECT count(*) FROM t) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))) AS part
+          FROM f JOIN d ON f.field = d.field AND f.q = d.q JOIN l ON l.field = f.field WHERE tf > 0 GROUP BY doc_id, f.field, boost)
+    SELECT doc_id AS item_id, round(max(part * boost), 6) AS score FROM p GROUP BY doc_id""",
+)
+def text_bm25_boosted(spark, sf):
+    """The better of the title's score, thrice, and the content's."""
+    found = _index(spark, sf, "titled").bm25("the apache", {"title": search.TITLE_BOOST, "content": 1.0}, _docs(spark, sf).count())
+    return found.select("item_id", F.round("score", 6).alias("score"))
 
 
 @query("text_stemmed")
@@ -139,18 +177,18 @@ v AS (SELECT key, CAST(count(*) AS BIGINT) AS tf, CAST(count(DISTINCT doc_id) AS
 
 @query("corpus_vocab", f"WITH {VOCAB} SELECT key, tf, df, cap FROM v")
 def corpus_vocab(spark, sf):
-    return mining.corpus(c.table(spark, sf, "documents")).select("key", "tf", "df", "cap")
+    return _corpus(spark, sf).select("key", "tf", "df", "cap")
 
 
 @query("corpus_best_form", f"WITH {VOCAB} SELECT v.key, CASE WHEN 2 * b.n >= v.tf THEN b.form ELSE v.key END AS best FROM v LEFT JOIN b ON v.key = b.key")
 def corpus_best_form(spark, sf):
-    return mining.corpus(c.table(spark, sf, "documents")).select("key", "best")
+    return _corpus(spark, sf).select("key", "best")
 
 
 @query("technical_stopwords", f"WITH {VOCAB} SELECT key, df FROM v WHERE key IN ('https', 'http', 'www', 'gov', 'br', 'org', 'html', 'php', 'jpg', 'jpeg', 'png', 'pdf') AND df >= 0.001 * (SELECT count(*) FROM documents)")
 def technical_stopwords(spark, sf):
     docs = c.table(spark, sf, "documents")
-    return mining.technical_stopwords(mining.corpus(docs), docs.count(), 0.001)
+    return mining.technical_stopwords(_corpus(spark, sf), docs.count(), 0.001)
 
 
 _NAMES = "string_split(p_name, ' ')"
@@ -181,7 +219,7 @@ def acronyms(spark, sf):
     SELECT typo, tf, good, good_tf FROM p QUALIFY row_number() OVER (PARTITION BY typo ORDER BY good_tf DESC, good) = 1""",
 )
 def typo_candidates(spark, sf):
-    v = mining.corpus(c.table(spark, sf, "documents"))
+    v = _corpus(spark, sf)
     return mining.typing_errors(v, v.where("tf >= 30").select("key"))
 
 
@@ -205,7 +243,7 @@ _ALL = _modern("key", tx.SAFE_SPELLINGS + tx.RISKY_SPELLINGS)
 
 @query("modernized_spelling", f"WITH {VOCAB} SELECT key, {_SAFE} AS safe, {_ALL} AS every FROM v")
 def modernized_spelling(spark, sf):
-    return mining.corpus(c.table(spark, sf, "documents")).select("key", tx.modernize("key").alias("safe"), tx.modernize("key", risky=True).alias("every"))
+    return _corpus(spark, sf).select("key", tx.modernize("key").alias("safe"), tx.modernize("key", risky=True).alias("every"))
 
 
 @query(
@@ -219,7 +257,7 @@ def modernized_spelling(spark, sf):
     SELECT key AS archaic, m AS modern, kind, df, CAST(coalesce(m_df, 0) AS BIGINT) AS modern_df FROM y WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY way) = 1""",
 )
 def spelling_variants(spark, sf):
-    v = mining.corpus(c.table(spark, sf, "documents"))
+    v = _corpus(spark, sf)
     none = spark.createDataFrame([], "key string")
     return mining.spelling_variants(v, v.where("tf >= 30").select("key"), none, none)
 
@@ -292,13 +330,13 @@ def acronym_rules(spark, sf):
 @query("thesaurus_groups", f"WITH {VOCAB} SELECT grp, count(*) AS present, max(df) AS df FROM (SELECT 1 AS grp, min(df) AS df FROM v WHERE key IN ('apache', 'license') HAVING count(*) = 2 UNION ALL SELECT 1, min(df) FROM v WHERE key IN ('gnu') HAVING count(*) = 1) GROUP BY grp")
 def thesaurus_groups(spark, sf):
     groups = spark.createDataFrame([(1, "Apache License"), (1, "GNU"), (2, "zzzqqq palavra")], "grp int, term string")
-    return mining.present_groups(groups, mining.corpus(c.table(spark, sf, "documents")))
+    return mining.present_groups(groups, _corpus(spark, sf))
 
 
 @query("known_errors", "SELECT * FROM (VALUES ('lisense, lisenze => license')) t(line)")
 def known_errors(spark, sf):
     pairs = spark.createDataFrame([("license", "lisense"), ("license", "lisenze"), ("license", "licénse"), ("zzzqqq", "zzzqq")], "good string, bad string")
-    return mining.known_errors(pairs, mining.corpus(c.table(spark, sf, "documents")))
+    return mining.known_errors(pairs, _corpus(spark, sf))
 
 
 @query("state_rules", "SELECT * FROM (VALUES ('rj', 'rio de janeiro', true), ('se', 'sergipe', false), ('sp', 'são paulo', true)) t(acronym, name, active)")
