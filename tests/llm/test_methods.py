@@ -148,6 +148,15 @@ def test_token_counts(texts, strange):
     assert [mine.count(t) for t in some] == [len(e.ids) for e in lib.encode_batch(some, add_special_tokens=False)]
 
 
+def test_token_counts_in_parts(texts, strange, monkeypatch):
+    mine = tokencount.Counter(encode.vocabulary("byte_bpe_50k.json"))
+    some = [t for _, t, _, _ in texts] + strange + ["x" * 5000 + " " + "y" * 300 + "  z", " ".join(strange)]
+    whole = [mine.count(t) for t in some]
+    monkeypatch.setattr(tokencount, "PART_CHARS", 40)
+    monkeypatch.setattr(tokencount, "LONG_RUN", 3)
+    assert [mine.count(t) for t in some] == whole
+
+
 def test_encoder(texts, strange, words):
     some = [t for _, t, _, _ in texts] + strange
     mine = encode.PieceEncoder(encode.vocabulary("word_bpe_49k.json"), cache_bytes=40_000)

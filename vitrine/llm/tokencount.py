@@ -7,7 +7,7 @@ the number of merges. No identifiers are made.
 
 Text is first cut as the vocabulary's library does: at special strings (one token each), then into runs with their
 leading blank, then by script class within a run. A worker counts each distinct run once and keeps the count in a
-bounded table. Merging a piece of n bytes costs n log n, so a text of one very long word is no exception.
+table of bounded size, long runs aside; a long text is counted in parts. Merging a piece of n bytes costs n log n, so a text of one very long word is no exception.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; equal rows have equal counts; an empty table gives
 no rows; further columns are not read.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,10 +30,14 @@ from vitrine.llm.encode import vocabulary
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 CACHE_RUNS = 400_000
+LONG_RUN = 200  # longer ones are not kept
+PART_CHARS = 1 << 19
 #: The white space of the library's patterns, and its classes of pieces inside a run.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: A single blank between two runs of other signs: a text can be cut before it.
+BETWEEN = re.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])").search
 _counters: dict[str, Counter] = {}
 
 
@@ -45,8 +50,6 @@ def byte_symbols() -> list[str]:
 
 class Counter:
     def __init__(self, path: str, cache_runs: int = CACHE_RUNS):
-        import re
-
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -87,20 +90,30 @@ class Counter:
                 heapq.heappush(heap, (r, h, sym[h], sym[i]))
         return n - merges
 
-    def learn(self, runs: set[str]) -> None:
+    def learn(self, runs: set[str]) -> dict[str, int]:
+        """Count what isn't known; long runs are not kept, but given back."""
         if len(self.known) > self.cache_runs:
             self.known.clear()
+        long: dict[str, int] = {}
         for run in runs:
             if run not in self.known:
-                self.known[run] = sum(map(self.piece, self.pieces(run)))
+                (self.known if len(run) <= LONG_RUN else long)[run] = sum(map(self.piece, self.pieces(run)))
+        return long
 
-    def plain(self, text: str) -> int:
+    def part(self, text: str) -> int:
         runs = self.runs(text)
         try:
             return sum(map(self.known.__getitem__, runs))
         except KeyError:
-            self.learn(set(runs))
-            return sum(map(self.known.__getitem__, runs))
+            long = self.learn(set(runs))
+            return sum(long[r] if r in long else self.known[r] for r in runs)
+
+    def plain(self, text: str) -> int:
+        """Of a text without special strings, a part of it at a time: a blank between two words begins the second one's run."""
+        total = at = 0
+        while len(text) - at > PART_CHARS and (m := BETWEEN(text, at + PART_CHARS)):
+            total, at = total + self.part(text[at : m.start()]), m.start()
+        return total + self.part(text[at:] if at else text)
 
     def count(self, text: str) -> int:
         if not self.special or not self.special.search(text):
