@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import html, langid, mixing, packing, pii, quality, simhash, tokencount, tokenfile, topk
+from vitrine.llm import html, langid, mixing, packing, pii, quality, runs, simhash, tokencount, tokenfile, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_pii": pii.op9_pii,
         "op10_simhash": simhash.op10_simhash,
+        "op11_runs": runs.op11_runs,
     }
 
 
