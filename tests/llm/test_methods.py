@@ -51,7 +51,7 @@ def test_oracle(name, spark, sf):
 
 def test_registered():
     assert [n for n in entry.queries() if re.match(r"op\d", n)] == list(queries.queries())
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()} == set(range(1, 13)) and "pipeline" in entry.queries()
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()} == set(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize(("pivots", "annulus"), [(8, 16), (64, 4096)])

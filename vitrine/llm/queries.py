@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import html, langid, merkle, mixing, packing, pii, quality, runs, simhash, tokencount, tokenfile, topk
+from vitrine.llm import html, langid, merkle, mixing, packing, pii, quality, runs, simhash, substrings, tokencount, tokenfile, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash": simhash.op10_simhash,
         "op11_runs": runs.op11_runs,
         "op12_merkle": merkle.op12_merkle,
+        "op13_substrings": substrings.op13_substrings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": topk.ORACLE, "op2_quality_rules": quality.ORACLE, "op8_mixing": mixing.ORACLE, "op12_merkle": merkle.ORACLE}
+    return {"op1_top_k": topk.ORACLE, "op2_quality_rules": quality.ORACLE, "op8_mixing": mixing.ORACLE, "op12_merkle": merkle.ORACLE, "op13_substrings": substrings.ORACLE}
