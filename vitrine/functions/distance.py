@@ -1,14 +1,17 @@
-"""Edit distance with transpositions of neighbours, in Arrow batches."""
+"""Edit distance with swaps of neighbours, as expressions, and words found by the letters that edits leave."""
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from vitrine.functions.text import col, deletes
+
+LONG = 20  # letters up to which a word is found by what is left without any two of its letters
 
 
 def damerau(a: str, b: str) -> int:
-    """Insertions, deletions, replacements, and swaps of neighbours, no letter edited twice."""
+    """Insertions, deletions, replacements, and swaps of neighbours, no letter edited twice. On the driver, for tests."""
     two, one = [], list(range(len(b) + 1))
     for i in range(1, len(a) + 1):
         row = [i]
@@ -22,6 +25,49 @@ def damerau(a: str, b: str) -> int:
     return one[-1]
 
 
-@F.pandas_udf(T.IntegerType())
-def damerau_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else damerau(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+def one_edit(a: str | Column, b: str | Column) -> Column:
+    """Whether two words are one edit apart, a swap of neighbours being one."""
+    a, b = col(a), col(b)
+    n = F.char_length(a)
+    swapped = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.left(a, i - 1), F.substr(a, i + 1, F.lit(1)), F.substr(a, i, F.lit(1)), F.substr(a, i + 2)) == b)
+    return (a != b) & ((F.levenshtein(a, b) == 1) | ((n == F.char_length(b)) & (F.levenshtein(a, b) == 2) & swapped))
+
+
+def distance(a: str | Column, b: str | Column) -> Column:
+    """The distance of two words that aren't empty: a row of the table of prefixes for each letter, the last two kept."""
+    a, b = col(a), col(b)
+    letter = lambda w, i: F.substr(w, i, F.lit(1))
+
+    def row(acc: Column, i: Column) -> Column:
+        def cell(done: Column, j: Column) -> Column:
+            plain = F.least(F.get(acc["one"], j) + 1, F.get(done, j - 1) + 1, F.get(acc["one"], j - 1) + F.when(letter(a, i) == letter(b, j), 0).otherwise(1))
+            swap = (i > 1) & (j > 1) & (letter(a, i) == letter(b, j - 1)) & (letter(a, i - 1) == letter(b, j))
+            return F.concat(done, F.array(F.when(swap, F.least(plain, F.get(acc["two"], j - 2) + 1)).otherwise(plain)))
+
+        return F.struct(acc["one"].alias("two"), F.aggregate(F.sequence(F.lit(1), F.char_length(b)), F.array(i), cell).alias("one"))
+
+    first = F.struct(F.array().cast("array<int>").alias("two"), F.sequence(F.lit(0), F.char_length(b)).alias("one"))
+    return F.aggregate(F.sequence(F.lit(1), F.char_length(a)), first, row, lambda acc: F.get(acc["one"], F.char_length(b)))
+
+
+def shared_keys(word: str | Column) -> Column:
+    """What a word is found by: its first letter with the rest, without up to two of its letters. Longer words: first letter and length."""
+    w = col(word)
+    first, rest = F.substring(w, 1, 1), F.substr(w, F.lit(2))
+    two = F.array_distinct(F.flatten(F.transform(deletes(rest), deletes)))
+    every = F.when(F.char_length(w) >= 6, two).otherwise(deletes(rest))
+    return F.when(F.char_length(w) > LONG, F.array(F.concat(F.lit("#"), first, F.char_length(w).cast("string")))).otherwise(F.transform(every, lambda d: F.concat(first, d)))
+
+
+def _less(words: set[str]) -> set[str]:
+    return words | {w[:i] + w[i + 1 :] for w in words for i in range(len(w))}
+
+
+def keys_of(word: str, edits: int) -> list[str]:
+    """Under which keys the words lie that are so many edits from one, at most two, its first letter kept."""
+    tails = {word[1:]}
+    if len(word) - edits <= LONG:
+        for _ in range(edits):
+            tails = _less(tails)
+    long = [f"#{word[0]}{n}" for n in range(len(word) - edits, len(word) + edits + 1) if n > LONG]
+    return sorted(word[0] + t for t in tails) + long

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import collated
-from vitrine.operators import filters, search
+from vitrine.operators import filters
+from vitrine.operators.textindex import Options, TextIndex
 from vitrine.plans.spec import QuerySpec
 from vitrine.sources.catalogue import Catalogue
 
@@ -23,22 +24,22 @@ def sort_columns(sort: tuple[tuple[str, bool], ...]) -> list[Column]:
     return out
 
 
-def matching(catalogue: Catalogue, q: QuerySpec, fields: tuple[str, ...] = ("title", "content")) -> DataFrame:
+def matching(catalogue: Catalogue, q: QuerySpec, index: TextIndex | None = None, options: Options = Options()) -> DataFrame:
+    """The items of a specification, its text searched in all fields and entries: through an index of the whole catalogue, or by reading it."""
     items = filters.apply(catalogue, q)
     if not q.text:
         return items
-    found = search.search_text(items, q.text, fields)
-    if catalogue.metadata is None:
-        return found
-    ids = found.select("item_id").union(search.match_entries(catalogue.metadata, q.text))
-    return items.join(ids.distinct(), "item_id", "left_semi")
+    return items.join((index or TextIndex.build(catalogue)).search(q.text, options), "item_id", "left_semi")
 
 
-def page(catalogue: Catalogue, q: QuerySpec) -> DataFrame:
-    """The ids of a page, with their place in the listing: a top-k, not a full sort."""
-    items = matching(catalogue, q)
+def page(catalogue: Catalogue, q: QuerySpec, index: TextIndex | None = None, options: Options = Options()) -> DataFrame:
+    """The ids of a page, with their place in the listing: a top-k, not a full sort.
+
+    Scores are of single precision, so that equal ones tie and go by id; items that only the completion of a word finds have none and come last."""
+    items = matching(catalogue, q, index, options)
     if "score" in dict(q.sort):
-        items = items.join(search.bm25(items, q.text), "item_id", "left").fillna(0.0, ["score"])
+        scores = (index or TextIndex.build(catalogue)).scores(q.text, options).select("item_id", F.col("score").cast("float").alias("score"))
+        items = items.join(scores, "item_id", "left").fillna(0.0, ["score"])
     items = items.orderBy(*sort_columns(q.sort))
     if q.offset:
         items = items.offset(q.offset)

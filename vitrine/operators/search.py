@@ -1,27 +1,13 @@
-"""Full text: words of a query against the words of a field or entry, by scan or by postings.
-
-A scan compares arrays of words row by row and shuffles nothing. A ``TextIndex`` keeps postings as a table ordered by
-token, so that a query reads the rows of its own words only, with the vocabulary and the lengths of fields beside it.
-"""
+"""Full text by scan: words of a query against the words of a field, row by row, without a shuffle. See ``textindex`` for an index."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import text as tx
-from vitrine.functions.distance import damerau_udf
-
-MAX_EXPANSIONS = 200
-K1, B = 1.2, 0.75
-#: Letters up to which a word must match exactly, and up to which one edit is allowed.
-EXACT_BELOW, ONE_BELOW = 5, 8
-TITLE_BOOST, DESCRIPTION_BOOST = 3.0, 2.0
 
 
 def analyze(text: str, stop: frozenset[str] = frozenset(), fold: bool = True) -> list[tuple[int, str]]:
@@ -41,12 +27,6 @@ def group_tokens(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pos").agg(F.array_join(F.sort_array(F.collect_set("token")), "|").alias("forms")).orderBy("pos")
 
 
-def postings(items: DataFrame, fields: tuple[str, ...] = ("title", "content"), key: str = "item_id") -> DataFrame:
-    """(item, field, pos, token) of each word."""
-    parts = [items.select(key, F.lit(f).alias("field"), F.posexplode(tx.folded_tokens(F.coalesce(F.col(f), F.lit("")))).alias("pos", "token")) for f in fields]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def has_all(tokens: Column, terms: list[str]) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, terms)), tokens)) == 0
 
@@ -59,211 +39,9 @@ def match_all(items: DataFrame, text: str, fields: tuple[str, ...] = ("title", "
     return items.where(reduce(Column.__or__, [F.coalesce(has_all(tx.folded_tokens(f), terms), F.lit(False)) for f in fields]))
 
 
-def match_entries(entries: DataFrame, text: str, column: str = "value_text") -> DataFrame:
-    """Ids of items with every word in one entry."""
-    return match_all(entries, text, (column,)).select("item_id").distinct()
-
-
-def match_postings(rows: DataFrame, terms: list[list[str]]) -> DataFrame:
-    """Ids of items with, for each term, one of its alternatives, all in one field."""
-    table = [(i, t) for i, some in enumerate(terms) for t in some]
-    if not table:
-        return rows.select("item_id").where(F.lit(False))
-    spark = rows.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(table, "term int, token string").distinct())
-    hit = rows.where(F.col("token").isin(sorted({t for _, t in table}))) if len(table) <= 1000 else rows
-    per = hit.join(wanted, "token").groupBy("item_id", "field").agg(F.countDistinct("term").alias("n"))
-    return per.where(F.col("n") == len(terms)).select("item_id").distinct()
-
-
 def phrase(c: str | Column, text: str) -> Column:
     """The words of the query one after another. Words have no blanks, so joined words compare as strings."""
     wanted = " ".join(t for _, t in analyze(text))
     if not wanted:
         return F.lit(False)
     return F.contains(F.concat(F.lit(" "), F.array_join(tx.folded_tokens(c), " "), F.lit(" ")), F.lit(f" {wanted} "))
-
-
-def phrase_postings(rows: DataFrame, text: str) -> DataFrame:
-    """The same on postings, positions and gaps kept."""
-    words = analyze(text)
-    wanted = F.broadcast(rows.sparkSession.createDataFrame(words, "at int, token string"))
-    hit = rows.where(F.col("token").isin(sorted({t for _, t in words}))).join(wanted, "token")
-    return hit.groupBy("item_id", "field", (F.col("pos") - F.col("at")).alias("start")).agg(F.countDistinct("at").alias("n")).where(F.col("n") == len(words)).select("item_id").distinct()
-
-
-def completions(tokens: DataFrame, prefix: str, most: int = MAX_EXPANSIONS) -> list[str]:
-    """Up to so many words that begin with a folded fragment, in order."""
-    rows = tokens.where(F.col("token").startswith(prefix)).select("token").distinct().orderBy("token").limit(most).collect()
-    return [r[0] for r in rows]
-
-
-def wants_prefix(items: DataFrame, text: str, fields: tuple[str, ...]) -> bool:
-    """Whether the last word should be completed: it alone matches nothing, or the query of several words does. Two probes that stop at the first row."""
-    parts = text.split()
-    last = tx.fold_word_str(parts[-1]) if parts else ""
-    if len(last) < 3:
-        return False
-    none = lambda t: not match_all(items, t, fields).select("item_id").take(1)
-    return none(last) or (len(parts) > 1 and none(text))
-
-
-def match_prefix(items: DataFrame, text: str, fields: tuple[str, ...] = ("title", "content")) -> DataFrame:
-    """All words but the last as usual, the last one as the start of a word."""
-    parts = text.split()
-    last = tx.fold_word_str(parts[-1])
-    rest = [t for _, t in analyze(" ".join(parts[:-1]))]
-    words = completions(vocabulary(items, fields), last)
-    if not words:
-        return items.where(F.lit(False))
-    some = F.array(*map(F.lit, words))
-    open_end = reduce(Column.__or__, [F.coalesce(F.arrays_overlap(tx.folded_tokens(f), some), F.lit(False)) for f in fields])
-    whole = reduce(Column.__or__, [F.coalesce(has_all(tx.folded_tokens(f), rest), F.lit(False)) for f in fields]) if rest else F.lit(True)
-    return items.where(open_end & whole)
-
-
-def search_text(items: DataFrame, text: str, fields: tuple[str, ...] = ("title", "content")) -> DataFrame:
-    return match_prefix(items, text, fields) if wants_prefix(items, text, fields) else match_all(items, text, fields)
-
-
-def vocabulary(items: DataFrame, fields: tuple[str, ...] = ("title", "content")) -> DataFrame:
-    every = F.array_distinct(F.concat(*[F.coalesce(tx.folded_tokens(f), F.array().cast("array<string>")) for f in fields]))
-    return items.select(F.explode(every).alias("token")).distinct()
-
-
-def edits_allowed(word: str) -> int:
-    return 0 if len(word) < EXACT_BELOW else 1 if len(word) < ONE_BELOW else 2
-
-
-def near_words(tokens: DataFrame, words: list[str]) -> DataFrame:
-    """(term, token): words of the vocabulary with the same first letter within the edits allowed, swaps of neighbours being one."""
-    table = [(i, w, edits_allowed(w)) for i, w in enumerate(words)]
-    wanted = F.broadcast(tokens.sparkSession.createDataFrame(table, "term int, word string, k int"))
-    first = tokens.where(F.substring("token", 1, 1).isin(sorted({w[:1] for w in words})))
-    pairs = first.join(wanted, F.substring("token", 1, 1) == F.substring("word", 1, 1)).where(F.abs(F.char_length("token") - F.char_length("word")) <= F.col("k"))
-    # a swap costs two plain edits, so twice the edits bound the candidates
-    some = pairs.where(F.expr("levenshtein(token, word, 2 * k) >= 0"))
-    return some.where(damerau_udf("token", "word") <= F.col("k")).select("term", "token")
-
-
-def match_fuzzy(items: DataFrame, text: str, fields: tuple[str, ...] = ("title", "content")) -> DataFrame:
-    """Items with a near word for each word of the query, all in one field."""
-    words = [t for _, t in analyze(text)]
-    near = near_words(vocabulary(items, fields), words)
-    hit = postings(items, fields).join(near, "token").groupBy("item_id", "field").agg(F.countDistinct("term").alias("n"))
-    return items.join(hit.where(F.col("n") == len(words)).select("item_id").distinct(), "item_id", "left_semi")
-
-
-def expand(words: list[str], rules: list[tuple[list[str], list[str]]]) -> list[list[str]]:
-    """A query's alternatives under rules (left terms, right terms; no right: all left ones are equal). Each is a list of words.
-
-    The ways through the query are a graph over its positions: from each, its own word or any form of a term that begins
-    there, so rules meet in every combination. A term of a one-way rule gives way to the rule's right side."""
-    steps: list[list[tuple[int, list[str]]]] = []
-    for i in range(len(words)):
-        equal, oneway = [], []
-        for left, right in rules:
-            for term in map(str.split, left):
-                if term and words[i : i + len(term)] == term:
-                    (oneway if right else equal).extend((len(term), r.split()) for r in right or left)
-        steps.append([*equal, *oneway] + [(1, [words[i]])] * (not oneway))
-    ways: list[list[list[str]]] = [[] for _ in words] + [[[]]]
-    for i in range(len(words) - 1, -1, -1):
-        ways[i] = [list(x) for x in dict.fromkeys(tuple(form + rest) for n, form in steps[i] for rest in ways[i + n])]
-    # the query as it was typed stands first, if it is one of them
-    return sorted(ways[0], key=lambda w: w != words)
-
-
-def match_synonyms(items: DataFrame, text: str, rules: list[tuple[list[str], list[str]]], fields: tuple[str, ...] = ("title", "content")) -> DataFrame:
-    ways = expand([t for _, t in analyze(text)], rules)
-    hit = [F.coalesce(has_all(tx.folded_tokens(f), w), F.lit(False)) for f in fields for w in ways]
-    return items.where(reduce(Column.__or__, hit))
-
-
-@dataclass(frozen=True)
-class TextIndex:
-    """postings (item_id, field, pos, token), ordered by token; vocabulary (field, token, df); lengths (item_id, field, n)."""
-
-    postings: DataFrame
-    vocabulary: DataFrame
-    lengths: DataFrame
-
-    @staticmethod
-    def build(items: DataFrame, keep: Callable[[str, Callable[[], DataFrame]], DataFrame], fields: tuple[str, ...] = ("title", "content")) -> TextIndex:
-        """keep(name, make): the table of this name, kept (made if need be)."""
-        rows = keep("postings", lambda: postings(items, fields).repartitionByRange("token").sortWithinPartitions("token", "item_id", "field", "pos"))
-        words = keep("vocabulary", lambda: rows.groupBy("field", "token").agg(F.count_distinct("item_id").alias("df")))
-        return TextIndex(rows, words, keep("lengths", lambda: rows.groupBy("item_id", "field").agg(F.count(F.lit(1)).alias("n"))))
-
-    def _rows(self, fields: tuple[str, ...]) -> DataFrame:
-        return self.postings.where(F.col("field").isin(*fields))
-
-    def _words(self, fields: tuple[str, ...]) -> DataFrame:
-        return self.vocabulary.where(F.col("field").isin(*fields)).select("token").distinct()
-
-    def all(self, text: str, fields: tuple[str, ...]) -> DataFrame:
-        """Ids of items with every word of the query in one field."""
-        return match_postings(self._rows(fields), [[t] for t in dict.fromkeys(t for _, t in analyze(text))])
-
-    def phrase(self, text: str, fields: tuple[str, ...]) -> DataFrame:
-        return phrase_postings(self._rows(fields), text)
-
-    def wants_prefix(self, text: str, fields: tuple[str, ...]) -> bool:
-        """As wants_prefix(), by two probes of the whole index, whatever else a listing filters by."""
-        parts = text.split()
-        last = tx.fold_word_str(parts[-1]) if parts else ""
-        none = lambda t: not self.all(t, fields).take(1)
-        return len(last) >= 3 and (none(last) or (len(parts) > 1 and none(text)))
-
-    def prefix(self, text: str, fields: tuple[str, ...], most: int = MAX_EXPANSIONS) -> DataFrame:
-        """All words but the last as usual, in one field, and in any field one that begins as the last does."""
-        parts = text.split()
-        words = completions(self._words(fields), tx.fold_word_str(parts[-1]), most)
-        found = match_postings(self._rows(fields), [words] if words else [])
-        rest = [[t] for t in dict.fromkeys(t for _, t in analyze(" ".join(parts[:-1])))]
-        return found.join(match_postings(self._rows(fields), rest), "item_id", "left_semi") if rest else found
-
-    def fuzzy(self, text: str, fields: tuple[str, ...]) -> DataFrame:
-        """Ids of items with a near word for each word of the query, all in one field."""
-        words = [t for _, t in analyze(text)]
-        near = near_words(self._words(fields), words)
-        hit = self._rows(fields).join(near, "token").groupBy("item_id", "field").agg(F.count_distinct("term").alias("n"))
-        return hit.where(F.col("n") == len(words)).select("item_id").distinct()
-
-    def synonyms(self, text: str, rules: list[tuple[list[str], list[str]]], fields: tuple[str, ...]) -> DataFrame:
-        """Ids of items with all words of one of the query's alternatives in one field."""
-        ways = [list(dict.fromkeys(w)) for w in expand([t for _, t in analyze(text)], rules)]
-        table = [(i, t, len(w)) for i, w in enumerate(ways) for t in w]
-        wanted = F.broadcast(self.postings.sparkSession.createDataFrame(table, "way int, token string, size int"))
-        hit = self._rows(fields).where(F.col("token").isin(sorted({t for _, t, _ in table}))).join(wanted, "token")
-        return hit.groupBy("item_id", "field", "way", "size").agg(F.count_distinct("token").alias("n")).where("n = size").select("item_id").distinct()
-
-    def bm25(self, text: str, boosts: dict[str, float], items: int) -> DataFrame:
-        """item_id and score of items with any word of the query: the best of its fields' scores, each times its boost. items: how many there are, those without words too."""
-        terms = sorted({t for _, t in analyze(text)})
-        fields = F.col("field").isin(*boosts)
-        boost = F.try_element_at(F.create_map(*[F.lit(x) for p in boosts.items() for x in p]), F.col("field"))
-        mean = self.lengths.where(fields).groupBy("field").agg((F.sum("n") / F.lit(items)).alias("mean"))
-        df = self.vocabulary.where(fields & F.col("token").isin(*terms))
-        idf = df.select("field", "token", F.log(1 + (F.lit(items) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        tf = self.postings.where(fields & F.col("token").isin(*terms)).groupBy("item_id", "field", "token").agg(F.count(F.lit(1)).alias("tf"))
-        rows = tf.join(F.broadcast(idf), ["field", "token"]).join(F.broadcast(mean), "field").join(self.lengths, ["item_id", "field"])
-        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-        return rows.groupBy("item_id", "field").agg(F.sum(part).alias("part")).groupBy("item_id").agg(F.max(F.col("part") * boost).alias("score"))
-
-
-def bm25(items: DataFrame, text: str, field: str = "content") -> DataFrame:
-    """item_id and score of items with any word of the query. One aggregate gives the number of items, lengths and document frequencies."""
-    terms = list(dict.fromkeys(t for _, t in analyze(text)))
-    counted = items.select("item_id", tx.folded_tokens(F.coalesce(F.col(field), F.lit(""))).alias("w"))
-    same = lambda t: lambda x: x == t
-    tf = [F.size(F.filter("w", same(t))) for t in terms]
-    rows = counted.select("item_id", F.size("w").alias("n"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)])
-    facts = rows.agg(F.count(F.lit(1)).alias("items"), F.avg("n").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        df = facts[f"df{i}"] or 0
-        idf = math.log(1 + (facts["items"] - df + 0.5) / (df + 0.5))
-        t = F.col(f"tf{i}")
-        score = score + F.lit(idf) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("n") / F.lit(facts["mean"] or 1.0)))
-    return rows.where(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0).select("item_id", score.alias("score"))

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import scrub
-from vitrine.operators import ingest, monitor, queue, search, vocabulary
+from vitrine.operators import ingest, monitor, queue, vocabulary
+from vitrine.operators.textindex import Options, TextIndex
 from vitrine.plans import settings as st
-from vitrine.sources.catalogue import ITEM, RUN, _struct
+from vitrine.sources.catalogue import ITEM, RUN, Catalogue, _struct
 from vitrine.sources.files import log_page, retained
 from vitrine.sources.store import Store
 
@@ -283,11 +284,12 @@ class Service:
         return out
 
     def test_vocabulary(self, text: str, fields: tuple[str, ...] = ("title", "content")) -> dict:
-        """A query's forms, and how many published items match it with and without the vocabulary."""
+        """A query's forms, and how many published items match it: with the vocabulary, its last word completed if need be, and without either."""
         items = self.store.read("index", ITEM).where("post_status = 'publish'")
-        words, rules = [t for _, t in search.analyze(text)], self.rules()
+        index = TextIndex.build(Catalogue(items), fields=fields)
+        using = Options(rules=tuple(self.rules()), stop=frozenset(self._get("applied").get("stopwords", ())))
         return {
-            "forms": [" ".join(w) for w in search.expand(words, rules)],
-            "with": search.match_synonyms(items, text, rules, fields).count(),
-            "without": search.match_all(items, text, fields).count(),
+            "forms": [" ".join(w) for w in index.lattice(text, using).ways()],
+            "with": index.search(text, using).count(),
+            "without": index.all(text).count(),
         }

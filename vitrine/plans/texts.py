@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitrine.functions import stem
 from vitrine.functions import text as tx
-from vitrine.operators import mining, search, vocabulary
+from vitrine.functions.analysis import Analyzer
+from vitrine.functions.stem import stem_sql
+from vitrine.operators import listing, mining, search, vocabulary
+from vitrine.operators.textindex import OWN, Options, TextIndex
 from vitrine.plans.registry import query
+from vitrine.plans.spec import build
 from vitrine.sources import catalogue as c
 from vitrine.sources.artefacts import kept
 
@@ -23,26 +26,37 @@ def _ids(df):
     return df.select("item_id")
 
 
-def _index(spark, sf, *parts):
-    """The text index of the documents, or of other items, made once."""
-    items = _titled(spark, sf) if parts else _docs(spark, sf)
-    return search.TextIndex.build(items, lambda name, make: kept(name, "/".join([sf, *parts]), spark, make), ("title", "content") if parts else ("content",))
+def _keep(spark, sf, name, *tables):
+    """Tables of this name made from these tables, made once for each state of their files."""
+    return lambda part, make: kept(f"{name}-{part}", [f"{sf}/{t}.parquet" for t in tables], spark, make)
+
+
+def _index(spark, sf, language=None):
+    """The text index of the documents' contents."""
+    return TextIndex.build(c.Catalogue(_docs(spark, sf)), _keep(spark, sf, "documents", "documents"), ("content",), Analyzer(language))
 
 
 def _titled(spark, sf):
     """Documents with their first three words as title."""
     docs = _docs(spark, sf)
-    return docs.withColumn("title", F.array_join(F.slice(tx.folded_tokens("content"), 1, 3), " "))
+    titled = docs.withColumn("title", F.array_join(F.slice(tx.folded_tokens("content"), 1, 3), " "))
+    return TextIndex.build(c.Catalogue(titled), _keep(spark, sf, "titled", "documents"), ("title", "content"))
+
+
+def _talks(spark, sf):
+    """Conversations with all fields and entries, and their index."""
+    found = c.talks(spark, sf)
+    return found, TextIndex.build(found, _keep(spark, sf, "talks", "conversations"))
 
 
 def _corpus(spark, sf):
     """The corpus' vocabulary, made once."""
-    return kept("corpus", sf, spark, lambda: mining.corpus(c.table(spark, sf, "documents")))
+    return kept("corpus", [f"{sf}/documents.parquet"], spark, lambda: mining.corpus(c.table(spark, sf, "documents")))
 
 
-@query("text_and_match", f"SELECT doc_id AS item_id FROM documents WHERE list_has_all({TOKENS}, ['the', 'thing', 'onand'])")
+@query("text_and_match", f"SELECT doc_id AS item_id FROM documents WHERE list_has_all({TOKENS}, ['the', 'apache', 'license'])")
 def text_and_match(spark, sf):
-    return _index(spark, sf).all("Onand the THING", ("content",))
+    return _index(spark, sf).all("Apache, the LICENSE")
 
 
 @query("text_and_match_scan", f"SELECT doc_id AS item_id FROM documents WHERE list_has_all({TOKENS}, ['licensed', 'apache'])")
@@ -53,7 +67,7 @@ def text_and_match_scan(spark, sf):
 
 @query("text_phrase", f"SELECT doc_id AS item_id FROM documents WHERE contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' under the apache license ')")
 def text_phrase(spark, sf):
-    return _index(spark, sf).phrase("under the Apache License", ("content",))
+    return _index(spark, sf).phrase("under the Apache License")
 
 
 @query("text_phrase_scan", f"SELECT doc_id AS item_id FROM documents WHERE contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' in the ')")
@@ -69,7 +83,7 @@ def text_phrase_scan(spark, sf):
     SELECT doc_id AS item_id FROM t WHERE list_contains(w, 'the') AND list_has_any(w, (SELECT list(token) FROM v))""",
 )
 def text_prefix(spark, sf):
-    return _index(spark, sf).prefix("the licen", ("content",))
+    return _index(spark, sf).prefix("the licen")
 
 
 @query(
@@ -79,7 +93,7 @@ def text_prefix(spark, sf):
 )
 def text_prefix_decision(spark, sf):
     index = _index(spark, sf)
-    return spark.createDataFrame([(w, index.wants_prefix(w, ("content",))) for w in ("apach", "apache", "zzzq")], "fragment string, expands boolean")
+    return spark.createDataFrame([(w, index.wants_prefix(w)) for w in ("apach", "apache", "zzzq")], "fragment string, expands boolean")
 
 
 @query(
@@ -90,12 +104,12 @@ def text_prefix_decision(spark, sf):
     SELECT doc_id AS item_id FROM t JOIN n USING (w) GROUP BY doc_id HAVING count(DISTINCT q) = 2""",
 )
 def text_fuzzy(spark, sf):
-    return _index(spark, sf).fuzzy("licnesed apahce", ("content",))
+    return _index(spark, sf).fuzzy("licnesed apahce")
 
 
 @query("text_synonym", f"SELECT doc_id AS item_id FROM documents WHERE list_has_all({TOKENS}, ['license', 'apache']) OR list_has_all({TOKENS}, ['license', 'gnu', 'general'])")
 def text_synonym(spark, sf):
-    return _index(spark, sf).synonyms("apache license", [(["apache", "gnu general"], [])], ("content",))
+    return _index(spark, sf).synonyms("apache license", [(["apache", "gnu general"], [])])
 
 
 @query(
@@ -105,13 +119,13 @@ def text_synonym(spark, sf):
 )
 def text_synonym_graph(spark, sf):
     """Two rules meet in one query."""
-    return _index(spark, sf).synonyms("apache license", [(["apache", "gnu general"], []), (["license", "version"], [])], ("content",))
+    return _index(spark, sf).synonyms("apache license", [(["apache", "gnu general"], []), (["license", "version"], [])])
 
 
 @query("text_synonym_one_way", f"SELECT doc_id AS item_id FROM documents WHERE list_has_all({TOKENS}, ['mit', 'license'])")
 def text_synonym_one_way(spark, sf):
     """The left side of a one-way rule is replaced."""
-    return _index(spark, sf).synonyms("apache license", [(["apache"], ["mit"])], ("content",))
+    return _index(spark, sf).synonyms("apache license", [(["apache"], ["mit"])])
 
 
 @query(
@@ -140,15 +154,94 @@ def text_bm25(spark, sf):
 )
 def text_bm25_boosted(spark, sf):
     """The better of the title's score, thrice, and the content's."""
-    found = _index(spark, sf, "titled").bm25("the apache", {"title": search.TITLE_BOOST, "content": 1.0}, _docs(spark, sf).count())
+    found = _titled(spark, sf).bm25("the apache", {"title": OWN["title"], "content": 1.0}, _docs(spark, sf).count())
     return found.select("item_id", F.round("score", 6).alias("score"))
 
 
-@query("text_stemmed")
+_LOWER = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_STOP = ", ".join(f"'{w}'" for w in sorted(Analyzer("english").stopwords))
+
+
+@query(
+    "text_stemmed",
+    f"""WITH t AS (SELECT doc_id, unnest({_LOWER}) AS w FROM documents),
+    s AS (SELECT w, {stem_sql("w", "english")} AS a, {stem_sql(FOLD.format("w"), "english")} AS b FROM (SELECT DISTINCT w FROM t) WHERE w NOT IN ({_STOP}) AND {FOLD.format("w")} NOT IN ({_STOP})),
+    q AS (SELECT 0 AS i, 'licens' AS q UNION ALL SELECT 1, 'warranty')
+    SELECT doc_id AS item_id FROM t JOIN s USING (w) JOIN q ON q IN (a, b) GROUP BY doc_id HAVING count(DISTINCT i) = 2""",
+)
 def text_stemmed(spark, sf):
-    docs = c.table(spark, sf, "documents").where("lang = 'en'")
-    found = stem.stems(tx.folded_tokens("text"), "english")
-    return docs.select(F.col("doc_id").alias("item_id"), found.alias("s")).where(F.array_contains("s", stem.stem("licensed", "english"))).select("item_id")
+    """All documents, in English analysis: stop words go, other words meet by their stems."""
+    return _index(spark, sf, "english").all("of the Licensed Warranties")
+
+
+#: Entries of conversations: field, entry and words; the fields' boosts.
+TALKS = f"""e AS (
+  SELECT conv_id, 'own' AS part, 'title' AS field, 0 AS entry, 3.0::DOUBLE AS boost, {TOKENS.replace("text", "array_to_string(string_split(text, ' ')[1:3], ' ')")} AS w FROM conversations WHERE turn = 0
+  UNION ALL SELECT conv_id, 'own', 'description', 0, 2.0, {TOKENS.replace("text", "array_to_string(string_split(text, ' ')[1:12], ' ')")} FROM conversations WHERE turn = 0
+  UNION ALL SELECT conv_id, 'metadata', 'metadata', turn + 1, 1.0, {TOKENS} FROM conversations
+  UNION ALL SELECT conv_id, 'taxonomies', 'taxonomies', 0, 1.0, list_distinct(list(role)) FROM conversations GROUP BY conv_id)"""
+
+
+@query("listing_text", f"WITH {TALKS} SELECT conv_id AS item_id FROM e WHERE list_has_all(w, ['that', 'with', 'from']) GROUP BY conv_id ORDER BY conv_id LIMIT 25")
+def listing_text(spark, sf):
+    """Words that have to meet in one turn, or one title, description or term list."""
+    found, index = _talks(spark, sf)
+    return listing.page(found, build({"s": "That, WITH from", "orderby": "id", "order": "ASC", "posts_per_page": 25}, ("col_talks",)), index)
+
+
+@query("listing_text_scan", f"WITH {TALKS} SELECT conv_id AS item_id FROM e WHERE list_has_all(w, ['assistant']) OR list_has_all(w, ['user']) GROUP BY conv_id ORDER BY conv_id DESC LIMIT 30")
+def listing_text_scan(spark, sf):
+    """Terms of taxonomies, a synonym, without an index."""
+    return listing.page(c.talks(spark, sf), build({"s": "assistant", "orderby": "id", "posts_per_page": 30}, ("col_talks",)), options=Options(rules=((["assistant", "user"], []),)))
+
+
+_TALK_SCORES = f"""{TALKS}, q AS (SELECT unnest(['the', 'of']) AS q),
+  st AS (SELECT field, count(*) AS docs, sum(len(w)) AS words FROM e WHERE len(w) > 0 GROUP BY field),
+  tf AS (SELECT conv_id, part, field, entry, boost, len(w) AS n, q, len(list_filter(w, lambda x: x = q)) AS tf FROM e, q),
+  df AS (SELECT field, q, count(*) AS df FROM tf WHERE tf > 0 GROUP BY ALL),
+  s AS (SELECT conv_id, part, tf.field, entry, count(*) AS held, sum(boost * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (words / docs)))) AS s
+        FROM tf JOIN df ON tf.field = df.field AND tf.q = df.q JOIN st ON st.field = tf.field WHERE tf > 0 GROUP BY ALL),
+  p AS (SELECT conv_id, part, max(s) AS s FROM s WHERE held = 2 GROUP BY ALL),
+  r AS (SELECT conv_id AS item_id, sum(s) AS score FROM p GROUP BY conv_id)"""
+
+
+@query("text_scores", f"WITH {_TALK_SCORES} SELECT item_id, round(score, 6) AS score FROM r")
+def text_scores(spark, sf):
+    """The best of the own fields, boosted, with the best turn and the best terms."""
+    return _talks(spark, sf)[1].scores("the of").select("item_id", F.round("score", 6).alias("score"))
+
+
+@query("listing_relevance", f"WITH {_TALK_SCORES} SELECT item_id FROM r ORDER BY CAST(score AS FLOAT) DESC, item_id DESC LIMIT 10")
+def listing_relevance(spark, sf):
+    found, index = _talks(spark, sf)
+    return listing.page(found, build({"s": "the of"}, ("col_talks",)), index)
+
+
+@query("listing_typing_errors", f"WITH {TALKS}, h AS (SELECT DISTINCT conv_id FROM e, LATERAL (SELECT unnest(w) AS x) WHERE x[1] = 'a' AND damerau_levenshtein(x, 'assitsant') <= 2) SELECT conv_id AS item_id FROM h ORDER BY conv_id LIMIT 40")
+def listing_typing_errors(spark, sf):
+    found, index = _talks(spark, sf)
+    q = build({"s": "assitsant", "orderby": "id", "order": "ASC", "posts_per_page": 40}, ("col_talks",))
+    return listing.page(found, q, index, Options(prefix=False, fuzzy=True))
+
+
+@query("listing_completed", f"WITH {TALKS} SELECT DISTINCT conv_id AS item_id FROM e WHERE len(list_filter(w, lambda x: starts_with(x, 'assis'))) > 0 AND conv_id IN (SELECT conv_id FROM e WHERE list_has_all(w, ['the', 'of'])) ORDER BY 1 LIMIT 40")
+def listing_completed(spark, sf):
+    """Both words in one entry, and in any entry one that begins as the last does, which is no word."""
+    found, index = _talks(spark, sf)
+    return listing.page(found, build({"s": "the of assis", "orderby": "id", "order": "ASC", "posts_per_page": 40}, ("col_talks",)), index)
+
+
+@query(
+    "text_synonym_lattice",
+    f"""WITH w AS (SELECT doc_id, {TOKENS} AS w FROM documents),
+    a AS (SELECT unnest([['apache'], ['gnu', 'general', 'public'], ['mit']]) AS a), b AS (SELECT unnest([['license'], ['licensed'], ['version']]) AS b),
+    c AS (SELECT b1.b || b2.b AS c FROM b b1, b b2 UNION ALL SELECT ['warranty'])
+    SELECT DISTINCT doc_id AS item_id FROM w, a, c WHERE list_has_all(w, a) AND list_has_all(w, c)""",
+)
+def text_synonym_lattice(spark, sf):
+    """Three rules that meet, one of them over two words that another one changes too."""
+    rules = [(["apache", "gnu general public", "mit"], []), (["license", "licensed", "version"], []), (["version license", "warranty"], [])]
+    return _index(spark, sf).synonyms("apache version license", rules)
 
 
 @query(

@@ -1,18 +1,24 @@
 """Index artefacts: tables that are made once from others and read by many queries, as a search index is.
 
 They are kept in the folder that driver and executors share (spark.checkpoint.dir) for as long as the application
-runs, one for each name and source; a build that dies leaves no marker and is made anew.
+runs, one for each name and state of its sources: when files of a source are added, removed or rewritten, the next
+reader makes the table anew. A table is written beside its place and moved there whole; of a name, the last two
+states are kept, so that a query that has begun on the one before can end.
 """
 
 from __future__ import annotations
 
 import hashlib
 import tempfile
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_making = threading.Lock()
+KEPT_STATES = 2
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,13 +31,43 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="vitrine-"))
 
 
-def kept(name: str, source: str, spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table of this name that was made from a source (any text that names it), made now if it isn't there."""
-    digest = hashlib.sha256(source.encode()).hexdigest()[:16]
-    path = f"{shared_dir(spark)}/vitrine-index-{spark.sparkContext.applicationId}/{name}-{digest}"
-    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def state(spark: SparkSession, path: str) -> str:
+    """What tells a table's present files from others: their paths, lengths and times. One listing a folder, no file is read."""
+    found, open_ = [], [path]
+    while open_:
+        p, fs = _path(spark, open_.pop())
+        for s in fs.listStatus(p):
+            where = s.getPath().toString()
+            if s.isDirectory():
+                open_.append(where)
+            else:
+                found.append((where, s.getLen(), s.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()[:16]
+
+
+def kept(name: str, sources: list[str], spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of this name that was made from the present files of its sources (paths of tables), made now if it isn't there."""
+    place = hashlib.sha256(repr(sources).encode()).hexdigest()[:16]
+    folder = f"{shared_dir(spark)}/vitrine-index-{spark.sparkContext.applicationId}/{name}-{place}"
+    version = hashlib.sha256("".join(state(spark, s) for s in sources).encode()).hexdigest()[:16]
+    top, fs = _path(spark, folder)
+    done, _ = _path(spark, f"{folder}/{version}")
+    if not fs.exists(done):
+        fs.mkdirs(top)
         fs.deleteOnExit(top.getParent())
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        own = f"{folder}/.{version}-{uuid.uuid4().hex[:8]}"
+        make().write.parquet(own)
+        with _making:
+            if fs.exists(done):  # another thread was faster
+                fs.delete(_path(spark, own)[0], True)
+            else:
+                fs.rename(_path(spark, own)[0], done)
+                states = sorted((s.getModificationTime(), s.getPath().toString()) for s in fs.listStatus(top) if not s.getPath().getName().startswith("."))
+                for _, old in states[:-KEPT_STATES]:
+                    fs.delete(_path(spark, old)[0], True)
+    return spark.read.parquet(f"{folder}/{version}")

@@ -102,6 +102,17 @@ def texts(spark: SparkSession, sf_dir: str) -> Catalogue:
     return Catalogue(_items(d, item_id=F.col("doc_id"), post_type=F.concat(F.lit("col_"), "source"), post_status=F.lit("publish"), title=F.substring("text", 1, 60), content=F.col("text")))
 
 
+def talks(spark: SparkSession, sf_dir: str) -> Catalogue:
+    """Conversations as items: the first turn gives title (three words) and description (twelve), each turn is a metadata entry, the roles are terms."""
+    t = table(spark, sf_dir, "conversations")
+    begins = t.where("turn = 0").withColumn("w", F.split("text", " "))
+    of = lambda n: F.array_join(F.slice("w", 1, n), " ")
+    items = _items(begins, item_id=F.col("conv_id"), post_type=F.lit("col_talks"), post_status=F.lit("publish"), title=of(3), description=of(12))
+    entries = t.select(*[{"item_id": F.col("conv_id"), "metadatum_id": F.col("turn"), "value_text": F.col("text")}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in METADATA])
+    terms = t.groupBy(F.col("conv_id").cast("long").alias("item_id")).agg(F.sort_array(F.collect_set("role")).alias("terms"))
+    return Catalogue(items, entries, terms.select("item_id", F.lit("roles").alias("slug"), "terms", F.lit(None).cast("array<bigint>").alias("term_ids")))
+
+
 def save(catalogue: Catalogue, folder: str) -> None:
     """Write the tables: items by collection, entries by metadatum in item order, so a filter on either reads one part."""
     catalogue.items.write.mode("overwrite").partitionBy("post_type").parquet(f"{folder}/items")
