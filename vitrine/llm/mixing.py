@@ -13,7 +13,8 @@ DataFrame functions only.
 
 Defined results: a null or blank text has size 0 and is taken with 0 words; a null source is a source, the last;
 an empty string is the first; rows with a repeated doc_id count each for itself (equal rows stand side by side in
-key order); a source without words has target 0; an empty table gives no rows; other columns are not read by ``mix()``.
+key order); a source without words has target 0; an empty table gives no rows; other columns, whatever
+their names, are not read: those that ``mix()`` adds take a prefix that no column has.
 """
 
 from __future__ import annotations
@@ -116,9 +117,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")  # so no column of the table meets those of our own
     # the words are counted once; the rest works on rows of four numbers
-    docs = written(sized(table(spark, sf_dir, "documents")).select("doc_id", "source", *[f"{P}{c}" for c in ("size", "source", "key")]), "sizes")
-    return mix(docs, p=P).select("doc_id", *[F.col(f"{P}{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+    rows = written(sized(docs).select("doc_id", "source", *[f"{P}{c}" for c in ("size", "source", "key")]), "sizes")
+    return mix(rows, p=P).select("doc_id", *[F.col(f"{P}{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
 ORACLE = r"""
