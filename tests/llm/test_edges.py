@@ -1,10 +1,12 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing columns, for each operator and stage."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vitrine.llm import html, langid, mixing, packing, pii, quality, simhash, tokencount, tokenfile, topk
+from vitrine.llm import html, langid, mixing, packing, pii, quality, queries, simhash, tokencount, tokenfile, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "una palabra larga y otra mas corta " * 20_000 + "x" * 50_000
@@ -112,3 +114,24 @@ def test_vectors_of_one_id(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).collect())
     one = 64 * 64
     assert got == sorted([(20, 1, 3, 2 * one), (20, 2, 3, 2 * one), (20, 3, 3, one + one // 2), *[(40, 1, 40, 2 * one), (40, 2, 3, 0), (40, 3, 3, 0)] * 2])
+
+
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n not in ("op1_top_k", "op3_main_text")])
+def test_queries_of_any_table(name, spark, docs, clashing, tmp_path):
+    """Each query over nulls, repeated rows and long texts, with and without columns of any names, and over no rows."""
+    got = {}
+    for kind, df in {"plain": docs, "clash": clashing, "none": docs.where("doc_id = 99")}.items():
+        df.write.parquet(f"{tmp_path}/{kind}/documents.parquet")
+        found = queries.queries()[name](spark, f"{tmp_path}/{kind}")
+        got[kind] = sorted(map(str, found.collect()))
+    assert got["plain"] == got["clash"] and got["none"] == []
+    assert len(got["plain"]) == docs.count() or name == "op7_packing"
+
+
+def test_many_languages(spark):
+    """More languages than rows to learn from: a row of each."""
+    rng = random.Random(3)
+    stems = ["".join(rng.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(260)]
+    rows = [(i * 300 + k, " ".join(f"{s}{rng.choice('xyz')}" for _ in range(40)), f"l{i:03d}") for i, s in enumerate(stems) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.train(df, max_rows=100).languages) == len(langid.train(df).languages) == 260

@@ -29,7 +29,6 @@ BUCKET_BITS = 13
 GRAMS = 4
 DIM = 16
 MAX_ROWS = 2000
-MAX_LANGUAGES = 200
 EPOCHS = 15
 BATCH = 32
 RATE = 20.0
@@ -153,20 +152,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, max_rows: int = MAX_ROWS, key: str = "doc_id", text: str = "text", lang: str = "lang", seed: int = SEED) -> Model:
-    """Learn from at most max_rows rows with a lang, spread over the languages (at most MAX_LANGUAGES, the more frequent first)."""
+    """Learn from at most max_rows rows with a lang, spread over the languages; of more languages than that, from a row of each."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t")).where("lang IS NOT NULL AND t IS NOT NULL").withColumn("h", F.xxhash64("k", F.lit(seed)))
-    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
     if not known:
         return fit([])
     each = max(1, max_rows // len(known))
+    most = each * len(known)
     # of a language of n rows, those in the lowest share of the hash that should hold twice as many as are taken: what is ranked is bounded too
-    share = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], min(1.0, 2 * each / r["n"] + 64 / r["n"]))])
-    low = rows.select("lang", "h", "k").where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * float(1 << 30))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * each / r["n"] + 64 / r["n"])) for r in known], "lang string, share double")
+    low = rows.select("lang", "h", "k").join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * float(1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))
     some = low.withColumn("rank", rank).where(F.col("rank") <= each)
-    chosen = some.select(F.col("k").alias("chosen")).limit(max_rows)
+    chosen = some.select(F.col("k").alias("chosen")).limit(most)
     counted = in_batches(rows.join(F.broadcast(chosen), F.col("k") == F.col("chosen"), "left_semi").select("lang", "h", "t"), _counted, "lang string, h long, at binary, n binary")
-    found = counted.orderBy("h", "lang", "at", "n").limit(max_rows).collect()
+    found = counted.orderBy("h", "lang", "at", "n").limit(most).collect()
     return fit([(r["lang"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i8")) for r in found], seed)
 
 
