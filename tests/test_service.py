@@ -107,13 +107,45 @@ def test_health_is_measured(spark, tmp_path, monkeypatch):
     s.create_index()
     first = s.snapshot().first()
     assert first["reachable"] and first["index_status"] == "green" and first["error"] == "" and first["ping_ms"] >= 0
-    read = s.store.read
 
-    def broken(name, schema=None):
-        if name == "index":
-            raise OSError("the disk is gone")
-        return read(name, schema)
+    def broken():
+        raise OSError("the disk is gone")
 
-    monkeypatch.setattr(s.store, "read", broken)
+    monkeypatch.setattr(s.index, "read", broken)
     now = s.snapshot().first()
     assert not now["reachable"] and now["cluster_status"] == "red" and "gone" in now["error"]
+
+
+def test_breaker_lock_and_full_queue(spark, tmp_path, monkeypatch):
+    """Three failures in a row open the breaker; a held lock keeps others out; a full queue says so; errors of every kind are logged."""
+    from vitrine.operators import queue
+    from vitrine.sources.keyed import locked
+
+    rows = [(i, "col_a", "publish", f"Quadro {i}", None, "tela", None, None, None) for i in range(1, 81)]
+    now = [1000.0]
+    s = Service(spark, str(tmp_path), lambda: spark.createDataFrame(rows, ITEM), lambda: now[0])
+    s.create_index()
+    s.set_settings({"batch_size": 100, "max_retries": 0})
+    s.reindex_all()
+    with locked(s.store, "process", 600, now[0]):
+        assert s.process_batch()["skipped"] == "locked"
+    merge = s.index.merge
+    monkeypatch.setattr(s.index, "merge", lambda *a, **k: (_ for _ in ()).throw(OSError("no space")))
+    for n in range(3):
+        assert s.process_batch() == {"ok": False, "processed": 0, "remaining": 80}
+        assert s.process_batch()["skipped"] == "backoff"
+        if n < 2:
+            now[0] += 301
+    assert s._get("state")["breaker_until"] == now[0] + queue.BREAKER_SECONDS and s._get("state")["breaker_fails"] == 0
+    s._set_state("running", backoff_until=0)
+    assert s.process_batch()["skipped"] == "breaker"
+    now[0] += queue.BREAKER_SECONDS
+    monkeypatch.setattr(s.index, "merge", merge)
+    r = s.process_batch(F.when(F.col("item_id") > 20, F.concat(F.lit("kind "), F.col("item_id").cast("string"))))
+    assert (r["processed"], r["failed"], r["dropped"]) == (20, 60, 60)
+    assert s.logs(level="error", per_page=500).count() == 3 + 60 and s.export_logs(level="error", per_page=500).count() == 63
+    assert len({x["id"] for x in s.store.read("logs").collect()}) == 63
+    monkeypatch.setattr(queue, "CAP", 5)
+    s.cancel()
+    assert s.enqueue(spark.range(1, 8).withColumnRenamed("id", "item_id")) == 7 and s.enqueue(spark.range(20, 23).withColumnRenamed("id", "item_id")) == 7
+    assert s.logs(level="warning").first()["message"] == "queue full, nothing enqueued"

@@ -10,7 +10,7 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import scrub
@@ -19,6 +19,7 @@ from vitrine.operators.textindex import Options, TextIndex
 from vitrine.plans import settings as st
 from vitrine.sources.catalogue import ITEM, RUN, Catalogue, _struct
 from vitrine.sources.files import log_page, retained
+from vitrine.sources.keyed import Busy, KeyedTable, locked
 from vitrine.sources.store import Store
 
 QUEUE = _struct("item_id bigint, enqueued_at bigint")
@@ -28,12 +29,14 @@ LOG = _struct("id bigint, created_at timestamp, level string, channel string, me
 ALERT = _struct("code string, at bigint, seq bigint, severity string, message string")
 RULES = _struct("list string, line int, rule string, note string")
 BACKOFF_S = 300
+LOCK_S = 600  # after which a batch's lock was left by a writer that died
 CACHE_S = {"health": 60, "collections": 300}
 
 
 class Service:
     def __init__(self, spark: SparkSession, folder: str, source: Callable[[], DataFrame], clock: Callable[[], float] = time.time):
         self.spark, self.store, self.source, self.clock = spark, Store(spark, folder), source, clock
+        self.index = KeyedTable(self.store, "index", ITEM)
         self._memo: dict[str, tuple[float, object]] = {}
 
     # ------------------------------------------------ small state
@@ -72,19 +75,24 @@ class Service:
     # ------------------------------------------------ index and queue
 
     def create_index(self) -> bool:
-        return self.store.create("index", ITEM)
+        return self.index.create()
 
     def delete_index(self) -> bool:
-        return self.store.drop("index")
+        return self.index.drop()
 
     def recreate_index(self) -> None:
-        self.store.recreate("index", ITEM)
+        self.index.drop()
+        self.index.create()
 
     def index_stats(self) -> dict:
-        return self.store.stats("index")
+        return self.index.stats()
 
     def enqueue(self, ids: DataFrame) -> int:
+        """The queue's size with the ids in it; a full queue takes none of them and says so in the log."""
         before = self.store.read("queue", QUEUE)
+        if before.count() >= queue.CAP:
+            self.log("warning", "indexer", "queue full, nothing enqueued", {"cap": queue.CAP, "refused": ids.join(before, "item_id", "left_anti").count()})
+            return self.queue_size()
         self.store.write("queue", queue.enqueue(before, ids.select("item_id", F.lit(int(self.clock())).cast("long").alias("enqueued_at"))))
         return self.queue_size()
 
@@ -92,7 +100,7 @@ class Service:
         return self.store.read("queue", QUEUE).count()
 
     def reindex_all(self) -> int:
-        if not self.store.exists("index"):
+        if not self.index.exists():
             raise RuntimeError("no index")
         return self.enqueue(self._live().select("item_id"))
 
@@ -100,13 +108,13 @@ class Service:
         return self.enqueue(self._live().where(F.col("post_type") == post_type).select("item_id"))
 
     def enqueue_missing(self) -> int:
-        return self.enqueue(ingest.missing(self._live(), self.store.read("index", ITEM)))
+        return self.enqueue(ingest.missing(self._live(), self.index.read()))
 
     def purge_orphans(self) -> int:
-        gone = ingest.orphans(self.store.read("index", ITEM), self.source())
+        gone = ingest.orphans(self.index.read(), self.source())
         n = gone.count()
         if n:
-            self.store.remove("index", gone)
+            self.index.merge(gone=gone)
         return n
 
     def _live(self) -> DataFrame:
@@ -130,14 +138,25 @@ class Service:
         self._set_state("idle", backoff_until=0)
 
     def process_batch(self, check: Column | None = None) -> dict:
-        """Build and write the head of the queue. Rows that a check refuses are queued again, at the back, up to the retries of their life."""
+        """Build and write the head of the queue, one writer at a time. Rows that a check refuses are queued again, at the back, up to the retries of their life."""
         s = self._get("state")
         if s.get("state") == "paused":
             return {"ok": True, "processed": 0, "state": "paused"}
-        if not self.store.exists("index"):
+        if not self.index.exists():
             return {"ok": False, "processed": 0, "skipped": "not_configured"}
-        if s.get("backoff_until", 0) > self.clock():
-            return {"ok": False, "processed": 0, "skipped": "backoff"}
+        for name in ("backoff", "breaker"):
+            if s.get(f"{name}_until", 0) > self.clock():
+                return {"ok": False, "processed": 0, "skipped": name}
+        if not self.queue_size():
+            self._set_state("finished")
+            return {"ok": True, "processed": 0, "state": "finished"}
+        try:
+            with locked(self.store, "process", LOCK_S, self.clock()):
+                return self._process(check)
+        except Busy:
+            return {"ok": False, "processed": 0, "skipped": "locked"}
+
+    def _process(self, check: Column | None) -> dict:
         waiting = self.store.read("queue", QUEUE)
         before = waiting.count()
         if not before:
@@ -148,10 +167,14 @@ class Service:
         docs = self._live().join(batch, "item_id", "left_semi").persist()
         built = docs.count()
         try:
-            bad = self.store.bulk("index", docs, check=check)
+            bad = self._bulk(docs, check)
         except Exception as e:  # the sink as a whole: the queue stays as it is
-            self._set_state("running", backoff_until=self.clock() + BACKOFF_S, fallback_at=self.clock())
-            self.log("error", "indexer", "bulk write failed", {"error": str(e)[:500]})
+            # so many failures in a row open the breaker, and its counter starts anew
+            fails = self._get("state").get("breaker_fails", 0) + 1
+            opened = fails >= queue.BREAKER_AFTER
+            breaker = {"breaker_fails": 0, "breaker_until": self.clock() + queue.BREAKER_SECONDS} if opened else {"breaker_fails": fails}
+            self._set_state("running", backoff_until=self.clock() + BACKOFF_S, fallback_at=self.clock(), **breaker)
+            self.log("error", "indexer", "bulk write failed", {"error": str(e)[:500], "breaker": "open" if opened else "closed"})
             return {"ok": False, "processed": 0, "remaining": before}
         taken = batch.count()
         old = self.store.read("failures", FAILURES)
@@ -164,21 +187,38 @@ class Service:
         failed, dropped, after = bad.count(), again.where(F.col("n") > limit).count(), self.queue_size()
         run = (int(began), int(1000 * (self.clock() - began)), built, built - failed, failed, taken - built, dropped, before, after)
         self.store.append("runs", self.spark.createDataFrame([run], RUN))
-        if failed:
-            for r in queue.error_summary(bad.select(F.col("reason").alias("type"), F.col("item_id").alias("ord"), "reason", "item_id")).limit(50).collect():
-                self.log("error", "indexer", "rows refused", r.asDict())
-        self._set_state("running" if after else "finished")
+        if failed:  # a log row for each kind of error
+            kinds = queue.error_summary(bad.select(F.col("reason").alias("type"), F.col("item_id").alias("ord"), "reason", "item_id"))
+            self._log_rows(kinds.select(F.lit("error").alias("level"), F.lit("indexer").alias("channel"), F.lit("rows refused").alias("message"), F.to_json(F.struct("*")).alias("context")))
+        self._set_state("running" if after else "finished", breaker_fails=0)
         batch.unpersist()
         docs.unpersist()
         return {"ok": True, "processed": built - failed, "failed": failed, "skipped": taken - built, "dropped": dropped, "remaining": after}
 
+    def _bulk(self, rows: DataFrame, check: Column | None) -> DataFrame:
+        """Put the rows that a check lets pass into the index; the others with their reason, as a table of its own."""
+        judged = rows.withColumn("reason", F.lit(None).cast("string") if check is None else check).persist()
+        self.index.merge(judged.where("reason IS NULL").drop("reason"))
+        self.store.write("index_refused", judged.where("reason IS NOT NULL").select(F.col("item_id").cast("bigint"), "reason"))
+        judged.unpersist()
+        return self.store.read("index_refused")
+
     # ------------------------------------------------ logs, alerts, reports
 
     def log(self, level: str, channel: str, message: str, context: dict | None = None) -> None:
-        logs = self.store.read("logs", LOG)
-        last = logs.agg(F.max("id")).first()[0] or 0
-        row = self.spark.createDataFrame([(last + 1, level, channel, message, json.dumps(scrub(context or {})))], "id bigint, level string, channel string, message string, context string")
-        self.store.append("logs", row.withColumn("created_at", F.timestamp_seconds(F.lit(int(self.clock())))).withColumn("message", F.regexp_replace("message", "<[^>]*>", "")).select(*[f.name for f in LOG]))
+        row = (level, channel, message, json.dumps(scrub(context or {})))
+        self._log_rows(self.spark.createDataFrame([row], "level string, channel string, message string, context string"))
+
+    def _log_rows(self, rows: DataFrame) -> None:
+        """Append rows of (level, channel, message, context), numbered on from the last; few at a time."""
+        last = self.store.read("logs", LOG).agg(F.max("id")).first()[0] or 0
+        number = F.row_number().over(Window.orderBy("context")) + F.lit(last).cast("long")
+        made = rows.withColumns({"id": number, "created_at": F.timestamp_seconds(F.lit(int(self.clock()))), "message": F.regexp_replace("message", "<[^>]*>", "")})
+        self.store.append("logs", made.select(*[f.name for f in LOG]))
+
+    def export_logs(self, **options) -> DataFrame:
+        """The page as JSON lines, as a download has them."""
+        return self.logs(**options).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
 
     def logs(self, **options) -> DataFrame:
         return log_page(self.store.read("logs", LOG), **options)
@@ -198,7 +238,7 @@ class Service:
         self.store.write("runs", self.spark.createDataFrame([], RUN))
 
     def collections(self, refresh: bool = False) -> list:
-        make = lambda: monitor.coverage(self._live(), self.store.read("index", ITEM), "post_type", self.settings()["divergence_threshold_pct"]).orderBy("post_type").collect()
+        make = lambda: monitor.coverage(self._live(), self.index.read(), "post_type", self.settings()["divergence_threshold_pct"]).orderBy("post_type").collect()
         return self.cached("collections", make, refresh)  # type: ignore[return-value]
 
     def probe(self) -> dict:
@@ -206,10 +246,10 @@ class Service:
         out = {"reachable": True, "index": False, "docs": 0, "status": None, "error": "", "nodes": self.spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size()}
         began = time.perf_counter()
         try:
-            out["index"] = self.store.exists("index")
+            out["index"] = self.index.exists()
             out["ping_ms"] = int(1000 * (time.perf_counter() - began))
             if out["index"]:
-                out["docs"] = self.store.read("index", ITEM).count()
+                out["docs"] = self.index.read().count()
                 waiting = self.store.read("failures", FAILURES).join(self.store.read("queue", QUEUE), "item_id", "left_semi")
                 out["status"] = "yellow" if waiting.take(1) else "green"
         except Exception as e:  # whatever the storage raises is what there is to report
@@ -285,7 +325,7 @@ class Service:
 
     def test_vocabulary(self, text: str, fields: tuple[str, ...] = ("title", "content")) -> dict:
         """A query's forms, and how many published items match it: with the vocabulary, its last word completed if need be, and without either."""
-        items = self.store.read("index", ITEM).where("post_status = 'publish'")
+        items = self.index.read().where("post_status = 'publish'")
         index = TextIndex.build(Catalogue(items), fields=fields)
         using = Options(rules=tuple(self.rules()), stop=frozenset(self._get("applied").get("stopwords", ())))
         return {

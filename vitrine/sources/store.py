@@ -20,7 +20,10 @@ class Store:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _path(self, *parts: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
+        return self._hadoop("/".join([self.folder, *parts]))
+
+    def _hadoop(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
     def _fs(self, path):
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
