@@ -149,3 +149,34 @@ def test_breaker_lock_and_full_queue(spark, tmp_path, monkeypatch):
     s.cancel()
     assert s.enqueue(spark.range(1, 8).withColumnRenamed("id", "item_id")) == 7 and s.enqueue(spark.range(20, 23).withColumnRenamed("id", "item_id")) == 7
     assert s.logs(level="warning").first()["message"] == "queue full, nothing enqueued"
+
+
+def test_vocabulary_in_two_phases(spark, tmp_path, monkeypatch):
+    """An application that dies at any step, or rehearses badly, leaves the old rules with their own mark."""
+    s = Service(spark, str(tmp_path), lambda: spark.createDataFrame([], ITEM), lambda: 1000.0)
+    assert s.rules() == []
+    s.save_vocabulary({"synonyms": "pintura, tela\ngravura -> estampa", "stopwords": "rio"})
+    assert s.apply_vocabulary() == 2 and not s.vocabulary_pending()
+    old, applied = s.rules(), s._get("applied")
+    assert (["pintura", "tela"], []) in old and (["gravura"], ["estampa"]) in old and applied["stopwords"] == ["rio"]
+    assert [x["step"] for x in applied["steps"]] == ["compiled", "staged", "rehearsed"]
+    assert {"text": "gravura", "forms": ["estampa"]} in applied["steps"][2]["samples"]
+    s.save_vocabulary({"synonyms": "foto, fotografia"})
+    dies = lambda *a, **k: (_ for _ in ()).throw(OSError("gone"))
+    for name in ("_read_back", "rehearse", "_put"):
+        with monkeypatch.context() as m:
+            m.setattr(s, name, dies)
+            with pytest.raises(OSError, match="gone"):
+                s.apply_vocabulary()
+        assert s.rules() == old and s._get("applied") == applied and s.vocabulary_pending()
+    with monkeypatch.context() as m:
+        m.setattr(s, "_read_back", lambda staged: s.store.read(staged).limit(0))
+        with pytest.raises(RuntimeError, match="staged"):
+            s.apply_vocabulary()
+    with pytest.raises(RuntimeError, match="becomes"):
+        s.rehearse([(["c#", "d#"], [])])  # terms that were not normalised
+    assert s.apply_vocabulary() == 1 and s.rules() == [(["foto", "fotografia"], [])] and not s.vocabulary_pending()
+    s.save_vocabulary({"corrections": "a"})
+    with pytest.raises(ValueError, match="arrow required"):
+        s.apply_vocabulary()
+    assert s.rules() == [(["foto", "fotografia"], [])]

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrine.operators import ordered
+
 #: Limits of the rules.
 SLOW_MS, SUCCESS_WARNING, SUCCESS_CRITICAL = 2000, 80, 50
 RING, ROLLING, TOP_FAILURES = 200, 10, 20
@@ -47,16 +49,19 @@ def kpis(runs: DataFrame, queue_size: int = 0, n: int = ROLLING) -> DataFrame:
     )
 
 
+_IN_TIME = ["ts", "run_id"]
+
+
 def rolling(runs: DataFrame, n: int = ROLLING, key: str = "event_type") -> DataFrame:
     """At each run of a key: sums over it and the n - 1 before."""
-    w = Window.partitionBy(key).orderBy("ts", "run_id").rowsBetween(-(n - 1), 0)
-    return runs.select(key, "run_id", F.sum("indexed").over(w).alias("indexed_n"), F.sum("duration_ms").over(w).alias("duration_n"))
+    rows = ordered.sliding(runs.select(key, "run_id", "ts", "indexed", "duration_ms"), _IN_TIME, key, n, {"indexed_n": F.col("indexed"), "duration_n": F.col("duration_ms")})
+    return rows.select(key, "run_id", "indexed_n", "duration_n")
 
 
 def cumulative(runs: DataFrame, key: str = "event_type") -> DataFrame:
     """Lifetime counters after each run of a key."""
-    w = Window.partitionBy(key).orderBy("ts", "run_id").rowsBetween(Window.unboundedPreceding, 0)
-    return runs.select(key, "run_id", F.sum(F.greatest("indexed", F.lit(0))).over(w).alias("indexed_total"), F.sum(F.greatest("failed", F.lit(0))).over(w).alias("failed_total"))
+    sums = {"indexed_total": F.greatest("indexed", F.lit(0)), "failed_total": F.greatest("failed", F.lit(0))}
+    return ordered.running(runs.select(key, "run_id", "ts", "indexed", "failed"), _IN_TIME, key, sums).select(key, "run_id", *sums)
 
 
 def lifetime(runs: DataFrame) -> DataFrame:
@@ -97,6 +102,17 @@ def transitions(alerts: DataFrame) -> DataFrame:
     return marked.groupBy("code").agg(F.sum("new").alias("n"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"))
 
 
+def alert_store(alerts: DataFrame) -> DataFrame:
+    """The same with each alert's last severity and message."""
+    last = alerts.groupBy("code").agg(F.max(F.struct("at", "seq", "severity", "message")).alias("l")).select("code", "l.severity", "l.message")
+    return transitions(alerts).join(last, "code")
+
+
+def by_severity(alerts: DataFrame) -> DataFrame:
+    """Alerts (code, severity, ...), the graver first, the last seen first within a severity."""
+    return alerts.orderBy(F.desc(severity_rank()), F.desc("last_seen"), "code")
+
+
 def laps(steps: DataFrame) -> DataFrame:
     """Of (k, at): time since the step before."""
     return steps.withColumn("lap", F.col("at") - F.lag("at").over(Window.partitionBy("k").orderBy("at", "seq")))

@@ -23,8 +23,10 @@ def analyzed(c: str | Column, fold: bool = True, keep_original: bool = False) ->
 
 
 def group_tokens(rows: DataFrame) -> DataFrame:
-    """Of (pos, token) rows: the distinct forms at each position, in order of position."""
-    return rows.groupBy("pos").agg(F.array_join(F.sort_array(F.collect_set("token")), "|").alias("forms")).orderBy("pos")
+    """Of (pos, token, seq) rows: the distinct forms at each position in the order in which they are met, in order of position."""
+    first = rows.groupBy("pos", "token").agg(F.min("seq").alias("seq"))
+    forms = F.transform(F.array_sort(F.collect_list(F.struct("seq", "token"))), lambda x: x["token"])
+    return first.groupBy("pos").agg(F.array_join(forms, "|").alias("forms")).orderBy("pos")
 
 
 def has_all(tokens: Column, terms: list[str]) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,6 +30,7 @@ LOG = _struct("id bigint, created_at timestamp, level string, channel string, me
 ALERT = _struct("code string, at bigint, seq bigint, severity string, message string")
 RULES = _struct("list string, line int, rule string, note string")
 BACKOFF_S = 300
+REHEARSED = 4  # rules
 LOCK_S = 600  # after which a batch's lock was left by a writer that died
 CACHE_S = {"health": 60, "collections": 300}
 
@@ -284,7 +286,8 @@ class Service:
         return self.alerts()
 
     def alerts(self) -> DataFrame:
-        return monitor.transitions(self.store.read("alerts", ALERT))
+        """What was raised, the graver first."""
+        return monitor.by_severity(monitor.alert_store(self.store.read("alerts", ALERT)))
 
     def clear_alerts(self) -> None:
         self.store.write("alerts", self.spark.createDataFrame([], ALERT))
@@ -307,22 +310,71 @@ class Service:
         return vocabulary.pending(self.vocabulary(), self._get("applied").get("hash"), self.spark)
 
     def apply_vocabulary(self, stop: tuple[str, ...] = ()) -> int:
-        """Compile the saved lists and put them in place in one step; nothing changes if a line can't be read."""
-        lists = self.vocabulary()
-        rules, words = vocabulary.apply(self._lists(lists), stop)
-        self.store.write("rules", rules.select("list", "line", "rule", "note"))
-        row = self.spark.createDataFrame([tuple(lists.get(k, "") for k in vocabulary.LISTS)], [*vocabulary.LISTS]).select(vocabulary.lists_signature(*vocabulary.LISTS).alias("h")).first()
-        self._put("applied", {"hash": row["h"], "at": int(self.clock()), "stopwords": [r["word"] for r in words.collect()]})
-        return self.store.read("rules", RULES).count()
+        """Put the saved lists into use, and how many rules that are. Nothing changes before the last step, nor if one before it fails:
 
-    def rules(self) -> list[tuple[list[str], list[str]]]:
-        """What is in use, for expanding queries: at most the rules' cap."""
+        the lists are read and compiled; the rules are written to a place of their own and read back; a few are rehearsed
+        as queries; then one row names rules, stop words and the lists they are of, together."""
+        steps: list[dict] = []
+        began = self.clock()
+
+        def step(name: str, **found) -> None:
+            steps.append({"step": name, "s": round(self.clock() - began, 3)} | found)
+
+        with locked(self.store, "vocabulary", LOCK_S, began):
+            lists = self.vocabulary()
+            rules, words = vocabulary.apply(self._lists(lists), stop)
+            custom = [r["word"] for r in words.collect()]
+            row = self.spark.createDataFrame([tuple(lists.get(k, "") for k in vocabulary.LISTS)], [*vocabulary.LISTS]).select(vocabulary.lists_signature(*vocabulary.LISTS).alias("h")).first()
+            step("compiled", stopwords=len(custom))
+            staged = f"rules_{uuid.uuid4().hex[:12]}"
+            self.store.write(staged, rules.select("list", "line", "rule", "note"))
+            wanted = rules.select("list", "line", "rule")
+            read = self._read_back(staged)
+            if read.select("list", "line", "rule").exceptAll(wanted).take(1) or wanted.exceptAll(read.select("list", "line", "rule")).take(1):
+                self.store.drop(staged)
+                raise RuntimeError("the staged rules are not those that were compiled")
+            n = read.count()
+            step("staged", rules=n)
+            try:
+                samples = self.rehearse(self._parsed(read.orderBy("list", "line").limit(REHEARSED)), frozenset(custom))
+            except Exception:
+                self.store.drop(staged)
+                raise
+            step("rehearsed", samples=samples)
+            before = self._get("applied")
+            self._put("applied", before | {"hash": row["h"], "at": int(self.clock()), "stopwords": custom, "rules": staged, "steps": steps})
+            if old := before.get("rules"):
+                self.store.drop(old)
+            return n
+
+    def _read_back(self, staged: str) -> DataFrame:
+        return self.store.read(staged, RULES)
+
+    @staticmethod
+    def _parsed(rows: DataFrame) -> list[tuple[list[str], list[str]]]:
         out = []
-        for r in self.store.read("rules", RULES).select("rule").collect():
+        for r in rows.select("rule").collect():
             left, _, right = r["rule"].partition(" => ")
             out.append((left.split(", "), right.split(", ") if right else []))
         return out
 
+    def rehearse(self, rules: list[tuple[list[str], list[str]]], stop: frozenset[str] = frozenset()) -> list[dict]:
+        """What the first term of each rule becomes as a query under these rules; an error if it doesn't become what the rule says."""
+        index = TextIndex.build(Catalogue(self.spark.createDataFrame([], ITEM)))
+        samples = []
+        for left, right in rules:
+            lat = index.lattice(left[0], Options(rules=tuple(rules), stop=stop))
+            forms = [" ".join(w) for w in lat.ways()]
+            if lat.length and not set(forms) & set(right or left):
+                raise RuntimeError(f"{left[0]} becomes {', '.join(forms)}")
+            samples.append({"text": left[0], "forms": forms})
+        return samples
+
+    def rules(self) -> list[tuple[list[str], list[str]]]:
+        """What is in use, for queries: at most the rules' cap; none before any were applied."""
+        name = self._get("applied").get("rules")
+        return self._parsed(self.store.read(name, RULES)) if name else []
+
     def test_vocabulary(self, text: str, fields: tuple[str, ...] = ("title", "content")) -> dict:
         """A query's forms, and how many published items match it: with the vocabulary, its last word completed if need be, and without either."""
         items = self.index.read().where("post_status = 'publish'")

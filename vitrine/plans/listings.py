@@ -177,9 +177,12 @@ def tax_exists(spark, sf):
     return _part_ids(spark, sf, tax_query=tax(operator="EXISTS"))
 
 
-@query("tax_not_exists", "SELECT p_partkey AS item_id FROM part WHERE false")
+@query("tax_not_exists", "SELECT p_partkey AS item_id FROM part WHERE p_partkey % 3 = 0")
 def tax_not_exists(spark, sf):
-    return _part_ids(spark, sf, tax_query=tax(operator="NOT EXISTS"))
+    """Of every third part the terms are left out."""
+    cat = c.parts(spark, sf)
+    some = c.Catalogue(cat.items, cat.metadata, cat.taxonomies.where("item_id % 3 > 0"))
+    return filters.apply(some, build({"tax_query": tax(operator="NOT EXISTS")}, ("col_part",))).select("item_id")
 
 
 @query("tax_or_group", f"SELECT p_partkey AS item_id FROM part WHERE list_contains(list_transform({TERMS}, lambda w: length(w)), 3) OR NOT list_contains(list_transform({TERMS}, lambda w: length(w)), 5)")
@@ -278,18 +281,24 @@ def related_label(spark, sf):
 
 @query(
     "build_document",
-    """SELECT o_orderkey AS item_id, c_name AS author_name, 'Orders' AS collection_name, CAST(3 + (f.v IS NOT NULL)::INT AS BIGINT) AS n_entries, coalesce(f.v, '') AS flags
+    f"""SELECT o_orderkey AS item_id, c_name AS author_name, coalesce('Orders ' || nullif({STATUS_SQL}, 'draft'), '') AS collection_name, CAST(3 + (f.v IS NOT NULL)::INT AS BIGINT) AS n_entries, coalesce(f.v, '') AS flags,
+      CASE WHEN o_orderkey % 4 > 0 THEN array_to_string(list_sort(list_distinct(string_split(lower(o_orderpriority), '-'))), '|') ELSE '' END AS terms
     FROM orders LEFT JOIN customer ON c_custkey = o_custkey
     LEFT JOIN (SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_returnflag))), ' | ') AS v FROM lineitem GROUP BY 1) f ON l_orderkey = o_orderkey""",
 )
 def build_document(spark, sf):
+    """Orders with their collection by status (drafts have none that is known), author, metadata, and the parts of their priority as terms; of every fourth order the entry has no terms."""
     cat = c.orders(spark, sf)
-    collections = spark.createDataFrame([(1, "Orders")], "collection_id bigint, collection_name string")
+    orders = c.table(spark, sf, "orders")
+    statuses = orders.select(c.status_of("o_orderstatus").alias("status")).distinct()
+    collections = statuses.where("status <> 'draft'").select(F.xxhash64("status").alias("collection_id"), F.concat(F.lit("Orders "), "status").alias("collection_name"))
     authors = c.table(spark, sf, "customer").select(F.col("c_custkey").alias("author_id"), F.col("c_name").alias("author_name"))
-    none = spark.createDataFrame([], c.TAXONOMIES)
-    docs = ingest.build_documents(cat.items.withColumn("collection_id", F.lit(1).cast("long")), collections, authors, cat.metadata, none)
+    words = F.when(F.col("o_orderkey") % 4 > 0, F.array_sort(F.array_distinct(F.split(F.lower("o_orderpriority"), "-")))).otherwise(F.array().cast("array<string>"))
+    terms = orders.select(F.col("o_orderkey").cast("long").alias("item_id"), F.lit("priority").alias("slug"), words.alias("terms"), F.lit(None).cast("array<bigint>").alias("term_ids"))
+    docs = ingest.build_documents(cat.items.withColumn("collection_id", F.xxhash64("post_status")), collections, authors, cat.metadata, terms)
     flags = F.coalesce(F.get(F.filter("metadata", lambda m: m["metadatum_id"] == c.FLAGS), F.lit(0))["value_text"], F.lit(""))
-    return docs.select("item_id", "author_name", "collection_name", F.size("metadata").cast("long").alias("n_entries"), flags.alias("flags"))
+    own = F.coalesce(F.array_join(F.get("taxonomies", F.lit(0))["terms"], "|"), F.lit(""))
+    return docs.select("item_id", "author_name", "collection_name", F.size("metadata").cast("long").alias("n_entries"), flags.alias("flags"), own.alias("terms"))
 
 
 @query(
@@ -325,9 +334,8 @@ def term_counts(spark, sf):
 
 @query(
     "corpus_texts",
-    """SELECT p_partkey AS item_id, p_name || ' .  . ' || ' . ' || a || ' . ' || b AS text FROM (
-    SELECT p_partkey, p_name, least(p_brand, p_type) AS a, greatest(p_brand, p_type) AS b FROM part)""",
+    """SELECT p_partkey AS item_id, p_name || ' .  . ' || ' . ' || least(p_brand, p_type) || ' . ' || greatest(p_brand, p_type) || ' . ' || array_to_string(list_sort(string_split(p_name, ' ')), ' . ') AS text FROM part""",
 )
 def corpus_texts(spark, sf):
     cat = c.parts(spark, sf)
-    return ingest.corpus_texts(cat.items, cat.metadata, cat.taxonomies.where(F.lit(False)))
+    return ingest.corpus_texts(cat.items, cat.metadata, cat.taxonomies)

@@ -99,14 +99,28 @@ def breaker_streaks(spark, sf):
     return queue.streaks(e)
 
 
-@query("breaker_state")
+@query(
+    "breaker_state",
+    f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS k, {EVENT_S} AS "at", CASE event_type WHEN 'error' THEN 'fail' WHEN 'view' THEN 'ignored' ELSE 'ok' END AS outcome FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY "at", outcome) AS i FROM e),
+    s AS (SELECT k, 0::BIGINT AS i, 0::BIGINT AS "at", '' AS outcome, '' AS state, 0::BIGINT AS fails, 0::BIGINT AS until FROM (SELECT DISTINCT k FROM e)
+      UNION ALL SELECT k, i, "at", outcome, CASE WHEN "at" < until THEN 'refused' WHEN f >= 3 THEN 'opened' ELSE 'closed' END, CASE WHEN "at" < until THEN fails WHEN f >= 3 THEN 0 ELSE f END, CASE WHEN "at" >= until AND f >= 3 THEN "at" + 120 ELSE until END
+      FROM (SELECT n.k, n.i, n."at", n.outcome, s.fails, s.until, CASE n.outcome WHEN 'ok' THEN 0 WHEN 'fail' THEN s.fails + 1 ELSE s.fails END AS f FROM s JOIN n ON n.k = s.k AND n.i = s.i + 1))
+    SELECT k, "at", outcome, state, fails AS failures FROM s WHERE i > 0""",
+)
 def breaker_state(spark, sf):
     e = c.table(spark, sf, "events")
     outcome = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "view", "ignored").otherwise("ok")
     return queue.breaker(e.select(F.col("user_id").cast("string").alias("k"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), outcome.alias("outcome")))
 
 
-@query("throttled")
+@query(
+    "throttled",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS k, {EVENT_S} AS "at" FROM events),
+    n AS (SELECT a.k, a."at", min(b."at") AS next FROM e a JOIN e b ON a.k = b.k AND b."at" >= a."at" + 3600 GROUP BY 1, 2),
+    t AS (SELECT k, min("at") AS "at" FROM e GROUP BY k UNION ALL SELECT t.k, n.next FROM t JOIN n ON n.k = t.k AND n."at" = t."at")
+    SELECT k, "at" FROM t""",
+)
 def throttled(spark, sf):
     return queue.throttle(c.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("k"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")), 3600)
 

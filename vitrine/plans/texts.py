@@ -166,12 +166,12 @@ _STOP = ", ".join(f"'{w}'" for w in sorted(Analyzer("english").stopwords))
     "text_stemmed",
     f"""WITH t AS (SELECT doc_id, unnest({_LOWER}) AS w FROM documents),
     s AS (SELECT w, {stem_sql("w", "english")} AS a, {stem_sql(FOLD.format("w"), "english")} AS b FROM (SELECT DISTINCT w FROM t) WHERE w NOT IN ({_STOP}) AND {FOLD.format("w")} NOT IN ({_STOP})),
-    q AS (SELECT 0 AS i, 'licens' AS q UNION ALL SELECT 1, 'warranty')
+    q AS (SELECT 0 AS i, 'licens' AS q UNION ALL SELECT 1, 'version')
     SELECT doc_id AS item_id FROM t JOIN s USING (w) JOIN q ON q IN (a, b) GROUP BY doc_id HAVING count(DISTINCT i) = 2""",
 )
 def text_stemmed(spark, sf):
     """All documents, in English analysis: stop words go, other words meet by their stems."""
-    return _index(spark, sf, "english").all("of the Licensed Warranties")
+    return _index(spark, sf, "english").all("of the Licensed Versions")
 
 
 #: Entries of conversations: field, entry and words; the fields' boosts.
@@ -246,10 +246,13 @@ def text_synonym_lattice(spark, sf):
 
 @query(
     "analyze_groups",
-    """SELECT * FROM (VALUES (0, 'foto'), (1, 'arte|artes'), (2, 'rio')) t(pos, forms)""",
+    """WITH t AS (SELECT p_partkey AS seq, unnest(string_split(p_name, ' ')) AS token, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS pos FROM part),
+    f AS (SELECT pos, token, min(seq) AS seq FROM t GROUP BY 1, 2) SELECT CAST(pos AS INT) AS pos, string_agg(token, '|' ORDER BY seq, token) AS forms FROM f GROUP BY pos""",
 )
 def analyze_groups(spark, sf):
-    return search.group_tokens(spark.createDataFrame([(0, "foto"), (1, "artes"), (1, "arte"), (1, "arte"), (2, "rio")], "pos int, token string"))
+    """The forms that stand at each place of the parts' names."""
+    words = c.table(spark, sf, "part").select(F.col("p_partkey").alias("seq"), F.posexplode(tx.folded_tokens("p_name")).alias("pos", "token"))
+    return search.group_tokens(words)
 
 
 @query("fold_word", "SELECT DISTINCT w, regexp_replace(" + FOLD.format("w") + ", '[^a-z0-9]', '', 'g') AS folded FROM (SELECT unnest(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+')) AS w FROM documents) WHERE w <> ''")
@@ -278,10 +281,15 @@ def corpus_best_form(spark, sf):
     return _corpus(spark, sf).select("key", "best")
 
 
-@query("technical_stopwords", f"WITH {VOCAB} SELECT key, df FROM v WHERE key IN ('https', 'http', 'www', 'gov', 'br', 'org', 'html', 'php', 'jpg', 'jpeg', 'png', 'pdf') AND df >= 0.001 * (SELECT count(*) FROM documents)")
+@query(
+    "technical_stopwords",
+    f"WITH documents AS (SELECT page_id AS doc_id, html AS text FROM pages), {VOCAB} SELECT key, df FROM v WHERE key IN ('https', 'http', 'www', 'gov', 'br', 'org', 'html', 'php', 'jpg', 'jpeg', 'png', 'pdf') AND df >= 0.01 * (SELECT count(*) FROM documents)",
+)
 def technical_stopwords(spark, sf):
-    docs = c.table(spark, sf, "documents")
-    return mining.technical_stopwords(_corpus(spark, sf), docs.count(), 0.001)
+    """Words of addresses and markup that pages are full of."""
+    pages = c.table(spark, sf, "pages").select("page_id", F.col("html").alias("text"))
+    found = kept("pages-corpus", [f"{sf}/pages.parquet"], spark, lambda: mining.corpus(pages))
+    return mining.technical_stopwords(found, pages.count(), 0.01)
 
 
 _NAMES = "string_split(p_name, ' ')"
@@ -360,64 +368,93 @@ def strip_html(spark, sf):
     return c.table(spark, sf, "pages").select("page_id", F.md5(tx.strip_html("html")).alias("digest"))
 
 
-LISTS = {
-    "synonyms": "quadro, pintura, tela\r\n# comment\n\nquadro\ngravura -> estampa\nGravura → estampa\nfoto; fotografia",
-    "variants": "quadro, pintura, tela\npharmacia, farmácia\na => a",
-    "corrections": "excessão => exceção\na, b\n => x\nimpecilho => empecilho",
-    "stopwords": "de, da; do\nde casa\nDE",
-}
+def _lists(spark, sf):
+    """Lines of the lists from the parts: a part is a line of each, of its name's two words and its brand."""
+    p = c.table(spark, sf, "part").withColumns({"a": F.get(F.split("p_name", " "), F.lit(0)), "b": F.get(F.split("p_name", " "), F.lit(1)), "k": F.col("p_partkey")})
+    brand = F.replace("p_brand", F.lit("#"), F.lit(""))
+    text = {
+        "synonyms": F.when(F.col("k") % 5 == 0, F.concat("a", F.lit(" -> "), "b")).when(F.col("k") % 5 == 1, F.col("a")).otherwise(F.concat("a", F.lit(", "), "b", F.lit(";"), brand)),
+        "variants": F.when(F.col("k") % 3 == 0, F.concat("a", F.lit(" → "), "a")).otherwise(F.concat(F.upper("b"), F.lit(", <i>"), "a", F.lit("</i>"))),
+        "corrections": F.when(F.col("k") % 4 == 0, F.concat("a", F.lit(", "), "b")).otherwise(F.concat("a", F.lit(" => "), "b")),
+        "stopwords": F.when(F.col("k") % 3 == 0, F.col("p_name")).otherwise(F.concat("a", F.lit(", "), F.upper("b"))),
+    }
+    return p.select(F.explode(F.array(*[F.struct(F.lit(n).alias("list"), (F.col("k") + 1).cast("int").alias("line"), t.alias("text")) for n, t in text.items()])).alias("r")).select("r.*")
 
 
-def _lists(spark):
-    return spark.createDataFrame(list(LISTS.items()), "list string, text string")
+PARSED = """p AS (SELECT p_partkey AS k, CAST(p_partkey + 1 AS INT) AS line, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b, lower(replace(p_brand, '#', '')) AS brand FROM part),
+x AS (SELECT 'synonyms' AS list, 1 AS place, line, CASE WHEN k % 5 = 0 THEN 'map' ELSE 'equiv' END AS type, CASE WHEN k % 5 < 2 THEN a ELSE a || ',' || b || ',' || brand END AS l, CASE WHEN k % 5 = 0 THEN b ELSE '' END AS r,
+        CASE WHEN k % 5 = 1 THEN 'fewer than two terms' END AS error FROM p
+  UNION ALL SELECT 'variants', 2, line, CASE WHEN k % 3 = 0 THEN 'map' ELSE 'equiv' END, CASE WHEN k % 3 = 0 THEN a ELSE b || ',' || a END, CASE WHEN k % 3 = 0 THEN a ELSE '' END, CASE WHEN k % 3 = 0 THEN 'sides are equal' END FROM p
+  UNION ALL SELECT 'corrections', 3, line, CASE WHEN k % 4 = 0 THEN 'equiv' ELSE 'map' END, CASE WHEN k % 4 = 0 THEN a || ',' || b ELSE a END, CASE WHEN k % 4 = 0 THEN '' ELSE a || ',' || b END, CASE WHEN k % 4 = 0 THEN 'arrow required' END FROM p),
+good AS (SELECT * FROM x WHERE error IS NULL QUALIFY row_number() OVER (PARTITION BY type, l, r ORDER BY place, line) = 1)"""
 
 
-@query(
-    "vocab_parse",
-    """SELECT * FROM (VALUES
-    ('synonyms', 1, 'equiv', 'quadro,pintura,tela', '', NULL), ('synonyms', 4, 'equiv', 'quadro', '', 'fewer than two terms'),
-    ('synonyms', 5, 'map', 'gravura', 'estampa', NULL), ('synonyms', 6, 'map', 'gravura', 'estampa', NULL), ('synonyms', 7, 'equiv', 'foto,fotografia', '', NULL),
-    ('variants', 1, 'equiv', 'quadro,pintura,tela', '', NULL), ('variants', 2, 'equiv', 'pharmacia,farmácia', '', NULL), ('variants', 3, 'map', 'a', 'a', 'sides are equal'),
-    ('corrections', 1, 'map', 'excessão', 'excessão,exceção', NULL), ('corrections', 2, 'equiv', 'a,b', '', 'arrow required'),
-    ('corrections', 3, 'map', '', 'x', 'a side is empty'), ('corrections', 4, 'map', 'impecilho', 'impecilho,empecilho', NULL)) t(list, line, type, l, r, error)""",
-)
+@query("vocab_parse", f"WITH {PARSED} SELECT list, line, type, l, r, error FROM x")
 def vocab_parse(spark, sf):
-    rows = vocabulary.parse(vocabulary.lines(_lists(spark)))
+    rows = vocabulary.parse(_lists(spark, sf))
     return rows.select("list", "line", "type", F.array_join("left", ",").alias("l"), F.array_join("right", ",").alias("r"), "error")
 
 
 @query(
     "vocab_report",
-    "SELECT * FROM (VALUES ('synonyms', 3::BIGINT, 1::BIGINT, 1::BIGINT), ('variants', 1, 1, 1), ('corrections', 2, 0, 2)) t(list, rules, duplicates, errors)",
+    f"""WITH {PARSED}, g AS (SELECT list, count(*) AS rules FROM good GROUP BY 1)
+    SELECT x.list, any_value(rules) AS rules, count(*) FILTER (error IS NULL) - any_value(rules) AS duplicates, count(*) FILTER (error IS NOT NULL) AS errors FROM x JOIN g ON g.list = x.list GROUP BY 1""",
 )
 def vocab_report(spark, sf):
-    return vocabulary.report(vocabulary.parse(vocabulary.lines(_lists(spark))))
+    return vocabulary.report(vocabulary.parse(_lists(spark, sf)))
 
 
 @query(
     "vocab_compile",
-    """SELECT * FROM (VALUES ('synonyms', 1, 'quadro, pintura, tela', NULL), ('synonyms', 5, 'gravura => estampa', NULL), ('synonyms', 7, 'foto, fotografia', NULL),
-    ('variants', 2, 'pharmacia, farmacia', NULL), ('corrections', 1, 'excessao => excessao, excecao', NULL), ('corrections', 4, 'impecilho => impecilho, empecilho', NULL)) t(list, line, rule, note)""",
+    f"""WITH {PARSED}, s AS (SELECT *, list_filter(string_split(l, ','), lambda t: t NOT IN ('red', 'gear')) AS ls, list_filter(string_split(r, ','), lambda t: t NOT IN ('red', 'gear', '')) AS rs FROM good),
+    u AS (SELECT *, CASE WHEN type = 'equiv' THEN len(ls) >= 2 ELSE len(ls) > 0 AND len(rs) > 0 AND ls <> rs END AS usable FROM s)
+    SELECT list, line, CASE WHEN usable THEN array_to_string(ls, ', ') || CASE WHEN type = 'map' THEN ' => ' || array_to_string(rs, ', ') ELSE '' END END AS rule,
+    CASE WHEN NOT usable THEN 'no effect' WHEN len(ls) + len(rs) < len(string_split(l, ',')) + CASE WHEN r = '' THEN 0 ELSE len(string_split(r, ',')) END THEN 'term of stop words dropped' END AS note FROM u""",
 )
 def vocab_compile(spark, sf):
-    return vocabulary.compiled(vocabulary.rules(vocabulary.parse(vocabulary.lines(_lists(spark)))), ("de", "da"))
+    return vocabulary.compiled(vocabulary.rules(vocabulary.parse(_lists(spark, sf))), ("red", "gear"))
 
 
-@query("vocab_stopwords", "SELECT * FROM (VALUES ('de', NULL), ('da', NULL), ('do', NULL), (NULL, 'one word only')) t(word, error)")
+@query(
+    "vocab_stopwords",
+    """WITH p AS (SELECT p_partkey % 3 AS m, string_split(p_name, ' ') AS w FROM part) SELECT DISTINCT unnest(w) AS word, NULL AS error FROM p WHERE m > 0
+    UNION ALL SELECT DISTINCT NULL, 'one word only' FROM p WHERE m = 0""",
+)
 def vocab_stopwords(spark, sf):
-    return vocabulary.stopwords(vocabulary.lines(_lists(spark))).select("word", "error")
+    return vocabulary.stopwords(_lists(spark, sf)).select("word", "error")
+
+
+_SWAPPED = "CASE WHEN p_partkey % 10 = 0 AND length(w2) >= 4 THEN w1 || ' ' || w2[1:2] || w2[4] || w2[3] || w2[5:] ELSE p_name END"
 
 
-@query("near_terms", "SELECT * FROM (VALUES ('pintura', 'pintrua', true), ('silva', 'sylva', false)) t(good, bad, typo)")
+@query(
+    "near_terms",
+    f"""WITH p AS (SELECT *, string_split(p_name, ' ')[1] AS w1, string_split(p_name, ' ')[2] AS w2 FROM part), d AS (SELECT DISTINCT w2 AS key FROM p),
+    t AS (SELECT DISTINCT {_SWAPPED} AS n FROM p), s AS (SELECT n, string_split(n, ' ')[1] AS a, string_split(n, ' ')[2] AS b FROM t WHERE length(n) >= 5),
+    j AS (SELECT CASE WHEN x.a <> y.a THEN x.a ELSE x.b END AS u, CASE WHEN x.a <> y.a THEN y.a ELSE y.b END AS v FROM s x JOIN s y ON x.n < y.n AND (x.a = y.a) <> (x.b = y.b) AND damerau_levenshtein(x.n, y.n) = 1),
+    k AS (SELECT u, v, u IN (SELECT key FROM d) AS ku, v IN (SELECT key FROM d) AS kv FROM j WHERE length(u) >= 4 AND regexp_replace(u, 's$', '') <> regexp_replace(v, 's$', ''))
+    SELECT CASE WHEN ku OR ku = kv THEN u ELSE v END AS good, CASE WHEN ku OR ku = kv THEN v ELSE u END AS bad, ku <> kv AS typo FROM k""",
+)
 def near_terms(spark, sf):
-    terms = spark.createDataFrame([("Ana pintura",), ("Ana pintrua",), ("José Silva",), ("José Sylva",), ("casa nova",), ("casas nova",)], "name string")
-    return mining.near_terms(terms, spark.createDataFrame([("pintura",)], "key string")).select("good", "bad", "typo")
+    """Names of parts, of every tenth with two letters swapped, against the second words as they should be."""
+    p = c.table(spark, sf, "part").withColumns({"w1": F.get(F.split("p_name", " "), F.lit(0)), "w2": F.get(F.split("p_name", " "), F.lit(1))})
+    swapped = F.concat("w1", F.lit(" "), F.left("w2", F.lit(2)), F.substring("w2", 4, 1), F.substring("w2", 3, 1), F.substr("w2", F.lit(5)))
+    names = p.select(F.when((F.col("p_partkey") % 10 == 0) & (F.char_length("w2") >= 4), swapped).otherwise(F.col("p_name")).alias("name"))
+    return mining.near_terms(names, p.select(F.col("w2").alias("key")).distinct()).select("good", "bad", "typo")
 
 
-@query("acronym_rules", "SELECT * FROM (VALUES ('IBM', 'international business machines', 3::BIGINT, true), ('TI', 'tecnologia da informação', 5, false)) t(acronym, expansion, n, active)")
+@query(
+    "acronym_rules",
+    f"""WITH p AS (SELECT p_partkey, upper({_NAMES}[1][1]) || substr({_NAMES}[1], 2) AS a, upper({_NAMES}[2][1]) || substr({_NAMES}[2], 2) AS b FROM part),
+    f AS (SELECT a[1] || b[1] AS acronym, a || ' ' || b AS expansion, count(*) AS n FROM p GROUP BY 1, 2),
+    t AS (SELECT * FROM f WHERE acronym NOT IN ({", ".join(f"'{x}'" for x in mining.STATES)}) QUALIFY row_number() OVER (PARTITION BY acronym ORDER BY n DESC, expansion) = 1)
+    SELECT acronym, lower(expansion) AS expansion, n, n >= 2 AND lower(acronym) NOT IN (SELECT lower(n_name[1:2]) FROM nation) AS active FROM t""",
+)
 def acronym_rules(spark, sf):
-    found = spark.createDataFrame([("IBM", "International Business Machines", 3), ("IBM", "Instituto Brasileiro de Museus", 2), ("TI", "Tecnologia da Informação", 5), ("SP", "São Paulo", 9)], "acronym string, expansion string, n bigint")
-    return mining.acronym_rules(found, spark.createDataFrame([("ti",)], "word string"))
+    """Of the parts' names by their initials; the first two letters of nations count as words."""
+    a, b = (F.initcap(F.get(F.split("p_name", " "), F.lit(i))) for i in (0, 1))
+    found = c.table(spark, sf, "part").select(F.concat(F.left(a, F.lit(1)), F.left(b, F.lit(1))).alias("acronym"), F.concat_ws(" ", a, b).alias("expansion")).groupBy("acronym", "expansion").agg(F.count(F.lit(1)).alias("n"))
+    return mining.acronym_rules(found, c.table(spark, sf, "nation").select(F.lower(F.left("n_name", F.lit(2))).alias("word")))
 
 
 @query("thesaurus_groups", f"WITH {VOCAB} SELECT grp, count(*) AS present, max(df) AS df FROM (SELECT 1 AS grp, min(df) AS df FROM v WHERE key IN ('apache', 'license') HAVING count(*) = 2 UNION ALL SELECT 1, min(df) FROM v WHERE key IN ('gnu') HAVING count(*) = 1) GROUP BY grp")
@@ -432,21 +469,30 @@ def known_errors(spark, sf):
     return mining.known_errors(pairs, _corpus(spark, sf))
 
 
-@query("state_rules", "SELECT * FROM (VALUES ('rj', 'rio de janeiro', true), ('se', 'sergipe', false), ('sp', 'são paulo', true)) t(acronym, name, active)")
+_STATE_ROWS = ", ".join(f"('{k.lower()}', '{v.lower()}', {str(k not in mining.AMBIGUOUS_STATES).lower()})" for k, v in mining.STATES.items())
+
+
+@query("state_rules", f"WITH {VOCAB} SELECT acronym, name, active, df FROM (VALUES {_STATE_ROWS}) t(acronym, name, active) JOIN v ON v.key = acronym")
 def state_rules(spark, sf):
-    return mining.state_rules(spark).where("acronym IN ('rj', 'se', 'sp')")
+    """The units whose acronym the corpus holds, and in how many items."""
+    return mining.state_rules(spark).join(_corpus(spark, sf).select(F.col("key").alias("acronym"), "df"), "acronym")
 
 
-@query("rendered_list", "SELECT * FROM (VALUES ('# Variants (2)'), ('tesouro, thesouro'), ('foto, photo')) t(value)")
+@query("rendered_list", "WITH g AS (SELECT lower(p_type) || ', ' || lower(p_brand) AS line, count(*) AS n FROM part GROUP BY 1) SELECT line AS value FROM g UNION ALL SELECT '# Kinds (' || count(*) || ')' FROM g")
 def rendered_list(spark, sf):
-    return mining.rendered(spark.createDataFrame([("foto, photo", 2), ("tesouro, thesouro", 9)], "line string, hits bigint"), "Variants")
+    lines = c.table(spark, sf, "part").groupBy(F.concat_ws(", ", F.lower("p_type"), F.lower("p_brand")).alias("line")).agg(F.count(F.lit(1)).alias("hits"))
+    return mining.rendered(lines, "Kinds")
 
 
 @query(
     "variant_groups",
-    "SELECT * FROM (VALUES ('farmacia', 'word', 'pharmacia|pharmacias', 5::BIGINT), ('melo', 'name', 'mello', 3)) t(modern, kind, archaic, hits)",
+    f"""WITH {VOCAB}, m AS (SELECT key, {_SAFE} AS modern, df, CASE length(key) % 3 WHEN 0 THEN 'word' WHEN 1 THEN 'name' ELSE 'review' END AS kind FROM v),
+    c AS (SELECT key, kind, df, CASE WHEN kind = 'word' THEN regexp_replace(modern, 's$', '') ELSE modern END AS modern FROM m WHERE modern <> key AND kind <> 'review')
+    SELECT modern, kind, string_agg(key, '|' ORDER BY encode(key)) AS archaic, CAST(sum(df) AS BIGINT) AS hits FROM c GROUP BY 1, 2""",
 )
 def variant_groups(spark, sf):
-    rows = [("pharmacia", "farmacia", "word", 3), ("pharmacias", "farmacias", "word", 2), ("mello", "melo", "name", 3), ("villa", "vila", "review", 9)]
-    groups = mining.variant_groups(spark.createDataFrame(rows, "archaic string, modern string, kind string, df bigint"))
-    return groups.withColumn("archaic", F.array_join("archaic", "|"))
+    """The corpus' words under their modernised spelling, whatever that is, the kind by their length."""
+    n = F.char_length("key") % 3
+    kind = F.when(n == 0, "word").when(n == 1, "name").otherwise("review")
+    rows = _corpus(spark, sf).select(F.col("key").alias("archaic"), tx.modernize("key").alias("modern"), kind.alias("kind"), "df").where("archaic <> modern")
+    return mining.variant_groups(rows).withColumn("archaic", F.array_join("archaic", "|"))

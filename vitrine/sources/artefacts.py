@@ -71,3 +71,14 @@ def kept(name: str, sources: list[str], spark: SparkSession, make: Callable[[],
                 for _, old in states[:-KEPT_STATES]:
                     fs.delete(_path(spark, old)[0], True)
     return spark.read.parquet(f"{folder}/{version}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a table in the shared folder, which goes when the application ends: cuts the lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/vitrine-steps-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    p, fs = _path(spark, path)
+    fs.mkdirs(p.getParent())
+    fs.deleteOnExit(p.getParent())
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
