@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions.text import col, deletes
+from vitrine.functions.text import col
 
-LONG = 20  # letters up to which a word is found by what is left without any two of its letters
+WHOLE, HALVED = 8, 6  # letters up to which a word is found whole, and from which by its halves
 
 
 def damerau(a: str, b: str) -> int:
@@ -50,24 +52,37 @@ def distance(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(a)), first, row, lambda acc: F.get(acc["one"], F.char_length(b)))
 
 
-def shared_keys(word: str | Column) -> Column:
-    """What a word is found by: its first letter with the rest, without up to two of its letters. Longer words: first letter and length."""
-    w = col(word)
-    first, rest = F.substring(w, 1, 1), F.substr(w, F.lit(2))
-    two = F.array_distinct(F.flatten(F.transform(deletes(rest), deletes)))
-    every = F.when(F.char_length(w) >= 6, two).otherwise(deletes(rest))
-    return F.when(F.char_length(w) > LONG, F.array(F.concat(F.lit("#"), first, F.char_length(w).cast("string")))).otherwise(F.transform(every, lambda d: F.concat(first, d)))
+def shared_rows(words: DataFrame, word: str = "key") -> DataFrame:
+    """(d, word): what each word is found by, without some of its letters.
+
+    Up to WHOLE letters: its first letter with the rest, whole and without each of its letters, for one edit. From HALVED
+    letters: the same of either half, with the word's length: of two edits one half has one at most."""
+    w = F.col(word)
+    n, first = F.char_length(w), F.substring(w, 1, 1)
+    h = F.floor(n / 2).cast("int")
+    sized = lambda side: F.concat(F.lit(side), n.cast("string"), F.lit(":"), first)
+    parts = [
+        words.where(n <= WHOLE).select(word, first.alias("head"), F.substr(w, F.lit(2)).alias("rest")),
+        words.where(n >= HALVED).select(word, sized("<").alias("head"), F.substr(w, F.lit(2), h - 1).alias("rest")),
+        words.where(n >= HALVED).select(word, sized(">").alias("head"), F.substr(w, h + 1).alias("rest")),
+    ]
+    each = reduce(DataFrame.unionByName, parts).select(word, "head", "rest", F.explode(F.sequence(F.lit(0), F.char_length("rest"))).alias("i"))
+    less = F.when(F.col("i") == 0, F.col("rest")).otherwise(F.concat(F.left("rest", F.col("i") - 1), F.substr("rest", F.col("i") + 1)))
+    return each.select(F.concat("head", less).alias("d"), word)
 
 
-def _less(words: set[str]) -> set[str]:
-    return words | {w[:i] + w[i + 1 :] for w in words for i in range(len(w))}
+def _less(word: str) -> set[str]:
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
 def keys_of(word: str, edits: int) -> list[str]:
-    """Under which keys the words lie that are so many edits from one, at most two, its first letter kept."""
-    tails = {word[1:]}
-    if len(word) - edits <= LONG:
-        for _ in range(edits):
-            tails = _less(tails)
-    long = [f"#{word[0]}{n}" for n in range(len(word) - edits, len(word) + edits + 1) if n > LONG]
-    return sorted(word[0] + t for t in tails) + long
+    """Under which keys the words lie that are so many edits from one, its first letter kept: one edit for up to WHOLE - 1 letters, two from HALVED + 2 on."""
+    if edits < 2:
+        return sorted({word[0] + d for d in _less(word[1:])} if edits else {word[0] + word[1:]})
+    out = set()
+    for n in range(len(word) - 2, len(word) + 3):  # letters of the other word, whose halves are known then
+        h = n // 2
+        for shift in (-1, 0, 1):  # one edit moves the half's end by one at most
+            out |= {f"<{n}:{word[0]}{d}" for d in _less(word[1 : max(1, h + shift)])}
+            out |= {f">{n}:{word[0]}{d}" for d in _less(word[max(1, len(word) - (n - h) - shift) :])}
+    return sorted(out)

@@ -2,12 +2,12 @@
 
 Tables, made by one analyzer whose version is part of their names:
 
-- postings (token, item_id, field, entry, pos, n, first): a row for each word of each entry, range-partitioned by token and
-  item, so that a frequent word fills several files and a query reads the files of its words only. n: words of the entry;
-  first: the entry's first word, by which entries are counted;
+- postings (token, item_id, field, entry, pos, n, first): a row for each word of each entry, in a folder for each of
+  ``BUCKETS`` buckets of tokens and in order of token there, so that a query reads the folders of its words only; a
+  frequent word fills several files. n: words of the entry; first: the entry's first word, by which entries are counted;
 - dictionary (field, key, token): what each token is found by (itself, or the stems of its two forms), in order of key, so
   that a word or the words with a common start are read from one place;
-- neighbours (d, key): each key under what is left of it without up to two letters, for typing errors;
+- neighbours (d, key): each key under what is left of it, or of one of its halves, without a letter, for typing errors;
 - stats (field, docs, words).
 
 A query is a lattice of words (see ``lattice``): an entry matches if a way leads through whose words it holds. So that
@@ -22,12 +22,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import text as tx
 from vitrine.functions.analysis import Analyzer
-from vitrine.functions.distance import distance, keys_of, shared_keys
+from vitrine.functions.distance import distance, keys_of, shared_rows
 from vitrine.operators import lattice
 from vitrine.operators.lattice import Lattice, Rule, Term
 from vitrine.sources.catalogue import Catalogue
@@ -41,9 +41,11 @@ LEAST_FRAGMENT = 3
 EXACT_BELOW, ONE_BELOW = 5, 8
 PROBED = ("publish", "private")
 K1, B = 1.2, 0.75
+BUCKETS = 64  # folders of the postings; each should hold some files
 MANY = 2000  # words beyond which a query's words are joined instead of written into the scan's predicate
 
-Keep = Callable[[str, Callable[[], DataFrame]], DataFrame]
+#: keep(name, make, folders): the table of this name, with a folder for each value of these columns.
+Keep = Callable[..., DataFrame]
 
 
 @dataclass(frozen=True)
@@ -76,7 +78,11 @@ def texts(catalogue: Catalogue, fields: tuple[str, ...] = tuple(FIELDS)) -> Data
     return reduce(DataFrame.unionByName, parts).where("text IS NOT NULL")
 
 
-def _direct(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+def bucket_of(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def _direct(name: str, make: Callable[[], DataFrame], folders: tuple[str, ...] = ()) -> DataFrame:
     return make()
 
 
@@ -94,15 +100,23 @@ class TextIndex:
         """keep(name, make): the table of this name, kept (made if need be); without it tables are expressions."""
         analyzer = analyzer or Analyzer()
         version = f"-{analyzer.version}"
-        named = (lambda name, make: keep(name + version, make)) if keep else _direct
+        named = (lambda name, make, folders=(): keep(name + version, make, folders)) if keep else _direct
 
         def postings() -> DataFrame:
             rows = texts(catalogue, fields).select("item_id", "field", "entry", analyzer.tokens(F.col("text")).alias("w")).where("size(w) > 0")
             rows = rows.select("item_id", "field", "entry", F.size("w").alias("n"), F.col("w")[0]["pos"].alias("p0"), F.explode("w").alias("w"))
             rows = rows.select("w.token", "item_id", "field", "entry", "w.pos", "n", (F.col("w.pos") == F.col("p0")).alias("first"))
-            return rows.repartitionByRange("token", "item_id").sortWithinPartitions("token", "item_id", "field", "entry", "pos") if keep else rows
+            # buckets that a frequent word fills are split by their size
+            return rows.withColumn("bucket", bucket_of(F.col("token"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "token") if keep else rows
+
+        return TextIndex(catalogue, analyzer, named, fields, named("postings", postings, ("bucket",)))
 
-        return TextIndex(catalogue, analyzer, named, fields, named("postings", postings))
+    def _of(self, tokens: list[str], rows: DataFrame | None = None) -> DataFrame:
+        """The postings of these tokens, from their folders."""
+        rows = self.postings if rows is None else rows
+        tokens = sorted(set(tokens))
+        found = rows.where(F.col("token").isin(tokens))
+        return found.where(F.col("bucket").isin([bucket_of(F.lit(t)) for t in tokens])) if "bucket" in rows.columns else found
 
     # ------------------------------------------------ tables beside the postings
 
@@ -118,10 +132,10 @@ class TextIndex:
     def neighbours(self) -> DataFrame:
         def make() -> DataFrame:
             keys = self.dictionary.select("key").distinct().where(F.char_length("key") >= EXACT_BELOW - 1)
-            rows = keys.select(F.explode(shared_keys("key")).alias("d"), "key")
-            return rows.repartitionByRange("d").sortWithinPartitions("d") if self.keep is not _direct else rows
+            rows = shared_rows(keys)
+            return rows.withColumn("bucket", bucket_of(F.col("d"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "d") if self.keep is not _direct else rows
 
-        return self.keep("neighbours", make)
+        return self.keep("neighbours", make, ("bucket",))
 
     @property
     def stats(self) -> DataFrame:
@@ -152,7 +166,7 @@ class TextIndex:
         """(term, key) of the keys with the same first letter within the edits allowed of (term, word, edits)."""
         spark = self.postings.sparkSession
         asked = F.broadcast(spark.createDataFrame([(t, w, k, d) for t, w, k in terms for d in keys_of(w, k)], "term int, word string, k int, d string"))
-        some = self.neighbours.where(F.col("d").isin(sorted({d for _, w, k in terms for d in keys_of(w, k)})))
+        some = self.neighbours.where(F.col("d").isin(sorted({d for _, w, k in terms for d in keys_of(w, k)}))).select("d", "key")
         met = some.join(asked, "d").select("term", "word", "k", "key").distinct().where(F.abs(F.char_length("key") - F.char_length("word")) <= F.col("k"))
         # a swap is two plain edits, so twice the edits bound the candidates
         return met.where(F.levenshtein("key", "word") <= 2 * F.col("k")).where(distance("key", "word") <= F.col("k")).select("term", "key")
@@ -181,7 +195,7 @@ class TextIndex:
         if not found:
             return rows.where(F.lit(False)).withColumn("term", F.lit(0))
         small = self.postings.sparkSession.createDataFrame(found, "term int, token string")
-        return rows.where(F.col("token").isin(sorted({t for _, t in found}))).join(F.broadcast(small), "token")
+        return self._of([t for _, t in found], rows).join(F.broadcast(small), "token")
 
     def _fields(self, fields: tuple[str, ...] | None) -> tuple[str, ...]:
         return tuple(f for f in (fields or self.fields) if f in self.fields)
@@ -243,7 +257,7 @@ class TextIndex:
             tokens = None
         else:
             wanted, tokens = wanted.withColumnRenamed("key", "token"), sorted({k for _, k in pairs})
-        rows = self.postings if tokens is None else self.postings.where(F.col("token").isin(tokens))
+        rows = self.postings if tokens is None else self._of(tokens)
         # at most MAX_EXPANSIONS words of each field, each of the few tokens of its stem
         ended = rows.join(wanted.select("field", "token").distinct(), ["field", "token"], "left_semi").select("item_id").distinct()
         return ended.join(self.all(rest, fields, options), "item_id", "left_semi") if rest.strip() else ended

@@ -28,7 +28,7 @@ def _ids(df):
 
 def _keep(spark, sf, name, *tables):
     """Tables of this name made from these tables, made once for each state of their files."""
-    return lambda part, make: kept(f"{name}-{part}", [f"{sf}/{t}.parquet" for t in tables], spark, make)
+    return lambda part, make, folders=(): kept(f"{name}-{part}", [f"{sf}/{t}.parquet" for t in tables], spark, make, folders)
 
 
 def _index(spark, sf, language=None):

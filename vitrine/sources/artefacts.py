@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _making = threading.Lock()
+_tables: dict[str, DataFrame] = {}
 KEPT_STATES = 2
 
 
@@ -50,10 +51,10 @@ def state(spark: SparkSession, path: str) -> str:
     return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()[:16]
 
 
-def kept(name: str, sources: list[str], spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table of this name that was made from the present files of its sources (paths of tables), made now if it isn't there."""
+def kept(name: str, sources: list[str], spark: SparkSession, make: Callable[[], DataFrame], folders: tuple[str, ...] = ()) -> DataFrame:
+    """The table of this name that was made from the present files of its sources (paths of tables), made now if it isn't there. folders: columns that have a folder for each value."""
     place = hashlib.sha256(repr(sources).encode()).hexdigest()[:16]
-    folder = f"{shared_dir(spark)}/vitrine-index-{spark.sparkContext.applicationId}/{name}-{place}"
+    folder = f"{shared_dir(spark)}/vitrine-index-{spark.sparkContext.applicationId}/{name}-{place}"  # of this application: its tables are forgotten with it
     version = hashlib.sha256("".join(state(spark, s) for s in sources).encode()).hexdigest()[:16]
     top, fs = _path(spark, folder)
     done, _ = _path(spark, f"{folder}/{version}")
@@ -61,7 +62,7 @@ def kept(name: str, sources: list[str], spark: SparkSession, make: Callable[[],
         fs.mkdirs(top)
         fs.deleteOnExit(top.getParent())
         own = f"{folder}/.{version}-{uuid.uuid4().hex[:8]}"
-        make().write.parquet(own)
+        make().write.partitionBy(*folders).parquet(own)
         with _making:
             if fs.exists(done):  # another thread was faster
                 fs.delete(_path(spark, own)[0], True)
@@ -70,7 +71,10 @@ def kept(name: str, sources: list[str], spark: SparkSession, make: Callable[[],
                 states = sorted((s.getModificationTime(), s.getPath().toString()) for s in fs.listStatus(top) if not s.getPath().getName().startswith("."))
                 for _, old in states[:-KEPT_STATES]:
                     fs.delete(_path(spark, old)[0], True)
-    return spark.read.parquet(f"{folder}/{version}")
+    # a version never changes, so its files need be listed once only
+    if done.toString() not in _tables:
+        _tables[done.toString()] = spark.read.parquet(f"{folder}/{version}")
+    return _tables[done.toString()]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
