@@ -130,6 +130,10 @@ def test_text_functions(spark):
     assert list(u[0]) == ["me", "p@ss", "https://host:9200"] and list(u[1]) == ["", "", "https://host"]
     e = spark.createDataFrame([("&lt;b&gt; &amp;amp; &quot;",)], "t string").select(text.decode_entities("t")).first()[0]
     assert e == '<b> &amp; "'
+    refs = {"&#65;&#x42;&#X63;": "ABc", "&Eacute;t&eacute; &euro; &copy;": "Été € ©", "&amp;lt; &amp;#65;": "&lt; &#65;", "&nope; &#0; &#xD800; &#9999999; &;": "&nope; &#0; &#xD800; &#9999999; &;", "a&nbsp;b&#160;c": "a b c", "&#128512; &#38;lt;": "😀 &lt;", "": ""}
+    got = spark.createDataFrame([(k,) for k in refs], "t string").select("t", text.decode_entities("t")).collect()
+    assert {r[0]: r[1] for r in got} == refs
+    assert spark.createDataFrame([(None,)], "t string").select(text.decode_entities("t")).first()[0] is None
     assert spark.createDataFrame([(" OpenSearch ",), ("x",)], "e string").select(text.normalize_engine("e")).collect()[0][0] == "elasticsearch"
 
 

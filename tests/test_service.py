@@ -88,6 +88,7 @@ def test_service(spark, tmp_path):
     assert s.logs().count() == 2
     s.save_vocabulary({"synonyms": "pintura, tela"})
     assert s.vocabulary_pending() and "vocabulary" in [f["code"] for f in s.diagnostics().collect()]
+    assert all(f["title"] and f["action"] for f in s.diagnostics().collect() if f["code"] != "ok")
     assert s.validate_vocabulary({"corrections": "a"}).first()["errors"] == 1
     assert s.apply_vocabulary() == 1 and not s.vocabulary_pending()
     t = s.test_vocabulary("pintura")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,11 +81,24 @@ def strip_html(c: str | Column) -> Column:
 
 
 def decode_entities(c: str | Column) -> Column:
-    """The named character references that catalogue texts hold, &amp; last."""
-    out = col(c)
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(sign))
-    return out
+    """Character references, named and numeric, each once: what an ampersand's own reference leaves is no reference. Unknown names and numbers of no character stay."""
+    found = F.array_distinct(F.regexp_extract_all(col(c), F.lit("(&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+[0-9]*);)"), F.lit(1)))
+    # the ampersand last: others then can't be made of what it leaves
+    refs = F.concat(F.filter(found, lambda r: ~r.isin(*_AMPERSANDS)), F.filter(found, lambda r: r.isin(*_AMPERSANDS)))
+    return F.aggregate(refs, col(c), lambda text, r: F.replace(text, r, F.coalesce(_character(r), r)))
+
+
+_AMPERSANDS = ("&amp;", "&#38;", "&#038;", "&#x26;", "&#X26;")
+
+
+def _character(ref: Column) -> Column:
+    """The character of a reference, or null."""
+    hexadecimal, body = ref.rlike("^&#[xX]"), F.regexp_extract(ref, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+    number = F.conv(body, 16, 10).cast("long")
+    code = F.when(hexadecimal, number).when(F.contains(ref, F.lit("#")), body.try_cast("long"))
+    code = F.coalesce(code, F.try_element_at(F.create_map(*[F.lit(x) for k, v in name2codepoint.items() for x in (k, v)]), F.regexp_extract(ref, "^&([A-Za-z]+[0-9]*);$", 1)).cast("long"))
+    real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(code == 160, F.lit(" ")).when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def clean_term(c: str | Column) -> Column:

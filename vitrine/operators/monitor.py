@@ -189,6 +189,33 @@ def findings(snapshots: DataFrame) -> DataFrame:
     return _explode_rules(snapshots, [*rules, ("ok", "ok", ~problem)])
 
 
+#: Of each finding: what it is, and what to do about it.
+FINDING_TEXTS = {
+    "unconfigured": ("No index is set up", "Set the folder of the index."),
+    "denied": ("The storage refuses access", "Check the name and the password or key."),
+    "dns": ("The host's name is unknown", "Check the address and the name service."),
+    "timeout": ("The storage does not answer in time", "Check that it runs and that nothing between blocks it."),
+    "unreachable": ("The storage can't be reached", "Look at the error and at the storage's own log."),
+    "no_index": ("There is no index yet", "Create it and enqueue all items."),
+    "red": ("A part of the index can't be read", "Restore the missing files or build the index anew."),
+    "yellow": ("The index waits for rows that were refused", "Look at the failures and enqueue them again."),
+    "shared_cluster": ("The index is sound, other tables are not", "Nothing to do here; tell who owns them."),
+    "slow": ("Answers are slow", "Look at the load; give the job more tasks."),
+    "coverage": ("The index lacks items of the source", "Enqueue what is missing."),
+    "manual_queue": ("The queue waits and nothing works it off", "Process it, or turn automatic indexing on."),
+    "failures": ("Many rows fail", "Look at the kinds of errors in the log."),
+    "vocabulary": ("The vocabulary was changed but isn't in use", "Apply it."),
+    "paused": ("Indexing is paused", "Resume it."),
+    "ok": ("All is well", ""),
+}
+
+
+def explained(findings: DataFrame) -> DataFrame:
+    """Findings with a title and what to do, the graver first."""
+    text = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for k, v in FINDING_TEXTS.items() for x in (k, v[i])]), F.col("code"))
+    return findings.withColumns({"title": text(0), "action": text(1)}).orderBy(F.desc(severity_rank()), "code")
+
+
 def light(snapshots: DataFrame) -> DataFrame:
     """id and colour: off, red on any failed check, yellow on any warning, else green. The vocabulary never counts."""
     s, up = shard_status(), F.col("configured") & F.col("reachable")

@@ -273,7 +273,7 @@ class Service:
         return self.cached("health", lambda: monitor.health(self.snapshot()).first().asDict(), refresh)  # type: ignore[return-value]
 
     def diagnostics(self) -> DataFrame:
-        return monitor.findings(self.snapshot())
+        return monitor.explained(monitor.findings(self.snapshot()))
 
     def status(self) -> str:
         return monitor.light(self.snapshot()).first()["color"]
