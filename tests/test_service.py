@@ -181,3 +181,21 @@ def test_vocabulary_in_two_phases(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="arrow required"):
         s.apply_vocabulary()
     assert s.rules() == [(["foto", "fotografia"], [])]
+
+
+def test_ticks(spark, tmp_path):
+    """Health and indexing once a minute, cleaning once a day, indexing only while something waits and it is turned on."""
+    rows = [(i, "col_a", "publish", "t", None, None, None, None, None) for i in range(1, 4)]
+    now = [100_000.0]
+    s = Service(spark, str(tmp_path), lambda: spark.createDataFrame(rows, ITEM), lambda: now[0])
+    s.create_index()
+    s.set_settings({"auto_indexing_enabled": True})
+    assert s.tick() == ["health", "cleanup"] and s.tick() == []
+    s.reindex_all()
+    assert s.tick() == ["index"] and s.index_stats()["rows"] == 3
+    now[0] += 61
+    assert s.tick() == ["health"]
+    s.set_settings({"auto_indexing_enabled": False})
+    s.reindex_all()
+    now[0] += 86_400
+    assert s.tick() == ["health", "cleanup"] and s.queue_size() == 3

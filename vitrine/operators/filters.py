@@ -109,9 +109,10 @@ def apply(catalogue: Catalogue, q: QuerySpec) -> DataFrame:
     return items
 
 
-def referrers(metadata: DataFrame, item: int, most: int = 10_000) -> DataFrame:
-    """Items that refer to an item, itself left out; by the smaller ids up to the cap that the change feed sets."""
-    return metadata.where(F.array_contains("value_ids", F.lit(item).cast("long")) & (F.col("item_id") != item)).select("item_id").distinct().orderBy("item_id").limit(most)
+def referrers(metadata: DataFrame, item: int, most: int | None = None) -> DataFrame:
+    """Items that refer to an item, itself left out: all of them, or those of the smallest ids, with one row more than asked where there are more."""
+    found = metadata.where(F.array_contains("value_ids", F.lit(item).cast("long")) & (F.col("item_id") != item)).select("item_id").distinct()
+    return found if most is None else found.orderBy("item_id").limit(most + 1)
 
 
 def item_type(items: DataFrame, known: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ LOG = _struct("id bigint, created_at timestamp, level string, channel string, me
 ALERT = _struct("code string, at bigint, seq bigint, severity string, message string")
 RULES = _struct("list string, line int, rule string, note string")
 BACKOFF_S = 300
+#: Seconds between two runs of what a scheduler does.
+TICKS = {"health": 60, "index": 60, "cleanup": 86400}
 REHEARSED = 4  # rules
 LOCK_S = 600  # after which a batch's lock was left by a writer that died
 CACHE_S = {"health": 60, "collections": 300}
@@ -205,6 +207,27 @@ class Service:
         judged.unpersist()
         return self.store.read("index_refused")
 
+    def tick(self) -> list[str]:
+        """Do what is due, as a scheduler that calls every so often would have it; what was done."""
+        due = self._get("ticks")
+        done = []
+        for name, seconds in TICKS.items():
+            if self.clock() - due.get(name, 0) < seconds:
+                continue
+            if name == "health":
+                self.evaluate_alerts()
+            elif name == "cleanup":
+                self.purge_logs()
+            elif not self.settings()["auto_indexing_enabled"] or not self.queue_size():
+                continue
+            else:
+                self.process_batch()
+            due[name] = self.clock()
+            done.append(name)
+        if done:
+            self._put("ticks", due)
+        return done
+
     # ------------------------------------------------ logs, alerts, reports
 
     def log(self, level: str, channel: str, message: str, context: dict | None = None) -> None:
